@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.bpe import bpe_encode
+from waymark.llm.mixing import keep_mixed
 from waymark.llm.quality_rules import keep_by_rules
+from waymark.llm.secrets import redact_secrets
 from waymark.llm.store import materialize
 
 
@@ -17,8 +20,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_by_rules(docs)
 
 
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeated or left out as its targets say."""
+    return keep_mixed(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and token ids of every document of the mix."""
+    return bpe_encode(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing),
+    ("bpe", bpe),
 ]
 
 #: Byte-pair merges and signatures are not expressible in SQL; tests hold the stages against brute force.

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-#: Query name: (module, SQL is in the module as SQL).
+#: Module of each query; the module may hold its SQL as ``SQL``.
 MODULES = {
+    "op4_bpe_round_trip": "bpe",
+    "op6_mix_sources": "mixing",
+    "op7_secret_scans": "secrets",
     "op8_quality_rules": "quality_rules",
+    "op9_chat_perspectives": "chat",
 }
 
 
