@@ -6,11 +6,14 @@ import importlib
 
 #: Module of each query; the module may hold its SQL as ``SQL``.
 MODULES = {
+    "op1_top_k_search": "topk",
     "op4_bpe_round_trip": "bpe",
+    "op5_quality_classifier": "classifier",
     "op6_mix_sources": "mixing",
     "op7_secret_scans": "secrets",
     "op8_quality_rules": "quality_rules",
     "op9_chat_perspectives": "chat",
+    "op10_token_files": "token_store",
 }
 
 
