@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.bpe import bpe_encode
+from waymark.llm.jaccard import keep_one
 from waymark.llm.mixing import keep_mixed
 from waymark.llm.quality_rules import keep_by_rules
 from waymark.llm.secrets import redact_secrets
@@ -20,6 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_by_rules(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group that the n-gram Jaccard join links."""
+    return keep_one(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
     return redact_secrets(docs)
@@ -37,6 +43,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
     ("secret_scans", secret_scans),
     ("mixing", mixing),
     ("bpe", bpe),

@@ -7,6 +7,7 @@ import importlib
 #: Module of each query; the module may hold its SQL as ``SQL``.
 MODULES = {
     "op1_top_k_search": "topk",
+    "op2_ngram_jaccard": "jaccard",
     "op4_bpe_round_trip": "bpe",
     "op5_quality_classifier": "classifier",
     "op6_mix_sources": "mixing",
