@@ -148,8 +148,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(first, len(t)))
         lead = np.repeat(s[first], n)
         live = np.repeat(n > 1, n)
-        pairs = np.unique(np.stack([lead[live], s[live]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["lead", "set"])
+        lead, s = lead[live], s[live]
+        order = np.lexsort((s, lead))
+        lead, s = lead[order], s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (lead[1:] != lead[:-1]) | (s[1:] != s[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(lead[new]), pa.array(s[new])], names=["lead", "set"])
 
     now, tokens, sets = None, [], []
     for batch in batches:

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_top_k_search": "topk",
     "op2_ngram_jaccard": "jaccard",
+    "op3_substring_dedup": "substrings",
     "op4_bpe_round_trip": "bpe",
     "op5_quality_classifier": "classifier",
     "op6_mix_sources": "mixing",
