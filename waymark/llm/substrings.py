@@ -284,7 +284,7 @@ def removed_ranges(docs: DataFrame, per_doc: DataFrame, reps: DataFrame) -> Data
     found = None
     if counts.count():
         hot = segments.join(counts, "lead")
-        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(HOT // 4)))
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(max(1, HOT // 4))))
         blocks = hot.withColumn("shard", F.col("lead")).withColumn("block", block).repartition("lead", "block").sortWithinPartitions("lead", "block")
         # blocks of one group that meet in a task are one shard
         thinned = materialize(blocks.select("shard", "doc_id", "start", "words").mapInArrow(_search(True), FOUND), "thinned")
