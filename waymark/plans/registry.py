@@ -32,7 +32,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _load() -> None:
-    from waymark.plans import analysis, joins  # noqa: F401
+    from waymark.plans import analysis, ingest, joins  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,9 +85,9 @@ def scan_gpx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_pois(df: DataFrame, source_key: str, columns: dict[str, Column], offset: int = 0) -> DataFrame:
-    """Places of any input: ids count on from ``offset`` within the layer, by name and place."""
+    """Places of any input: ids count on from ``offset`` within the layer, by name, place and category."""
     d = df.select(F.lit(source_key).alias("source_key"), *[c.alias(n) for n, c in columns.items()])
-    w = Window.partitionBy("source_key").orderBy("name", "lon", "lat")
+    w = Window.partitionBy("source_key").orderBy("name", "lon", "lat", "category")
     return d.withColumns({"poi_id": F.lit(offset) + F.row_number().over(w), "props_json": F.to_json(F.struct("name", "category"))})
 
 
@@ -127,7 +127,7 @@ def scan_fcd(spark: SparkSession, path: str, epoch_ms: int, types: dict[str, str
     d = spark.read.format("xml").option("rowTag", "timestep").schema(schema).load(path).select("_time", F.explode("vehicle").alias("v"))
     labels = F.create_map(*[F.lit(x) for kv in types.items() for x in kv]) if types else None
     kind = F.coalesce(F.try_element_at(labels, F.col("v._type")), F.col("v._type")) if types else F.col("v._type")
-    return d.select(F.col("v._id").alias("id"), (F.lit(epoch_ms) + F.col("_time") * 1000).cast("long").alias("time_ms"), F.col("v._x").alias("x"), F.col("v._y").alias("y"), F.coalesce("v._edge", F.regexp_replace("v._lane", r"_\d+$", "")).alias("edge"), kind.alias("mode"), F.col("v._speed").alias("speed"))
+    return d.select(F.col("v._id").alias("id"), (F.lit(epoch_ms) + F.round(F.col("_time") * 1000)).cast("long").alias("time_ms"), F.col("v._x").alias("x"), F.col("v._y").alias("y"), F.coalesce("v._edge", F.regexp_replace("v._lane", r"_\d+$", "")).alias("edge"), kind.alias("mode"), F.col("v._speed").alias("speed"))
 
 
 def scan_building_centroids(spark: SparkSession, path: str, codes: list[str], box: tuple[float, float, float, float]) -> DataFrame:
