@@ -20,8 +20,8 @@ SLOTS, ROW = 1 << 20, 1 << 16
 BUCKET, HELD = 1 << 20, 3 << 20
 #: Sets of a group that one task compares; larger groups are split into blocks, and pairs of blocks are compared.
 GROUP = 2048
-#: Bits of a signature and children of a tree node.
-BITS, FAN = 1024, 8
+#: Least and most bits of a signature, which has as many as its set has shingles at least, and children of a tree node.
+BITS, MOST_BITS, FAN = 1024, 1 << 17, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -45,18 +45,32 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-MEASURED = "doc_id long, n_shingles long, set long, block int, counts binary"
+def signature(s: np.ndarray) -> bytes:
+    """The bitmap of a set: one bit per shingle, of a power of two of bits that is not below the size of the set."""
+    size = min(MOST_BITS, max(BITS, 1 << (len(s) - 1).bit_length())) if len(s) else BITS
+    flags = np.zeros(size, bool)
+    flags[(s >> np.uint64(65 - size.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(bitmap: bytes) -> bytes:
+    """The same set's bitmap of half as many bits."""
+    return np.packbits(np.unpackbits(np.frombuffer(bitmap, np.uint8)).reshape(-1, 2).any(1)).tobytes()
+
+
+MEASURED = "doc_id long, n_shingles long, set long, bits binary, block int, counts binary"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (size and key of its set), and at the end of a task the rows of its frequency sketch."""
+    """A row per document (size, key and bitmap of its set), and at the end of a task the rows of its frequency sketch."""
     total = np.zeros(SLOTS, np.int64)
     names = [x.split()[0] for x in MEASURED.split(", ")]
     for batch in batches:
-        sizes, keys, pending = [], [], []
+        sizes, keys, bits, pending = [], [], [], []
         for s in shingle_sets(*utf8(batch.column("text"))):
             sizes.append(len(s))
             keys.append(signed(whole_hash(s)))
+            bits.append(signature(s))
             pending.append(s)
             if len(pending) >= 256:
                 total += np.bincount(_slots(np.concatenate(pending)), minlength=SLOTS)
@@ -64,12 +78,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pending:
             total += np.bincount(_slots(np.concatenate(pending)), minlength=SLOTS)
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     for i in range(SLOTS // ROW):
         part = total[i * ROW : (i + 1) * ROW]
         if part.any():
             null = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.array([i], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=names)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +185,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SignatureTree:
     """Sets in order of size; every node holds the OR of its sets' bitmaps, their range of sizes, and the fewest bits that a shared part can have."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets], np.int64)
-        low = np.array([int(s[0] >> np.uint64(1)) if len(s) else 0 for s in sets], np.int64)
-        self.order = np.lexsort((low, n))
-        self.n = n[self.order]
-        rows = np.repeat(np.arange(len(sets)), self.n)
-        bit = (np.concatenate([sets[i] for i in self.order]) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-        flags = np.zeros((len(sets), BITS), bool)
-        flags[rows, bit] = True
-        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+    def __init__(self, n: np.ndarray, bits: np.ndarray):
+        """``n``: sizes of the sets; ``bits``: their bitmaps as rows of 64-bit words."""
+        self.order = np.lexsort((*bits[:, :2].T, n))
+        self.n, self.bits = n[self.order], bits[self.order]
         self.count = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
         # a linked set misses at most n - ceil(0.8 n) of its shingles in the shared part, and so as many bits
         need = self.count - (self.n - (-(-PERCENT * self.n // 100)))
@@ -245,16 +253,35 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return (100 + PERCENT) * shared >= PERCENT * (len(a) + len(b))
 
 
-def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def candidate_pairs(n: list[int], bitmaps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that trees leave, by place.
+
+    Sets whose bitmaps are of one length share a tree, together with those of
+    the next length, folded, that are not too large for a link with them.
+    """
+    size, length = np.array(n, np.int64), np.array([len(b) for b in bitmaps])
+    for k in np.unique(length):
+        own = np.flatnonzero(length == k)
+        more = np.flatnonzero((length == 2 * k) & (PERCENT * size <= 100 * size[own].max()))
+        at = np.concatenate([own, more])
+        if len(at) < 2:
+            continue
+        data = b"".join([bitmaps[i] for i in own] + [folded(bitmaps[i]) for i in more])
+        tree = SignatureTree(size[at], np.frombuffer(data, np.uint64).reshape(len(at), -1))
+        place = at[tree.order]
+        for i, j in tree.pairs():
+            yield place[i], place[j]
+
+
+def forest(ids: list[int], n: list[int], bitmaps: list[bytes], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join what the links of a group of sets join: (id, smallest id of its part).
 
-    Pairs come from the tree and are verified exactly, unless earlier links
-    already join them.
+    Pairs come from the tree.  With ``sets`` they are verified exactly, unless
+    earlier links already join them; without, all that the tree leaves count.
     """
-    if len(sets) < 2:
+    if len(ids) < 2:
         return []
-    tree = SignatureTree(sets)
-    parent = np.arange(len(sets))
+    parent = np.arange(len(ids))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -262,8 +289,7 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    ordered = [sets[i] for i in tree.order]
-    for i, j in tree.pairs():
+    for i, j in candidate_pairs(n, bitmaps):
         for at in range(0, len(i), 2048):
             x, y = i[at : at + 2048], j[at : at + 2048]
             root = parent
@@ -276,54 +302,88 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
             apart = root[x] != root[y]
             for p, q in zip(x[apart].tolist(), y[apart].tolist()):
                 a, b = find(p), find(q)
-                if a != b and linked(ordered[p], ordered[q]):
+                if a != b and (sets is None or linked(sets[p], sets[q])):
                     parent[max(a, b)] = min(a, b)
-    own = np.array(ids, np.int64)[tree.order]
-    roots = np.array([find(x) for x in range(len(sets))])
-    least = np.full(len(sets), np.iinfo(np.int64).max)
+    own = np.array(ids, np.int64)
+    roots = np.array([find(x) for x in range(len(ids))])
+    least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, roots, own)
     return [(int(x), int(least[r])) for x, r in zip(own, roots) if x != least[r]]
 
 
+SENT = "lead long, x long, y long, doc_id long, n long, bits binary, shingles binary"
+NAMES = [x.split()[0] for x in SENT.split(", ")]
+
+
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of every set, once for every block pair it is compared in."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        *longs, bits, data = zip(*rows)
+        return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in longs], pa.array(bits, pa.binary()), pa.array(data, pa.binary())], names=NAMES)
+
     for batch in batches:
         ids, keys = batch.column("doc_id").to_pylist(), batch.column("keys").to_pylist()
         rows: list[tuple] = []
         for doc, where, s in zip(ids, keys, shingle_sets(*utf8(batch.column("text")))):
-            data = s.tobytes()
-            rows += [(k["lead"], k["x"], k["y"], doc, data) for k in where]
+            data, bits = s.tobytes(), signature(s)
+            rows += [(k["lead"], k["x"], k["y"], doc, len(s), bits, data) for k in where]
             if len(rows) >= 2000:
-                yield _row_batch(rows)
+                yield out(rows)
                 rows = []
         if rows:
-            yield _row_batch(rows)
-
-
-def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lead, x, y, doc, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in (lead, x, y, doc)], pa.array(data, pa.binary())], names=["lead", "x", "y", "doc_id", "shingles"])
+            yield out(rows)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every group; a group's rows follow each other."""
-    now, ids, sets = None, [], []
+    """Links of every group, whose rows follow each other: verified ones, or where shingles were not sent, possible ones."""
+    now, held = None, []
     out: list[tuple[int, int]] = []
+
+    def group() -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        ids, n, bits, data = zip(*held)
+        return forest(ids, n, bits, None if data[0] is None else [np.frombuffer(x, np.uint64) for x in data])
+
     for batch in batches:
-        for lead, x, y, doc, data in zip(*[batch.column(c).to_pylist() for c in ("lead", "x", "y", "doc_id", "shingles")]):
+        for lead, x, y, *row in zip(*[batch.column(c).to_pylist() for c in NAMES]):
             if (lead, x, y) != now:
-                out += forest(ids, sets)
-                now, ids, sets = (lead, x, y), [], []
-            ids.append(doc)
-            sets.append(np.frombuffer(data, np.uint64))
+                out += group()
+                now, held = (lead, x, y), []
+            held.append(row)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
             out = []
-    out += forest(ids, sets)
+    out += group()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
 
 
+def block_keys(members: DataFrame) -> DataFrame:
+    """``members`` (lead, rep, n and more) with ``keys``: the comparisons that each set takes part in.
+
+    A group of up to GROUP sets is one comparison.  A larger one is dealt to
+    blocks by bands of size and by hash, and each block is compared with those
+    of its own band and the bands beside it, in which all sets are whose sizes
+    go with its own.
+    """
+    counts = members.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
+    placed = members.join(counts, "lead")
+    placed = placed.withColumns({"band": F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))), "blocks": F.ceil(F.col("members") / (GROUP // 2))})
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    keys = F.expr(
+        f"if(members <= {GROUP}, array(named_struct('lead', lead, 'x', 0L, 'y', 0L)), flatten(transform(sequence(band - 1, band + 1), b -> "
+        "transform(sequence(0L, blocks - 1), j -> named_struct('lead', lead, 'x', least(band * 1048576 + block, b * 1048576 + j), 'y', greatest(band * 1048576 + block, b * 1048576 + j))))))"
+    )
+    return placed.withColumn("keys", keys).drop("members", "band", "blocks", "block")
+
+
+def compared(sent: DataFrame) -> DataFrame:
+    """Links (a, b) of what was sent to the comparisons."""
+    return sent.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(_compare, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -338,38 +398,31 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     Equal sets are one node.  Of every set, the rarest fifth of its shingles
     (by a frequency sketch of fixed size over all documents, then by hash) is
     dealt to buckets: linked sets share one of these.  Sets that meet under a
-    shingle form the group of the smallest one; groups beyond GROUP sets are
-    split into blocks by size and hash, and compatible block pairs compared.
-    Each comparison is a traversal of a signature tree against itself, an exact
-    test for pairs that it leaves and earlier links do not join already, and
-    gives a forest of links; its components are found by star steps.
+    shingle form the group of the smallest one.  A traversal of the group's
+    signature tree against itself leaves pairs that may be linked; only sets
+    with such a pair are sent with their shingles, once per component of these
+    pairs, whose tree is traversed again with an exact test of each pair that
+    earlier links do not join already.  Groups beyond GROUP sets are compared
+    by pairs of blocks.  Components are found by star steps.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     measured = materialize(rows.mapInArrow(_measure, MEASURED), "sets")
-    per_doc = measured.where("block is null").select("doc_id", "n_shingles", "set")
-    sets = materialize(per_doc.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "set-reps")
+    per_doc = measured.where("block is null").select("doc_id", "n_shingles", "set", "bits")
+    sets = per_doc.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bits").alias("bits"))
+    sets = materialize(sets, "set-reps")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = int(max(24, total * (100 - PERCENT) // 100 // BUCKET + 1))
     classes = spark.sparkContext.broadcast(frequency_classes(measured))
     posted = rows.mapInArrow(_post(classes, n_buckets), "bucket int, tokens binary, sets binary")
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "lead long, set long")
     members = materialize(met.groupBy("lead", "set").agg(F.count(F.lit(1)).alias("met")).drop("met"), "members")
-    counts = members.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
-    placed = members.join(counts, "lead").join(sets, "set")
-    # a set of a large group is compared in every pair of its block with a block of a size that goes with its own
-    placed = placed.withColumns({"band": F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))), "blocks": F.ceil(F.col("members") / (GROUP // 2)).cast("int")})
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")))
-    keys = F.expr(
-        f"if(members <= {GROUP}, array(named_struct('lead', lead, 'x', 0L, 'y', 0L)), flatten(transform(sequence(band - 1, band + 1), b -> "
-        "transform(sequence(0L, cast(blocks as long) - 1), j -> named_struct('lead', lead, 'x', least(band * 1048576 + block, b * 1048576 + j), 'y', greatest(band * 1048576 + block, b * 1048576 + j)))))) "
-    )
-    live = placed.select("rep", F.explode(keys).alias("k")).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("k").alias("keys"))
-    live = materialize(live, "live-sets")
+    placed = block_keys(members.join(sets, "set").select("lead", "rep", "n", "bits")).select("n", "bits", F.col("rep").alias("doc_id"), F.explode("keys").alias("k"))
+    maybe = components(compared(placed.select("k.lead", "k.x", "k.y", "doc_id", "n", "bits", F.lit(None).cast("binary").alias("shingles"))))
+    near = maybe.withColumnsRenamed({"node": "rep", "root": "lead"}).join(sets.select("rep", "n"), "rep")
+    live = materialize(block_keys(near).select(F.col("rep").alias("doc_id"), "keys"), "live-sets")
     texts = matched(rows, live, "doc_id").select("doc_id", "text", "keys")
-    sent = texts.mapInArrow(_shingle, "lead long, x long, y long, doc_id long, shingles binary")
-    links = sent.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(_compare, "a long, b long")
-    roots = components(links)
+    roots = components(compared(texts.mapInArrow(_shingle, SENT)))
     comp = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"))
     comp = materialize(comp, "set-components")
     filled = matched(per_doc.where("n_shingles > 0"), comp, "set", salt_by=F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
