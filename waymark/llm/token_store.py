@@ -3,28 +3,85 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.llm.store import new_path
+from waymark.llm.words import _power, mix
 
 END = 2
-#: Ids in a shard (one document more may follow), texts in a batch by characters, pieces kept with their ids.
-SHARD_IDS, PIECE, KEPT_PIECES = 1 << 20, 2_000_000, 300_000
+CHAR_BASE = 0x9E6C63D0876A9A55
+CHAR_BACK = pow(CHAR_BASE, -1, 1 << 64)
+#: Ids in a shard (one document more may follow), characters in a batch of texts, and pre-tokens kept with their ids.
+SHARD_IDS, PIECE, KEPT = 1 << 20, 1_500_000, 1_200_000
 #: Input bytes for one sorted partition of documents.
 PART_BYTES = 24 << 20
-#: Pre-tokens of the byte-level vocabulary, as its library states them.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Classes of characters: letters, numbers, white space, others.
+LETTER, NUMBER, SPACE, OTHER = range(4)
+_BLANKS = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_classes: list[np.ndarray] = []
+_encoders: dict[str, Encoder] = {}
+
+
+def classes() -> np.ndarray:
+    """The class of every code point."""
+    if not _classes:
+        table = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
+        table[list(_BLANKS)] = SPACE
+        _classes.append(table)
+    return _classes[0]
+
+
+def pre_tokens(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens in texts laid end to end; ``first`` are the places of the texts' first characters.
+
+    A pre-token is a run of letters, of numbers or of other marks with one
+    blank before it, or white space without the character before a run; 's,
+    't, 're, 've, 'm, 'll and 'd split off where they follow anything but a
+    blank or a mark.
+    """
+    n = len(chars)
+    kind = classes()[chars]
+    head = np.zeros(n + 1, bool)
+    head[first] = True
+    run = head[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    start = run.copy()
+    # the last white space before a run: a pre-token of its own, or the blank of the run
+    after = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~head[1:n])
+    start[after] = True
+    blank = after[chars[after] == 32]
+    start[blank + 1] = False
+    mark = np.flatnonzero((chars == 39) & run & start)
+    mark = mark[mark + 1 < n]
+    mark = mark[(kind[mark + 1] == LETTER) & ~head[mark + 1]]
+    if len(mark):
+        one, two = chars[mark + 1], np.where(mark + 2 < n, chars[np.minimum(mark + 2, n - 1)], 0)
+        two[head[np.minimum(mark + 2, n)]] = 0
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        for hit, size in ((short, 2), (long & ~short, 3)):
+            at = mark[hit]
+            start[at + 1] = False
+            cut = at + size
+            start[cut[cut < n]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for every distinct pre-token of a batch."""
+    """Ids of texts by the tokenizers library, which is asked once for every distinct pre-token.
+
+    Pre-tokens are found and hashed on arrays of code points; their ids are kept
+    in a table from hash to ids, which starts anew when it is full.
+    """
+
+    BITS = 22
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,107 +94,167 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.split = regex.compile(SPLIT)
-        self.ids: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.marks is None or not self.marks.search(text):
-            return self.split.findall(text)
-        out, at = [], 0
-        for m in self.marks.finditer(text):
-            out += self.split.findall(text[at : m.start()])
-            out.append(m.group())
-            at = m.end()
-        return out + self.split.findall(text[at:])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers."""
-        split = [self._pieces(t) for t in texts]
-        if len(self.ids) > KEPT_PIECES:
-            self.ids.clear()
-        new = [x for x in set().union(*split) if x not in self.ids] if split else []
-        if new:
-            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            word = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-            starts = (np.searchsorted(word, np.arange(len(new) + 1)) * 4).tolist()
-            data = np.array(got.ids, "<u4").tobytes()
-            self.ids.update(zip(new, [data[a:b] for a, b in zip(starts, starts[1:])]))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
-
-
-def repair(ids: np.ndarray, base: int, rounds: int = 8, least: int = 24, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._start()
+
+    @staticmethod
+    def shared(path: str | None = None) -> Encoder:
+        """One encoder per process and file: tasks of a worker go on with the table."""
+        return _encoders.setdefault(path or "", Encoder(path)) if (path or "") not in _encoders else _encoders[path or ""]
+
+    def _start(self) -> None:
+        self.keys, self.rows = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
+        self.pool, self.starts, self.n, self.used = np.zeros(1 << 20, np.int32), np.zeros(KEPT + 1, np.int64), 0, 0
+
+    def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is in the table, or the free slot where it belongs; and whether it is there."""
+        mask = (1 << self.BITS) - 1
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            own = self.keys[slot[open_]]
+            open_ = open_[(own != key[open_]) & (own != 0)]
+        return slot, self.keys[slot] == key
+
+    def _learn(self, key: np.ndarray, texts: list[str]) -> None:
+        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        word = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+        ids = np.array(got.ids, np.int32)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        ends = self.used + np.searchsorted(word, np.arange(1, len(texts) + 1))
+        self.starts[self.n + 1 : self.n + 1 + len(texts)] = ends
+        self.used += len(ids)
+        left, row = key, np.arange(self.n, self.n + len(texts), dtype=np.int32)
+        self.n += len(texts)
+        while len(left):
+            slot, _ = self._slots(left)
+            self.keys[slot] = left
+            won = self.keys[slot] == left
+            self.rows[slot[won]] = row[won]
+            left, row = left[~won], row[~won]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text starts in it (one more at the end)."""
+        plain = [t if not any(x in t for x in self.special) else "" for t in texts]
+        size = np.fromiter(map(len, plain), np.int64, len(plain))
+        ends = np.cumsum(size)
+        chars = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, bounds = self._flat(chars, (ends - size)[size > 0]) if len(chars) else (np.zeros(0, np.int32), None)
+        # a text starts where its first pre-token does
+        cuts = np.append(ends - size, len(chars))
+        at = bounds[1][np.searchsorted(bounds[0], cuts)] if bounds is not None else np.zeros(len(cuts), np.int64)
+        marked = [i for i, (t, p) in enumerate(zip(texts, plain)) if t and not p]
+        if not marked:
+            return ids, at
+        parts = [ids[a:b] for a, b in zip(at, at[1:])]
+        for i in marked:  # a text with a special token goes to the library as it is
+            parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _flat(self, chars: np.ndarray, first: np.ndarray):
+        starts = pre_tokens(chars, first)
+        ends = np.append(starts[1:], len(chars))
+        up, down = _power("chars", CHAR_BASE, len(chars)), _power("back", CHAR_BACK, len(chars))
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars + np.uint32(1)) * up, out=sums[1:], dtype=np.uint64)
+        key = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        slot, known = self._slots(key)
+        if not known.all():
+            new, place = np.unique(key[~known], return_index=True)
+            if self.n + len(new) > KEPT:
+                self._start()
+                new, place = np.unique(key, return_index=True)
+                where = np.arange(len(key))[place]
+            else:
+                where = np.flatnonzero(~known)[place]
+            for a in range(0, len(new), KEPT // 4):
+                some = where[a : a + KEPT // 4]
+                self._learn(new[a : a + KEPT // 4], [chars[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(starts[some], ends[some])])
+            slot, known = self._slots(key)
+        row = self.rows[slot]
+        begin = self.starts[row]
+        size = self.starts[row + 1] - begin
+        upto = np.cumsum(size)
+        ids = self.pool[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]))]
+        return ids, (np.append(starts, len(chars)), np.concatenate([[0], upto]))
+
+
+def repair(ids: np.ndarray, base: int, rounds: int = 4, least: int = 24, most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: the sequence over ids and rules, the rules' pairs, and how many ids each rule expands to.
 
-    A round counts adjacent pairs, gives the most frequent ones (at least
-    ``least`` times, at most ``most`` at once) a nonterminal each, numbered
-    from ``base``, and replaces their places; where places overlap the more
-    frequent pair goes first, then the one further left.  Rounds end when a
-    round finds nothing or saves under one symbol in a hundred.
+    A round counts adjacent pairs in a table of hashes, gives the most frequent
+    ones (at least ``least`` times, at most ``most`` at once) a nonterminal
+    each, numbered from ``base``, and replaces their places; where places
+    overlap the more frequent pair goes first, then the one further left.  Of
+    pairs that share a slot of the table one is taken.  Rounds end when a round
+    finds nothing or saves under one symbol in fifty.
     """
-    s = ids.astype(np.int64)
+    s = ids.astype(np.int32)
     pairs: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     known = np.zeros(0, np.int64)
-    top = base
-    mask = (1 << 20) - 1
+    top, bits = base, 20
     for _ in range(rounds):
         if len(s) < 2:
             break
-        key = (s[:-1] << 32) | s[1:]
-        slot = ((key * np.int64(-7046029254386353131)) >> np.int64(44)) & mask
-        count = np.bincount(slot, minlength=mask + 1)
+        u = s.view(np.uint32)
+        slot = ((u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
+        count = np.bincount(slot, minlength=1 << bits)
         floor = max(least, int(np.partition(count, -most)[-most]))
-        at = np.flatnonzero((count >= floor)[slot])
-        if not len(at):
+        hot = np.flatnonzero(count >= floor)
+        if not len(hot):
             break
-        found, index, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:most]
-        order = order[n[order] >= least]
-        if not len(order):
-            break
-        rank = np.full(len(found), len(found), np.int64)
-        rank[order] = np.arange(len(order))
-        r = rank[index]
-        at, r = at[r < len(found)], r[r < len(found)]
+        hot = hot[np.argsort(-count[hot], kind="stable")[:most]]
+        rank = np.full(1 << bits, len(hot), np.int32)
+        rank[hot] = np.arange(len(hot), dtype=np.int32)
+        r = rank[slot]
+        at = np.flatnonzero(r < len(hot))
+        r = r[at]
+        left, right = np.zeros(len(hot), np.int32), np.zeros(len(hot), np.int32)
+        left[r], right[r] = s[at], s[at + 1]
+        same = (left[r] == s[at]) & (right[r] == s[at + 1])
+        at, r = at[same], r[same]
         taken = np.zeros(len(s) + 1, bool)
-        left_at, left_r = at, r
         chosen_at, chosen_r = [], []
-        while len(left_at):  # places whose rank is the lowest among those that overlap them
-            near = np.diff(left_at) == 1
-            better = np.ones(len(left_at), bool)
-            better[1:] &= ~near | (left_r[1:] < left_r[:-1])
-            better[:-1] &= ~near | (left_r[:-1] <= left_r[1:])
-            pick = left_at[better]
+        while len(at):  # places whose rank is the lowest among those that overlap them
+            near = np.diff(at) == 1
+            better = np.ones(len(at), bool)
+            better[1:] &= ~near | (r[1:] < r[:-1])
+            better[:-1] &= ~near | (r[:-1] <= r[1:])
+            pick = at[better]
             chosen_at.append(pick)
-            chosen_r.append(left_r[better])
+            chosen_r.append(r[better])
             taken[pick] = taken[pick + 1] = True
-            free = ~better & ~taken[left_at] & ~taken[left_at + 1]
-            left_at, left_r = left_at[free], left_r[free]
+            free = ~better & ~taken[at] & ~taken[at + 1]
+            at, r = at[free], r[free]
         at, r = np.concatenate(chosen_at), np.concatenate(chosen_r)
-        used, r = np.unique(r, return_inverse=True)
-        rule = found[order[used]]
-        pair = np.stack([rule >> 32, rule & 0xFFFFFFFF], 1)
+        number = np.zeros(len(hot), np.int32)
+        number[r] = 1
+        used = np.flatnonzero(number)
+        number[used] = np.arange(len(used))
+        pair = np.stack([left[used], right[used]], 1).astype(np.int64)
         size = np.where(pair < base, 1, known[np.maximum(pair - base, 0)] if len(known) else 1).sum(1)
         pairs.append(pair)
         lengths.append(size)
         known = np.concatenate([known, size])
-        s[at] = top + r
+        s[at] = top + number[r]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         before = len(s)
         s = s[keep]
         top += len(used)
-        if before - len(s) < 0.01 * before:
+        if before - len(s) < 0.02 * before:
             break
     return s, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), known
 
 
-def expand(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a sequence of symbols: rules are opened, all places at a time, until none is left."""
-    s = symbols.astype(np.int64)
+def rule_ids(pairs: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """What every rule expands to, laid end to end, and where each starts (one more at the end); rules are opened level by level."""
+    n = len(pairs)
+    s, owner = np.arange(base, base + n), np.arange(n)
     while (high := s >= base).any():
         size = np.where(high, 2, 1)
         at = np.cumsum(size) - size
@@ -145,8 +262,24 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
         out[at[~high]] = s[~high]
         rule = pairs[s[high] - base]
         out[at[high]], out[at[high] + 1] = rule[:, 0], rule[:, 1]
-        s = out
-    return s
+        s, owner = out, np.repeat(owner, size)
+    return s, np.searchsorted(owner, np.arange(n + 1))
+
+
+def expand(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
+    """Ids of a sequence of symbols."""
+    s = symbols.astype(np.int64)
+    if not len(pairs) or not len(s):
+        return s
+    flat, starts = rule_ids(pairs, base)
+    rule = s - base
+    high = rule >= 0
+    pool = np.concatenate([np.arange(base), flat])  # an id stands for itself
+    begin, size = s.copy(), np.ones(len(s), np.int64)
+    begin[high] = base + starts[rule[high]]
+    size[high] = starts[rule[high] + 1] - starts[rule[high]]
+    upto = np.cumsum(size)
+    return pool[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]))]
 
 
 class Shard:
@@ -192,17 +325,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.shared(tokenizer)
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         base = max(base, end_id + 1)
         part, shard = TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], "<u4").tobytes()
-        ids, keys, size = [], [], 0
+        ids, keys, lengths, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in ids]
-            s, pairs, sizes = repair(np.frombuffer(b"".join(ids), "<u4"), base)
-            row = [part, shard, base, size, keys, lengths, s.astype("<u4").tobytes(), pairs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()]
+            s, pairs, sizes = repair(np.concatenate(ids), base)
+            row = [part, shard, base, size, keys, np.concatenate(lengths), s.astype("<u4").tobytes(), pairs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in FORMAT.split(", ")])
 
@@ -214,13 +345,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 while end < len(texts) and (n < PIECE or end == at):
                     n += len(texts[end])
                     end += 1
-                for key, x in zip(own[at:end], encoder.encode(texts[at:end])):
-                    ids.append(x + tail)
-                    keys.append(key)
-                    size += len(x) // 4 + 1
-                    if size >= SHARD_IDS:
-                        yield flush()
-                        shard, ids, keys, size = shard + 1, [], [], 0
+                got, starts = encoder.encode(texts[at:end])
+                ids.append(np.insert(got, starts[1:], end_id))
+                lengths.append(np.diff(starts) + 1)
+                keys += own[at:end]
+                size += len(ids[-1])
+                if size >= SHARD_IDS:
+                    yield flush()
+                    shard, ids, keys, lengths, size = shard + 1, [], [], [], 0
                 at = end
         if ids:
             yield flush()
@@ -232,24 +364,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ordered.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """What the files hold, per document in order: part, shard, doc_id, ids, n_tokens, at (ids before it in the shard)."""
+def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """What the files hold, per document in order: part, shard, doc_id, ids, n_tokens, at (ids before it in the shard), ids_crc32.
+
+    Every shard is opened as a whole; without ``with_ids`` the ids themselves
+    stay in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                lengths = np.array(r["lengths"], np.int64)
-                shard = Shard(r["base"], lengths, r["sequence"], r["rules"], r["sizes"])
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                lengths = r["lengths"].values.to_numpy()
+                flat = expand(np.frombuffer(r["sequence"].as_py(), "<u4"), np.frombuffer(r["rules"].as_py(), "<u4").astype(np.int64).reshape(-1, 2), r["base"].as_py()).astype("<u4")
+                cuts = np.concatenate([[0], np.cumsum(lengths)])
                 n = len(lengths)
                 for a in range(0, n, 512):
                     b = min(a + 512, n)
-                    ids = [shard.document(i).astype("<u4").tobytes() for i in range(a, b)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["part"]] * (b - a), pa.int32()), pa.array([r["shard"]] * (b - a), pa.int32()), pa.array(r["doc_ids"][a:b], pa.int64()), pa.array(ids, pa.binary()), pa.array(lengths[a:b]), pa.array(shard.docs[a:b].astype(np.int64)), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                        names=["part", "shard", "doc_id", "ids", "n_tokens", "at", "ids_crc32"],
-                    )
+                    ids = [flat[x:y].tobytes() for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1])]
+                    columns = [pa.array([r["part"].as_py()] * (b - a), pa.int32()), pa.array([r["shard"].as_py()] * (b - a), pa.int32()), r["doc_ids"].values[a:b], pa.array(lengths[a:b]), pa.array(cuts[a:b].astype(np.int64)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                    names = ["part", "shard", "doc_id", "n_tokens", "at", "ids_crc32"]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
-    return spark.read.parquet(path).mapInArrow(run, "part int, shard int, doc_id long, ids binary, n_tokens long, at long, ids_crc32 long")
+    return spark.read.parquet(path).mapInArrow(run, "part int, shard int, doc_id long, n_tokens long, at long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def index_tokens(spark, path: str) -> DataFrame:
@@ -262,7 +399,7 @@ def index_tokens(spark, path: str) -> DataFrame:
     per = per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     first = shards.withColumn("within", within).join(per, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("first"))
-    docs = read_tokens(spark, path).drop("ids")
+    docs = read_tokens(spark, path, False)
     return docs.join(first, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
