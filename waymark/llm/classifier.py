@@ -32,12 +32,14 @@ class Network:
 def segments(net: Network, data: np.ndarray, offsets: np.ndarray, keep: bool = False):
     """Highest response of every filter in every segment, and each text's first segment (one more at the end).
 
-    Texts are laid on a grid of whole segments, padded by zero bytes, and every
-    byte of every text is under some filter place.
+    Texts are laid on a grid of whole segments, padded by STEP zero bytes or
+    more, and every byte of every text is under some filter place.  A text's
+    last place, which reaches into the next text, does not count.
     """
     n = np.diff(offsets)
-    cells = np.maximum(1, -(-n // PAD))
+    cells = -(-(n + STEP) // PAD)
     firsts = np.concatenate([[0], np.cumsum(cells)])
+    ends = firsts[1:] - 1
     grid = np.zeros(firsts[-1] * PAD + WIDTH, np.uint8)
     row = np.repeat(np.arange(len(n)), n)
     grid[np.arange(len(data)) - offsets[row] + firsts[row] * PAD] = data
@@ -49,6 +51,7 @@ def segments(net: Network, data: np.ndarray, offsets: np.ndarray, keep: bool = F
         e = net.embed[grid[a * PAD : b * PAD + WIDTH]]
         w = np.lib.stride_tricks.as_strided(e, ((b - a) * SEGMENT, WIDTH * EMBED), (e.strides[0] * STEP, e.strides[1]))
         z = (np.ascontiguousarray(w) @ net.filters + net.bias).reshape(b - a, SEGMENT, FILTERS)
+        z[ends[(ends >= a) & (ends < b)] - a, -1] = -np.inf
         if keep:
             best = z.argmax(1)
             out[a:b] = np.take_along_axis(z, best[:, None], 1)[:, 0]

@@ -104,7 +104,7 @@ def judge(measured: DataFrame, bad_rate: float = 0.25) -> DataFrame:
         joined = measured.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("v_host")), "left")
     else:
         salted = measured.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-        copies = verdicts.withColumn("v_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        copies = verdicts.withColumn("v_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(copies, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("salt") == F.col("v_salt")), "left").drop("salt", "v_salt")
     against = None
     for r in RULES:

@@ -120,7 +120,7 @@ def _meet(candidates: DataFrame, packed: DataFrame, n_blocks: int, small: bool)
     """Every block of candidates beside every block of queries of the same width."""
     if small:
         return candidates.join(F.broadcast(packed), "width")
-    spread = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    spread = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     return spread.join(packed, ["width", "q_block"])
 
 
