@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.fm_index import FmIndex
-from waymark.llm.spread import matched
 from waymark.llm.store import materialize
 from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
@@ -278,7 +277,7 @@ def removed_ranges(docs: DataFrame, per_doc: DataFrame, reps: DataFrame) -> Data
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, leads binary, grams binary")
     live = met.groupBy("key").agg(F.collect_list("leads").alias("leads"), F.collect_list("grams").alias("grams"))
     live = materialize(live.join(reps.select("key", F.col("rep").alias("doc_id")), "key").drop("key"), "live-anchors")
-    texts = matched(rows, live, "doc_id", rows=100_000).select("doc_id", "text", "leads", "grams")
+    texts = rows.join(live, "doc_id").select("doc_id", "text", "leads", "grams")
     segments = materialize(texts.mapInArrow(_segments, SEGMENTS), "segments")
     counts = materialize(segments.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot-groups")
     found = None
