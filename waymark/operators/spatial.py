@@ -8,9 +8,6 @@ from waymark.functions.clock import hour_of_day
 from waymark.functions.grid import grid_per_degree, grid_round
 from waymark.operators.filters import PAIR
 
-N = F.lit(1)
-
-
 def _top(df: DataFrame, by: str, ties: list[str], limit: int) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *ties).limit(limit)
 
@@ -19,20 +16,20 @@ def od_flows(trips: DataFrame, top_n: int = 50, least: int = 5) -> DataFrame:
     """Pairs of 0.05-degree cells with at least ``least`` trips, the ``top_n`` largest."""
     cells = {"o_lon": "start_lon", "o_lat": "start_lat", "d_lon": "end_lon", "d_lat": "end_lat"}
     g = trips.where("start_lon is not null and end_lon is not null").groupBy(*[grid_per_degree(F.col(c), 20).alias(n) for n, c in cells.items()])
-    d = g.agg(F.count(N).alias("volume"), F.avg("distance_km").alias("avg_distance_km")).where(F.col("volume") >= least)
+    d = g.agg(F.count("*").alias("volume"), F.avg("distance_km").alias("avg_distance_km")).where(F.col("volume") >= least)
     return _top(d, "volume", list(cells), top_n)
 
 
 def od_flows_zone(trips: DataFrame, top_n: int = 50) -> DataFrame:
     """Pairs of zones with the means of their ends."""
     d = trips.where("origin_zone is not null and dest_zone is not null").groupBy("origin_zone", "dest_zone")
-    d = d.agg(F.count(N).alias("volume"), *[F.avg(c).alias(f"avg_{c}") for c in ("start_lon", "start_lat", "end_lon", "end_lat")])
+    d = d.agg(F.count("*").alias("volume"), *[F.avg(c).alias(f"avg_{c}") for c in ("start_lon", "start_lat", "end_lon", "end_lat")])
     return _top(d, "volume", ["origin_zone", "dest_zone"], top_n)
 
 
 def _ends(trips: DataFrame, point_type: str, lon: Column, lat: Column, prefix: str) -> DataFrame:
     d = trips.where(f"{prefix}_lon is not null").groupBy(lon.alias("lon"), lat.alias("lat"))
-    return d.agg(F.count(N).alias("weight"))
+    return d.agg(F.count("*").alias("weight"))
 
 
 def density_grid(trips: DataFrame, resolution: float = 0.01, point_type: str = "origin", limit: int = 5000) -> DataFrame:
@@ -48,7 +45,7 @@ def density_grid(trips: DataFrame, resolution: float = 0.01, point_type: str = "
 def waypoint_density(waypoints: DataFrame, scope: DataFrame | None = None, resolution: float = 0.005, limit: int = 5000) -> DataFrame:
     """Waypoints per rounded cell, of the trips in ``scope``."""
     w = waypoints if scope is None else waypoints.join(scope.select(*PAIR), PAIR, "left_semi")
-    d = w.groupBy(grid_round(F.col("lon"), resolution).alias("lon"), grid_round(F.col("lat"), resolution).alias("lat")).agg(F.count(N).alias("weight"))
+    d = w.groupBy(grid_round(F.col("lon"), resolution).alias("lon"), grid_round(F.col("lat"), resolution).alias("lat")).agg(F.count("*").alias("weight"))
     return _top(d, "weight", ["lon", "lat"], limit)
 
 
@@ -57,7 +54,7 @@ def footfall(trips: DataFrame, waypoints: DataFrame, resolution: float = 0.002,
     walks = trips.where("transport_mode = 0")
     w = waypoints.join(walks.select(*PAIR), PAIR, "left_semi").select("lon", "lat", F.lit(0).alias("level"))
     ends = walks.select(F.col("start_lon").alias("lon"), F.col("start_lat").alias("lat")).unionByName(walks.select(F.col("end_lon").alias("lon"), F.col("end_lat").alias("lat"))).withColumn("level", F.lit(1))
-    d = w.unionByName(ends).groupBy("level", grid_round(F.col("lon"), resolution).alias("lon"), grid_round(F.col("lat"), resolution).alias("lat")).agg(F.count(N).alias("weight"))
+    d = w.unionByName(ends).groupBy("level", grid_round(F.col("lon"), resolution).alias("lon"), grid_round(F.col("lat"), resolution).alias("lat")).agg(F.count("*").alias("weight"))
     best = d.agg(F.min("level").alias("best"))
     return _top(d.join(F.broadcast(best)).where("level = best").select("lon", "lat", "weight"), "weight", ["lon", "lat"], limit)
 
@@ -69,8 +66,8 @@ def link_density(waypoints: DataFrame, top_n: int = 500, min_waypoints: int = 50
     link is no single task's work.
     """
     w = waypoints.where("link_id is not null and link_id <> ''")
-    per = w.groupBy("link_id", "vehicle_key").agg(F.count(N).alias("n"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat"))
-    d = per.groupBy("link_id").agg(F.sum("n").alias("waypoints"), F.count(N).alias("vehicles"), (F.sum("lon") / F.sum("n")).alias("lon"), (F.sum("lat") / F.sum("n")).alias("lat"))
+    per = w.groupBy("link_id", "vehicle_key").agg(F.count("*").alias("n"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat"))
+    d = per.groupBy("link_id").agg(F.sum("n").alias("waypoints"), F.count("*").alias("vehicles"), (F.sum("lon") / F.sum("n")).alias("lon"), (F.sum("lat") / F.sum("n")).alias("lat"))
     return _top(d.where(F.col("waypoints") >= min_waypoints), "waypoints", ["link_id"], top_n)
 
 
@@ -83,7 +80,7 @@ def link_groups(waypoints: DataFrame, trips: DataFrame, links: DataFrame, by: st
     w = waypoints.join(links.select("link_id"), "link_id", "left_semi")
     if by == "mode":
         w = w.join(trips.select(*PAIR, "mode"), PAIR, "left")
-    return w.groupBy("link_id", F.col(by).alias("value")).agg(F.count(N).alias("waypoints"))
+    return w.groupBy("link_id", F.col(by).alias("value")).agg(F.count("*").alias("waypoints"))
 
 
 def link_segments(waypoints: DataFrame) -> DataFrame:
@@ -95,7 +92,7 @@ def link_segments(waypoints: DataFrame) -> DataFrame:
 
 def best_trip_per_link(segs: DataFrame) -> DataFrame:
     """The trip with most pairs on each link; ties by vehicle and trip."""
-    n = segs.groupBy("link_id", *PAIR).agg(F.count(N).alias("n"))
+    n = segs.groupBy("link_id", *PAIR).agg(F.count("*").alias("n"))
     w = Window.partitionBy("link_id").orderBy(F.col("n").desc(), "vehicle_key", "trip_id")
     return n.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "n")
 
@@ -114,7 +111,7 @@ def link_paths(waypoints: DataFrame, links: DataFrame) -> DataFrame:
 def hotspots(trips: DataFrame, point_type: str = "origin", top_n: int = 20) -> DataFrame:
     """The busiest 0.01-degree cells, ranked."""
     p = {"origin": "start", "destination": "end"}[point_type]
-    d = trips.groupBy(grid_per_degree(F.col(f"{p}_lon"), 100).alias("lon"), grid_per_degree(F.col(f"{p}_lat"), 100).alias("lat")).agg(F.count(N).alias("volume"), F.countDistinct("vehicle_key").alias("vehicles"))
+    d = trips.groupBy(grid_per_degree(F.col(f"{p}_lon"), 100).alias("lon"), grid_per_degree(F.col(f"{p}_lat"), 100).alias("lat")).agg(F.count("*").alias("volume"), F.countDistinct("vehicle_key").alias("vehicles"))
     top = _top(d, "volume", ["lon", "lat"], top_n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("volume").desc(), "lon", "lat")))
 
@@ -124,14 +121,14 @@ def build_density_hourly(waypoints: DataFrame, cities: DataFrame, anchor: int, r
     city = cities.where("city is not null").select("vehicle_key", "city").distinct()
     w = waypoints.join(city, "vehicle_key", "left")
     keys = [F.col("source_id"), F.col("city"), hour_of_day(F.col("unix_time_ms"), anchor).alias("hour"), grid_round(F.col("lon"), resolution).alias("grid_lon"), grid_round(F.col("lat"), resolution).alias("grid_lat")]
-    return w.groupBy(*keys).agg(F.count(N).alias("weight")).withColumn("resolution", F.lit(float(resolution)))
+    return w.groupBy(*keys).agg(F.count("*").alias("weight")).withColumn("resolution", F.lit(float(resolution)))
 
 
 def density_hourly(cells: DataFrame, resolution: float = 0.005, max_cells_per_hour: int = 15000) -> DataFrame:
     """Cells over all sources, the heaviest per hour, with the largest weight of all and whether an hour was cut."""
     d = cells.where(F.col("resolution") == float(resolution)).groupBy("hour", "grid_lon", "grid_lat").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy("hour")
-    d = d.withColumns({"rn": F.row_number().over(w.orderBy(F.col("weight").desc(), "grid_lon", "grid_lat")), "n": F.count(N).over(w)})
+    d = d.withColumns({"rn": F.row_number().over(w.orderBy(F.col("weight").desc(), "grid_lon", "grid_lat")), "n": F.count("*").over(w)})
     top = d.agg(F.max("weight").alias("max_weight"))
     return d.where(F.col("rn") <= max_cells_per_hour).join(F.broadcast(top)).select("hour", "grid_lon", "grid_lat", "weight", "max_weight", (F.col("n") > max_cells_per_hour).alias("truncated"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.functions import grid
@@ -15,18 +17,16 @@ from waymark.plans.analysis import BOX, IN_BOX
 from waymark.plans.registry import query
 from waymark.plans.views import PING_ANCHOR, Views
 
-N = F.lit(1)
-
-
 def _summary(trips: DataFrame) -> DataFrame:
     """What is left of the trips: number, sums and range of ids."""
-    return trips.agg(F.count(N).alias("trips"), F.sum("trip_id").alias("id_sum"), F.min("trip_id").alias("id_min"), F.max("trip_id").alias("id_max"), F.sum("distance_km").alias("km"))
+    return trips.agg(F.count("*").alias("trips"), F.sum("trip_id").alias("id_sum"), F.min("trip_id").alias("id_min"), F.max("trip_id").alias("id_max"), F.sum("distance_km").alias("km"))
 
 
-def _filter_query(name: str, flt: TripFilter, where: str, full: bool = False) -> None:
+def _filter_query(name: str, flt: TripFilter | Callable[[], TripFilter], where: str, full: bool = False) -> None:
+    """``flt`` is made when the query runs if it holds columns, which need a session."""
     table = "full_trips" if full else "trips"
     query(name, f"SELECT count(*) AS trips, sum(trip_id)::BIGINT AS id_sum, min(trip_id) AS id_min, max(trip_id) AS id_max, sum(distance_km) AS km FROM {table} WHERE {where}", "km")(
-        lambda v: _summary(flt.apply(v.full_trips if full else v.trips, v.waypoints if flt.scenario else None))
+        lambda v: _summary((flt() if callable(flt) else flt).apply(v.full_trips if full else v.trips, v.waypoints))
     )
 
 
@@ -43,16 +43,16 @@ _filter_query("f_dwell", TripFilter(dwell_max=120), "dwell_minutes <= 120", True
 _filter_query("f_detour", TripFilter(detour_min=1, detour_max=2), "detour_ratio BETWEEN 1 AND 2", True)
 _filter_query("f_scenario", TripFilter(scenario=BOX), f"NOT (transport_mode = 3 AND {_ENTERS})")
 _filter_query("f_zone_pair", TripFilter(origin_zone="Z1396_355", dest_zone="Z1399_359"), "origin_zone = 'Z1396_355' AND dest_zone = 'Z1399_359'")
-_filter_query("f_arc_window", TripFilter(extra=(f.near_clock(43200),)), "starttime BETWEEN 41400 AND 45000")
-_filter_query("f_vehicle_prefix", TripFilter(extra=(f.vehicle_prefix("fleet_a:1_"),)), "starts_with(vehicle_key, 'fleet_a:1_')")
-_filter_query("f_vehicle_list", TripFilter(extra=(f.vehicle_list(["fleet_a:1", "fleet_b:7", "fleet_b:10"]),)), "vehicle_key IN ('fleet_a:1', 'fleet_b:7', 'fleet_b:10')")
-_filter_query("f_hide_sources", TripFilter(extra=(~F.col("source_id").isin("fleet_b"),)), "source_id NOT IN ('fleet_b')")
+_filter_query("f_arc_window", lambda: TripFilter(extra=(f.near_clock(43200),)), "starttime BETWEEN 41400 AND 45000")
+_filter_query("f_vehicle_prefix", lambda: TripFilter(extra=(f.vehicle_prefix("fleet_a:1_"),)), "starts_with(vehicle_key, 'fleet_a:1_')")
+_filter_query("f_vehicle_list", lambda: TripFilter(extra=(f.vehicle_list(["fleet_a:1", "fleet_b:7", "fleet_b:10"]),)), "vehicle_key IN ('fleet_a:1', 'fleet_b:7', 'fleet_b:10')")
+_filter_query("f_hide_sources", lambda: TripFilter(extra=(~F.col("source_id").isin("fleet_b"),)), "source_id NOT IN ('fleet_b')")
 
 _POINTS = "SELECT count(*) AS n, count(DISTINCT trip_id) AS trips, sum(unix_time_ms)::BIGINT AS ms FROM waypoints WHERE"
 
 
 def _points(w: DataFrame) -> DataFrame:
-    return w.agg(F.count(N).alias("n"), F.countDistinct("trip_id").alias("trips"), F.sum("unix_time_ms").alias("ms"))
+    return w.agg(F.count("*").alias("n"), F.countDistinct("trip_id").alias("trips"), F.sum("unix_time_ms").alias("ms"))
 
 
 @query("f_bbox", f"{_POINTS} {IN_BOX}")
@@ -83,7 +83,7 @@ def _(v):
 @query("f_zone", "SELECT zone_id, (SELECT count(*) FROM pois) AS pois FROM zones WHERE source_key = 'wards' AND max_lon >= 139.9e0 AND min_lon <= 140.1e0 AND max_lat >= 35.6e0 AND min_lat <= 35.8e0")
 def _(v):
     z = v.zones.where((F.col("source_key") == "wards") & f.zone_overlaps(BOX)).select("zone_id")
-    return z.join(v.pois.agg(F.count(N).alias("pois")))
+    return z.join(v.pois.agg(F.count("*").alias("pois")))
 
 
 _SEG = """SELECT vehicle_key, trip_id, link_id, unix_time_ms, seq, 111.32e0 * sqrt(pow((lon - lon0) * cos(radians((lat0 + lat) / 2)), 2) + pow(lat - lat0, 2)) AS km, (unix_time_ms - t0) / 1e3 AS dt
@@ -143,7 +143,7 @@ def _(v):
 
 @query("j_orphan_waypoints", f"SELECT count(*) AS orphans FROM waypoints ANTI JOIN ({_MORNING}) t USING (vehicle_key, trip_id)")
 def _(v):
-    return tj.orphans(v.waypoints, _morning(v)).agg(F.count(N).alias("orphans"))
+    return tj.orphans(v.waypoints, _morning(v)).agg(F.count("*").alias("orphans"))
 
 
 @query("j_shared_persons", "SELECT trip_id FROM trips WHERE source_id = 'fleet_b' AND vehicle_id IN (SELECT vehicle_id FROM trips WHERE source_id = 'fleet_a')")
@@ -176,7 +176,7 @@ def _(v):
 @query("j_style_lookup", "SELECT source_id, CASE source_id WHEN 'fleet_a' THEN 'Fleet A' ELSE source_id END AS label, count(*) AS trips FROM trips GROUP BY 1")
 def _(v):
     labels = F.create_map(F.lit("fleet_a"), F.lit("Fleet A"))
-    return v.trips.groupBy("source_id").agg(F.count(N).alias("trips")).withColumn("label", F.coalesce(F.try_element_at(labels, F.col("source_id")), "source_id"))
+    return v.trips.groupBy("source_id").agg(F.count("*").alias("trips")).withColumn("label", F.coalesce(F.try_element_at(labels, F.col("source_id")), "source_id"))
 
 
 # derivations
@@ -340,7 +340,7 @@ def _(v):
 
 @query("w_count_partition", "SELECT trip_id, count(*) OVER (PARTITION BY vehicle_key) AS chain FROM trips")
 def _(v):
-    return v.trips.select("trip_id", F.count(N).over(Window.partitionBy("vehicle_key")).alias("chain"))
+    return v.trips.select("trip_id", F.count("*").over(Window.partitionBy("vehicle_key")).alias("chain"))
 
 
 @query("w_row_number_topk", "SELECT * FROM (SELECT dep_hour, trip_id, row_number() OVER (PARTITION BY dep_hour ORDER BY distance_km DESC NULLS LAST, trip_id) AS rn FROM trips) WHERE rn <= 3")
@@ -356,7 +356,7 @@ def _(v):
 
 @query("w_global_sum", "SELECT dep_hour, n, 1e2 * n / sum(n) OVER () AS pct FROM (SELECT dep_hour, count(*) AS n FROM trips GROUP BY 1)", "pct")
 def _(v):
-    d = v.trips.groupBy("dep_hour").agg(F.count(N).alias("n"))
+    d = v.trips.groupBy("dep_hour").agg(F.count("*").alias("n"))
     return d.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
