@@ -90,7 +90,7 @@ def _search(k: int, final: bool):
                 q = get("q_vectors").values.to_numpy().reshape(len(q_ids), width)
                 cutoffs = get("cutoffs").values.to_numpy() if final else None
                 parts = _partial(q, c)
-                whole = sum(parts)
+                exact = lambda i, at: sum(p[i][at] for p in parts)
                 out: list[tuple] = []
                 for i in range(len(q_ids)):
                     other = ids != q_ids[i]
@@ -100,7 +100,7 @@ def _search(k: int, final: bool):
                         seen = np.flatnonzero(np.logical_or.reduce(high) & other)
                         bound = sum(np.where(h[seen], p[i][seen], share) for h, p in zip(high, parts))
                         at = seen[bound >= cutoffs[i] - 1e-6 * (1 + abs(cutoffs[i]))]
-                        at = at[whole[i][at] >= cutoffs[i]]
+                        at = at[exact(i, at) >= cutoffs[i]]
                     elif final:
                         at = np.flatnonzero(other)
                     else:
@@ -108,8 +108,9 @@ def _search(k: int, final: bool):
                         n = len(own)
                         listed = [own[np.argpartition(p[i][own], n - k)[n - k :]] if n > k else own for p in parts]
                         at = np.unique(np.concatenate(listed))
-                    at = at[_best(k, whole[i][at], ids[at])]
-                    out.append((np.full(len(at), q_ids[i]), np.full(len(at), q_keys[i]), ids[at], whole[i][at].astype(np.int64)))
+                    score = exact(i, at)
+                    best = _best(k, score, ids[at])
+                    out.append((np.full(len(best), q_ids[i]), np.full(len(best), q_keys[i]), ids[at[best]], score[best].astype(np.int64)))
                 columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "query_key", "vec_id", "score"])
 
