@@ -30,22 +30,27 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
-    def trips(self) -> DataFrame:
-        """Orders as trips; metrics that need other rows are null."""
-        nations = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.expr("replace(lower(r_name), ' ', '_')").alias("city"))
-        d = self.table("orders").join(self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        d = d.selectExpr(
+    def moves(self) -> DataFrame:
+        """What a trip has from its order alone (every order has a customer)."""
+        d = self.table("orders").selectExpr(
             "*", "o_orderkey * o_orderkey AS q", "CAST((o_orderkey * 7919) % 86400 AS INT) AS starttime",
             "if(o_orderkey % 2 = 0, 'fleet_a', 'fleet_b') AS source_id", "if(o_orderkey % 11 = 0, NULL, CAST(o_orderkey % 5 AS INT)) AS transport_mode",
         )
-        d = d.selectExpr(
-            "CAST(o_custkey AS INT) AS vehicle_id", "CAST(o_custkey AS STRING) AS agent_id", "o_orderkey AS trip_id", "starttime",
+        return d.selectExpr(
+            "o_custkey", "CAST(o_custkey AS INT) AS vehicle_id", "CAST(o_custkey AS STRING) AS agent_id", "o_orderkey AS trip_id", "starttime",
             "139.5d + CAST((q * 37) % 500 AS DOUBLE) / 5e2 AS start_lon", "35.5d + CAST((q * 53) % 250 AS DOUBLE) / 4e2 AS start_lat",
             "139.5d + CAST((q * 91 + 100) % 500 AS DOUBLE) / 5e2 AS end_lon", "35.5d + CAST((q * 17 + 60) % 250 AS DOUBLE) / 4e2 AS end_lat",
             "transport_mode", "if(o_orderkey % 97 = 0, NULL, o_totalprice / 1e4) AS distance_km", "CAST(starttime DIV 3600 AS INT) AS dep_hour",
-            "CAST(o_orderkey % 3 AS INT) AS simulation_day", "lower(c_mktsegment) AS goods_type", "source_id", "source_id AS vehicle_type",
-            "concat(source_id, ':', o_custkey) AS vehicle_key", "city", "if(o_orderstatus = 'F', o_totalprice / 1e2, NULL) AS fare_yen",
+            "CAST(o_orderkey % 3 AS INT) AS simulation_day", "source_id", "source_id AS vehicle_type",
+            "concat(source_id, ':', o_custkey) AS vehicle_key", "if(o_orderstatus = 'F', o_totalprice / 1e2, NULL) AS fare_yen",
         )
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        """Orders as trips; metrics that need other rows are null."""
+        nations = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.expr("replace(lower(r_name), ' ', '_')").alias("city"))
+        customers = self.table("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "city", F.lower("c_mktsegment").alias("goods_type"))
+        d = self.moves.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
         zone = lambda lon, lat: F.concat(F.lit("Z"), F.floor(F.col(lon) * 10).cast("string"), F.lit("_"), F.floor(F.col(lat) * 10).cast("string"))
         return d.withColumns(
             {
@@ -60,7 +65,7 @@ class Views:
     @cached_property
     def waypoints(self) -> DataFrame:
         """Line items as waypoints along their trips."""
-        t = self.trips.select("trip_id", "vehicle_id", "vehicle_key", "source_id", "simulation_day", "starttime", "start_lon", "start_lat", "end_lon", "end_lat")
+        t = self.moves.select("trip_id", "vehicle_id", "vehicle_key", "source_id", "simulation_day", "starttime", "start_lon", "start_lat", "end_lon", "end_lat")
         d = self.table("lineitem").join(t, F.col("l_orderkey") == F.col("trip_id"))
         along = "CAST(l_linenumber AS DOUBLE) / 8e0"
         return d.selectExpr(
