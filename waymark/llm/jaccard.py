@@ -17,7 +17,7 @@ N, PERCENT = 5, 80
 #: Counters of the frequency sketch (a fixed size, whatever the input) and counters in one of its rows.
 SLOTS, ROW = 1 << 20, 1 << 16
 #: Postings of one bucket on average, and postings that a task holds before it deals them out.
-BUCKET, HELD = 1 << 20, 3 << 20
+BUCKET, HELD = 1 << 20, 3 << 19
 #: Sets of a group that one task compares; larger groups are split into blocks, and pairs of blocks are compared.
 GROUP = 2048
 #: Least and most bits of a signature, which has as many as its set has shingles at least, and children of a tree node.
@@ -368,8 +368,9 @@ def block_keys(members: DataFrame) -> DataFrame:
     of its own band and the bands beside it, in which all sets are whose sizes
     go with its own.
     """
-    counts = members.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
-    placed = members.join(counts, "lead")
+    large = members.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
+    placed = matched(members, materialize(large, "large-groups"), "lead", "left", salt_by=F.col("rep"))
+    placed = placed.withColumn("members", F.coalesce("members", F.lit(1)))
     placed = placed.withColumns({"band": F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))), "blocks": F.ceil(F.col("members") / (GROUP // 2))})
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     keys = F.expr(

@@ -17,7 +17,7 @@ from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whol
 WINDOW, ANCHOR = 20, 8
 SPAN = WINDOW - ANCHOR + 1
 #: Postings per bucket and held by a task, and words per shard, on average.
-BUCKET, HELD, SHARD = 1 << 20, 3 << 20, 1 << 19
+BUCKET, HELD, SHARD = 1 << 20, 3 << 19, 1 << 19
 #: Documents of a group beyond which its repeats are first thinned out block by block.
 HOT = 40_000
 #: Bytes of the table of removed words that may be broadcast.
