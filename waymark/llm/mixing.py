@@ -99,7 +99,7 @@ def mix_pieces(docs: DataFrame, block_words: int = 1024, seed: str = "mix") -> t
     targets = materialize(source_targets(sized), "mix-targets")
     slots = materialize(schedule(targets, block_words), "mix-slots")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    keyed = sized.where("size > 0").select("doc_id", "source", "size", key).withColumn("part", F.substring("key", 1, 4))
+    keyed = sized.where("size > 0").select("doc_id", "source", "size", key).withColumn("part", F.substring("key", 1, 3))
     parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("before", before)
