@@ -233,6 +233,22 @@ def test_repair_random_access():
         assert (shard.document(i) == ids[cuts[i] : cuts[i + 1]]).all()
 
 
+def test_repair_goes_on_to_the_end():
+    rnd = np.random.default_rng(3)
+    passage = rnd.integers(0, 40_000, 500)
+    ids = np.concatenate([x for _ in range(6) for x in (passage, rnd.integers(0, 40_000, 300))])
+    s, pairs, sizes = token_store.repair(ids, 50_000)
+    assert (token_store.expand(s, pairs, 50_000) == ids).all()
+    assert sizes.max() > 400  # the passage is about one symbol
+    assert len(s) < 6 * 300 + 6 * 20
+    both = np.stack([s[:-1], s[1:]], 1)
+    assert np.unique(both, axis=0, return_counts=True)[1].max() < 4
+    runs = np.full(1000, 7)
+    s, pairs, _ = token_store.repair(runs, 50)
+    assert len(s) < 8 and (token_store.expand(s, pairs, 50) == runs).all()
+    assert len(token_store.repair(np.zeros(0, np.int64), 50)[0]) == 0
+
+
 def test_pre_tokens(byte_tokenizer):
     texts = ["", "'s", "''s", "x''s 's\n's", "  a \n\n b  ", "it's I'LL we're 're're", "a b  c\x1c", "\r\n\tx", "1a2 ½ Ⅷ 漢字!?", "'"]
     ids, at = token_store.Encoder().encode(texts)

@@ -182,41 +182,49 @@ class Encoder:
         return ids, (np.append(starts, len(chars)), np.concatenate([[0], upto]))
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = 4, least: int = 24, most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: the sequence over ids and rules, the rules' pairs, and how many ids each rule expands to.
 
-    A round counts adjacent pairs in a table of hashes, gives the most frequent
-    ones (at least ``least`` times, at most ``most`` at once) a nonterminal
-    each, numbered from ``base``, and replaces their places; where places
-    overlap the more frequent pair goes first, then the one further left.  Of
-    pairs that share a slot of the table one is taken.  Rounds end when a round
-    finds nothing or saves under one symbol in fifty.
+    A round counts adjacent pairs, gives the most frequent ones (``most`` at
+    once; the others wait for the next round) a nonterminal each, numbered from
+    ``base``, and replaces their places; where places overlap the more frequent
+    pair goes first, then the one further left.  Rounds go on until no pair is
+    there ``least`` times: a rule takes 12 bytes and saves 4 at every place, so
+    that rarer pairs save nothing.  A table of hashes leaves out rare pairs; the
+    others are counted exactly.
     """
     s = ids.astype(np.int32)
     pairs: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
     known = np.zeros(0, np.int64)
     top, bits = base, 20
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         u = s.view(np.uint32)
         slot = ((u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
-        count = np.bincount(slot, minlength=1 << bits)
-        floor = max(least, int(np.partition(count, -most)[-most]))
-        hot = np.flatnonzero(count >= floor)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+        slot = slot[at]
+        key = (s[at].astype(np.int64) << 32) | s[at + 1]
+        own = np.sort(key)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        count = np.diff(np.append(first, len(own)))
+        often = count >= least
+        hot, count = own[first[often]], count[often]
         if not len(hot):
             break
-        hot = hot[np.argsort(-count[hot], kind="stable")[:most]]
-        rank = np.full(1 << bits, len(hot), np.int32)
-        rank[hot] = np.arange(len(hot), dtype=np.int32)
-        r = rank[slot]
-        at = np.flatnonzero(r < len(hot))
-        r = r[at]
-        left, right = np.zeros(len(hot), np.int32), np.zeros(len(hot), np.int32)
-        left[r], right[r] = s[at], s[at + 1]
-        same = (left[r] == s[at]) & (right[r] == s[at + 1])
-        at, r = at[same], r[same]
+        if len(hot) > most:
+            some = np.sort(np.argpartition(-count, most)[:most])
+            hot, count = hot[some], count[some]
+        order = np.lexsort((mix(hot.view(np.uint64)), -count))  # ties by hash: a passage's pairs do not wait for each other in a row
+        rank = np.empty(len(hot), np.int32)
+        rank[order] = np.arange(len(hot), dtype=np.int32)
+        h = hot.view(np.uint32).reshape(-1, 2)
+        mark = np.zeros(1 << bits, bool)
+        mark[(h[:, 1] * np.uint32(0x9E3779B1) + h[:, 0] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)] = True
+        near = mark[slot]
+        at, key = at[near], key[near]
+        place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        same = hot[place] == key
+        at, r = at[same], rank[place[same]]
+        hot = hot[order]
         taken = np.zeros(len(s) + 1, bool)
         chosen_at, chosen_r = [], []
         while len(at):  # places whose rank is the lowest among those that overlap them
@@ -231,23 +239,23 @@ def repair(ids: np.ndarray, base: int, rounds: int = 4, least: int = 24, most: i
             free = ~better & ~taken[at] & ~taken[at + 1]
             at, r = at[free], r[free]
         at, r = np.concatenate(chosen_at), np.concatenate(chosen_r)
-        number = np.zeros(len(hot), np.int32)
-        number[r] = 1
-        used = np.flatnonzero(number)
+        # a pair left with one place gets no rule now; the most frequent one always has half of its places
+        used = np.flatnonzero(np.bincount(r, minlength=len(hot)) > 1)
+        if not len(used):
+            break
+        number = np.full(len(hot), -1, np.int32)
         number[used] = np.arange(len(used))
-        pair = np.stack([left[used], right[used]], 1).astype(np.int64)
+        ruled = number[r] >= 0
+        at, r = at[ruled], r[ruled]
+        pair = np.stack([hot[used] >> 32, hot[used] & 0xFFFFFFFF], 1)
         size = np.where(pair < base, 1, known[np.maximum(pair - base, 0)] if len(known) else 1).sum(1)
         pairs.append(pair)
-        lengths.append(size)
         known = np.concatenate([known, size])
         s[at] = top + number[r]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        before = len(s)
         s = s[keep]
         top += len(used)
-        if before - len(s) < 0.02 * before:
-            break
     return s, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), known
 
 
