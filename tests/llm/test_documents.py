@@ -256,6 +256,16 @@ def test_pre_tokens(byte_tokenizer):
         assert ids[a:b].tolist() == byte_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_more_pre_tokens_than_are_kept(byte_tokenizer, monkeypatch):
+    monkeypatch.setattr(token_store, "KEPT", 8)
+    monkeypatch.setattr(token_store.Encoder, "BITS", 4)
+    encoder = token_store.Encoder()
+    for texts in (["a b c"], [" ".join(f"w{i} {i * 7919}" for i in range(300))], ["a b d", "", " ".join(f"x{i}" for i in range(50))], ["a"], ["b c d e f g h"]):
+        ids, at = encoder.encode(texts)
+        for text, a, b in zip(texts, at, at[1:]):
+            assert ids[a:b].tolist() == byte_tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # classifier
 
 

@@ -78,7 +78,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for every distinct pre-token.
 
     Pre-tokens are found and hashed on arrays of code points; their ids are kept
-    in a table from hash to ids, which starts anew when it is full.
+    in a table from hash to ids, which starts anew when it is full.  Texts with
+    more pre-tokens than it keeps get a table as large as they need.
     """
 
     BITS = 22
@@ -102,14 +103,17 @@ class Encoder:
         """One encoder per process and file: tasks of a worker go on with the table."""
         return _encoders.setdefault(path or "", Encoder(path)) if (path or "") not in _encoders else _encoders[path or ""]
 
-    def _start(self) -> None:
-        self.keys, self.rows = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
-        self.pool, self.starts, self.n, self.used = np.zeros(1 << 20, np.int32), np.zeros(KEPT + 1, np.int64), 0, 0
+    def _start(self, room: int = 0) -> None:
+        """An empty table for ``room`` pre-tokens, KEPT at least."""
+        self.room = max(KEPT, room)
+        self.bits = max(self.BITS, (2 * self.room).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.pool, self.starts, self.n, self.used = np.zeros(1 << 20, np.int32), np.zeros(self.room + 1, np.int64), 0, 0
 
     def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key is in the table, or the free slot where it belongs; and whether it is there."""
-        mask = (1 << self.BITS) - 1
-        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        mask = (1 << self.bits) - 1
+        slot = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & mask
@@ -164,10 +168,9 @@ class Encoder:
         slot, known = self._slots(key)
         if not known.all():
             new, place = np.unique(key[~known], return_index=True)
-            if self.n + len(new) > KEPT:
-                self._start()
-                new, place = np.unique(key, return_index=True)
-                where = np.arange(len(key))[place]
+            if self.n + len(new) > self.room or (self.room > KEPT and self.n > KEPT):
+                new, where = np.unique(key, return_index=True)
+                self._start(len(new))
             else:
                 where = np.flatnonzero(~known)[place]
             for a in range(0, len(new), KEPT // 4):
