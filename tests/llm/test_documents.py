@@ -167,6 +167,30 @@ def test_substring_odd_tables(spark, empty, docs, repeated):
     assert r == {None: 0, 2: 0, 5: 30}
 
 
+def test_substring_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "LARGE", 400)
+    monkeypatch.setattr(substrings, "SHARD", 200)
+    sizes = []
+    bounded = substrings.bounded
+
+    def watch(segments):
+        got = bounded(segments)
+        sizes.append([r[1] for r in got[0].selectExpr("lead", "octet_length(words) / 8 AS n").groupBy("lead").sum("n").collect()])
+        return got
+
+    monkeypatch.setattr(substrings, "bounded", watch)
+    rnd = np.random.default_rng(4)
+    phrase, licence = " ".join(f"p{i}" for i in range(12)), " ".join(f"l{i}" for i in range(26))
+    some = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**9, n))
+    near = some(60)
+    rows = [(i, f"{some(15)} {phrase} {some(15)}") for i in range(150)]  # one group, whose windows are all different
+    rows += [(200 + i, f"{some(4)} {licence} {some(4)}") for i in range(150)]
+    rows += [(400 + i, f"{near} {some(3)} {phrase} {some(2)}") for i in range(40)]
+    got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == substring_truth(rows)
+    assert max(sizes[0], default=0) <= 400
+
+
 # BPE
 
 

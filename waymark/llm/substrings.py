@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.fm_index import FmIndex
+from waymark.llm.spread import matched
 from waymark.llm.store import materialize
 from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
@@ -18,8 +19,8 @@ WINDOW, ANCHOR = 20, 8
 SPAN = WINDOW - ANCHOR + 1
 #: Postings per bucket and held by a task, and words per shard, on average.
 BUCKET, HELD, SHARD = 1 << 20, 3 << 19, 1 << 19
-#: Documents of a group beyond which its repeats are first thinned out block by block.
-HOT = 40_000
+#: Stretches, or words, of a group beyond which it is dealt again by whole windows.
+HOT, LARGE = 40_000, 1 << 20
 #: Bytes of the table of removed words that may be broadcast.
 BROADCAST_BYTES = 24 << 20
 
@@ -187,6 +188,21 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _segment_batch(rows)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the stretches with the hash of its whole sequence."""
+    for batch in batches:
+        for lead, doc, start, data in zip(*[batch.column(c).to_pylist() for c in ("lead", "doc_id", "start", "words")]):
+            words = np.frombuffer(data, np.uint64)
+            for a in range(0, len(words) - WINDOW + 1, 4096):
+                part = words[a : a + 4096 + WINDOW - 1]
+                keys = sequence_hashes(part, WINDOW).view(np.int64)
+                n = len(keys)
+                own = np.lib.stride_tricks.sliding_window_view(part, WINDOW).tobytes()
+                size = 8 * WINDOW
+                columns = [pa.array(np.full(n, lead, np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(start + a, start + a + n, dtype=np.int32)), pa.array([own[i : i + size] for i in range(0, len(own), size)], pa.binary()), pa.array(keys)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lead", "doc_id", "start", "words", "window"])
+
+
 class Shard:
     """Stretches of documents in order of document and place, indexed as one text."""
 
@@ -235,8 +251,12 @@ class Shard:
 FOUND = "lead long, doc_id long, start int, words binary, stop int"
 
 
-def _search(thin: bool):
-    """Removed stretches of every shard; with ``thin`` also what is the first of its kind in the shard, to be compared further."""
+def _search(thin: bool, held: int):
+    """Removed stretches of every shard; with ``thin`` also what is the first of its kind in the shard, to be compared further.
+
+    With ``thin`` a block of a group is a shard; without, the groups of a task
+    are, which follow each other, until they have ``held`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(lead: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -254,20 +274,62 @@ def _search(thin: bool):
                 columns = zip(*out[i : i + 5000])
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["lead", "doc_id", "start", "words", "stop"])
 
-        now, rows = None, []
+        now, rows, size = None, [], 0
         for batch in batches:
-            for key, doc, start, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "doc_id", "start", "words")]):
-                if key != now and rows:
-                    yield from shard(now, rows)
-                    rows = []
-                now = key
+            for lead, block, doc, start, data in zip(*[batch.column(c).to_pylist() for c in ("lead", "block", "doc_id", "start", "words")]):
+                if (lead, block) != now and rows and (thin or size >= held):
+                    yield from shard(now[0], rows)
+                    rows, size = [], 0
+                now = lead, block
                 rows.append((doc, start, data))
+                size += len(data) // 8
         if rows:
-            yield from shard(now, rows)
+            yield from shard(now[0], rows)
 
     return run
 
 
+def large_groups(segments: DataFrame) -> DataFrame:
+    """lead, n (stretches) and n_words of the groups that are too large for a shard; few, as each has many words."""
+    sizes = segments.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words") / 8).cast("long").alias("n_words"))
+    return materialize(sizes.where((F.col("n") > HOT) | (F.col("n_words") > LARGE)), "large-groups")
+
+
+def bounded(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The stretches in groups that fit a shard, and the ranges that were found to be removed on the way.
+
+    The windows of a large group are counted by the hash of their whole
+    sequence; those found once go, the others are dealt to smaller groups by
+    that hash.  What is large then has few windows in very many places: it is
+    thinned out in blocks, where only the first of equal windows stays, until
+    it fits or no longer gets much smaller.
+    """
+    large = large_groups(segments)
+    if not large.count():
+        return segments, []
+    windows = segments.join(large, "lead").select("lead", "doc_id", "start", "words").mapInArrow(_windows, SEGMENTS + ", window long")
+    again = materialize(windows.groupBy("window").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("window"), "repeated-windows")
+    kept = matched(windows, again, "window", salt_by=F.xxhash64("doc_id", "start"))
+    # twice as many groups as would fill shards on average
+    parts = F.ceil(F.col("n_words") * (2 * WINDOW) / F.lit(SHARD))
+    kept = kept.join(F.broadcast(large), "lead").withColumn("lead", F.xxhash64("lead", F.pmod("window", parts)))
+    dealt = materialize(kept.select("lead", "doc_id", "start", "words"), "dealt-windows")
+    rest = segments.join(large.select("lead"), "lead", "left_anti")
+    found = []
+    while (hot := large_groups(dealt)).count():
+        blocks = F.greatest(F.ceil(F.col("n") / F.lit(max(1, HOT // 4))), F.ceil(F.col("n_words") / F.lit(SHARD)))
+        block = F.pmod(F.xxhash64("doc_id", "start"), blocks)
+        placed = dealt.join(F.broadcast(hot), "lead").withColumn("block", block).select("lead", "block", "doc_id", "start", "words")
+        thinned = materialize(placed.repartition("lead", "block").sortWithinPartitions("lead", "block").mapInArrow(_search(True, SHARD), FOUND), "thinned")
+        found.append(thinned.where("lead is null").select("doc_id", "start", "stop"))
+        rest = rest.unionByName(dealt.join(F.broadcast(hot.select("lead")), "lead", "left_anti"))
+        dealt = thinned.where("lead is not null").select("lead", "doc_id", "start", "words")
+        left = dealt.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()[0]
+        if left > 0.75 * hot.agg(F.sum("n_words")).first()[0]:
+            break
+    return rest.unionByName(dealt), found
+
+
 def removed_ranges(docs: DataFrame, per_doc: DataFrame, reps: DataFrame) -> DataFrame:
     """doc_id, start and stop (in words) of what repeats an earlier window, for the first document of every word sequence."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
@@ -279,21 +341,14 @@ def removed_ranges(docs: DataFrame, per_doc: DataFrame, reps: DataFrame) -> Data
     live = materialize(live.join(reps.select("key", F.col("rep").alias("doc_id")), "key").drop("key"), "live-anchors")
     texts = rows.join(live, "doc_id").select("doc_id", "text", "leads", "grams")
     segments = materialize(texts.mapInArrow(_segments, SEGMENTS), "segments")
-    counts = materialize(segments.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "hot-groups")
-    found = None
-    if counts.count():
-        hot = segments.join(counts, "lead")
-        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(max(1, HOT // 4))))
-        blocks = hot.withColumn("shard", F.col("lead")).withColumn("block", block).repartition("lead", "block").sortWithinPartitions("lead", "block")
-        # blocks of one group that meet in a task are one shard
-        thinned = materialize(blocks.select("shard", "doc_id", "start", "words").mapInArrow(_search(True), FOUND), "thinned")
-        found = thinned.where("lead is null").select("doc_id", "start", "stop")
-        segments = segments.join(counts.select("lead"), "lead", "left_anti").unionByName(thinned.where("lead is not null").select("lead", "doc_id", "start", "words"))
+    segments, found = bounded(segments)
     n_words = segments.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
     n_shards = int(max(24, n_words // SHARD + 1))
-    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("lead"), F.lit(n_shards))).repartition(n_shards, "shard").sortWithinPartitions("shard")
-    last = dealt.select("shard", "doc_id", "start", "words").mapInArrow(_search(False), FOUND).select("doc_id", "start", "stop")
-    return last if found is None else last.unionByName(found)
+    dealt = segments.withColumn("block", F.lit(0)).select("lead", "block", "doc_id", "start", "words").repartition(n_shards, "lead").sortWithinPartitions("lead")
+    last = dealt.mapInArrow(_search(False, SHARD), FOUND).select("doc_id", "start", "stop")
+    for more in found:
+        last = last.unionByName(more)
+    return last
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -331,8 +386,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     Of documents with the same words only the first can be first with a window;
     the others lose all words.  Every window posts the lowest of its 8-word
     anchors; windows that repeat share it.  Documents that share an anchor form
-    a group, whose stretches go to one shard; a group of very many documents is
-    first thinned out in blocks, where only the first of equal windows stays.
+    a group, whose stretches go to one shard; a group of very many stretches or
+    words is dealt again by whole windows that are there twice, and those in
+    very many places are thinned out in blocks (see ``bounded``).
     A shard is indexed by an FM-index and streamed against it.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
