@@ -194,6 +194,15 @@ def test_stationary_and_position(spark, trips, waypoints):
     assert derive.position_at(waypoints, 3601, 1601478000).count() == 0
 
 
+def test_zones_leave_out_edges(spark):
+    ring = lambda *p: [{"lon": x, "lat": y} for x, y in p]
+    outer, hole = ring((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)), ring((1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0))
+    z = spark.createDataFrame([(1, "z", [[outer, hole], [ring((6.0, 6.0), (8.0, 8.0), (6.0, 8.0))]], 0.0, 0.0, 8.0, 8.0)], "zone_id long, name string, rings array<array<array<struct<lon:double,lat:double>>>>, min_lon double, min_lat double, max_lon double, max_lat double")
+    points = {"west": (0.0, 3.0), "south": (3.0, 0.0), "east": (4.0, 3.0), "north": (3.0, 4.0), "corner": (0.0, 0.0), "hole": (2.0, 1.5), "hole_corner": (1.0, 1.0), "slope": (7.0, 7.0), "in": (3.0, 1.0), "in_second": (6.5, 7.0)}
+    p = spark.createDataFrame([(k, *xy) for k, xy in points.items()], "k string, lon double, lat double")
+    assert values(zones.contains(p, z), "k") == [("in",), ("in_second",)]
+
+
 def test_zones_with_a_hole(spark):
     ring = lambda *p: [{"lon": x, "lat": y} for x, y in p]
     outer, hole = ring((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)), ring((1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0))

@@ -11,22 +11,41 @@ KM = 111.32
 LEAST_AREA, BLOCK_AREA, BLOCK_PITCH, BLOCK_GAP, BLOCK_LOW, BLOCK_HIGH, TALL, M_PER_DEGREE = 25.0, 3000.0, 28.0, 4.0, 8.0, 16.0, 25.0, 111_320.0
 
 
-def _crossings(ring: Column, lon: Column, lat: Column) -> Column:
-    """Edges of a ring that a ray to the east crosses; the ring may be open or closed."""
+def _edges(ring: Column) -> Column:
+    """Edges of a ring, which may be open or closed."""
     n = F.size(ring)
-    edges = F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % n).alias("q")))
+    return F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % n).alias("q")))
+
+
+def on_edge(ring: Column, lon: Column, lat: Column) -> Column:
+    """Whether a point is on an edge of a ring."""
+
+    def on(e: Column) -> Column:
+        (x1, y1), (x2, y2) = ((e[k]["lon"], e[k]["lat"]) for k in ("p", "q"))
+        return ((x2 - x1) * (lat - y1) == (y2 - y1) * (lon - x1)) & lon.between(F.least(x1, x2), F.greatest(x1, x2)) & lat.between(F.least(y1, y2), F.greatest(y1, y2))
+
+    return F.exists(_edges(ring), on)
+
+
+def _crossings(ring: Column, lon: Column, lat: Column) -> Column:
+    """Edges of a ring that a ray to the east crosses."""
 
     def cross(count: Column, e: Column) -> Column:
         (x1, y1), (x2, y2) = ((e[k]["lon"], e[k]["lat"]) for k in ("p", "q"))
         spans = (y1 > lat) != (y2 > lat)
         return count + F.when(spans & (lon < (x2 - x1) * (lat - y1) / F.when(spans, y2 - y1).otherwise(1.0) + x1), 1).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), cross)
+    return F.aggregate(_edges(ring), F.lit(0), cross)
 
 
 def inside(rings: Column, lon: Column, lat: Column) -> Column:
-    """Whether a point is in a multipolygon (polygons of rings, the first ring outside, the others holes), by counting crossings."""
-    return F.exists(rings, lambda polygon: F.aggregate(polygon, F.lit(0), lambda n, ring: n + _crossings(ring, lon, lat)) % 2 == 1)
+    """Whether a point is in a multipolygon (polygons of rings, the first ring outside, the others holes), by counting crossings; a point on an edge is not in its polygon."""
+
+    def within(polygon: Column) -> Column:
+        odd = F.aggregate(polygon, F.lit(0), lambda n, ring: n + _crossings(ring, lon, lat)) % 2 == 1
+        return odd & ~F.exists(polygon, lambda ring: on_edge(ring, lon, lat))
+
+    return F.exists(rings, within)
 
 
 def contains(points: DataFrame, zones: DataFrame, mode: str = "exact", cell: float = 0.1) -> DataFrame:
