@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm import bpe, classifier, jaccard, mixing, quality_rules, secrets, substrings, token_store
+from waymark.llm import bpe, classifier, jaccard, mixing, quality_rules, secrets, spread, substrings, token_store
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -409,8 +410,28 @@ def test_mixing(docs, rows, block):
 
 def test_mixing_broadcasts_nothing_large(docs, monkeypatch):
     want = by_id(mixing.mix_sources(docs))
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
     assert by_id(mixing.mix_sources(docs)) == want
+    monkeypatch.setattr(spread, "RUN_ROWS", 2)
+    assert by_id(mixing.mix_sources(docs)) == want
+
+
+def test_targets_of_like_sized_sources(spark):
+    for sizes in ([1000 + 7 * i for i in range(20)], [5] * 20, [1, 10_000, 3, 3, 900, 900, 2], [0, 4], [7]):
+        got = mixing.source_targets(spark.createDataFrame([(f"s{i:02d}", n) for i, n in enumerate(sizes)], "source string, size long")).collect()
+        want = targets_truth({f"s{i:02d}": n for i, n in enumerate(sizes)})
+        assert {r.source: pytest.approx(r.target) for r in got} == want
+        assert all(0 <= r.target <= 2 * r.source_size for r in got)
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_mixing_of_the_supplied_table(spark, table):
+    path = f"/root/testdata/{table}/documents.parquet"
+    got = mixing.mix_sources(spark.read.parquet(path)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size")).collect()
+    want = targets_truth({r.source: r["size"] for r in got})
+    assert len(got) == 20
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.target > 0 and 0 <= r.target - r.taken < 1
 
 
 def test_mixing_odd_tables(spark, docs, empty, repeated):
@@ -422,19 +443,39 @@ def test_mixing_odd_tables(spark, docs, empty, repeated):
 def test_schedule_is_spread(docs):
     t = mixing.source_targets(mixing.sizes(docs))
     slots = mixing.schedule(t, 8).collect()
-    n = max(r.slot for r in slots) + 1
-    share = {r.source: r.words for r in t.collect()}
-    total = sum(share.values())
-    for s, w in share.items():
-        at = sorted(r.slot for r in slots if r.source == s)
-        assert sorted(r["rank"] for r in slots if r.source == s) == list(range(len(at)))
+    blocks = {r.source: -(-r.words // 8) for r in t.collect()}
+    n = sum(blocks.values())
+    assert sorted(r.slot for r in slots) == list(range(n))  # every slot is some source's, once
+    for s, k in blocks.items():
+        at = [r.slot for r in sorted((r for r in slots if r.source == s), key=lambda r: r["rank"])]
+        assert at == sorted(at) and len(at) == k
         for cut in (n // 4, n // 2, n):  # in any first part of the schedule
-            assert abs(sum(x < cut for x in at) - cut * w / total) <= 4
+            assert abs(sum(x < cut for x in at) - cut * k / n) <= 4
+
+
+def test_blocks_are_equal_and_dealt_by_slot(docs, rows):
+    pieces = [r for r in mixing.mix_pieces(mixing.sizes(docs).cache(), 8).collect() if r.slot is not None]
+    words, source = Counter(), {}
+    for r in pieces:
+        words[r.slot] += r.n_words
+        assert source.setdefault(r.slot, r.source) == r.source
+    assert sorted(words) == list(range(len(words)))
+    last = {s: max(x for x in source if source[x] == s) for s in set(source.values())}
+    assert all(n == 8 or last[source[x]] == x for x, n in words.items())  # only a source's last block may be short
+    got = by_id(mixing.mix_sources(docs, 8))
+    per = defaultdict(list)
+    for r in pieces:
+        per[r.doc_id].append(r.slot)
+    assert all((r.first_slot, r.n_slots) == (min(per[d], default=None), len(per[d])) for d, r in got.items())
 
 
 def test_keep_mixed(docs):
     kept = mixing.keep_mixed(docs)
     assert kept.columns == docs.columns
     taken = by_id(mixing.mix_sources(docs))
-    n = Counter(r.doc_id for r in kept.collect())
-    assert n == Counter({d: -(-r.taken // r.size) for d, r in taken.items() if r.taken})
+    kept = [r.doc_id for r in kept.collect()]
+    assert Counter(kept) == Counter({d: -(-r.taken // r.size) for d, r in taken.items() if r.taken})
+    first = {d: r.first_slot for d, r in taken.items()}
+    seen = list(dict.fromkeys(kept))
+    assert [first[d] for d in seen] == sorted(first[d] for d in seen)  # in order of slots
+    assert mixing.keep_mixed(docs.limit(0)).count() == 0

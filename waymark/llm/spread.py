@@ -2,24 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.llm.store import materialize
 
-#: A side of at most so many rows (counted) is broadcast.
-BROADCAST_ROWS = 500_000
+#: A side of at most so many bytes (its columns' lengths, summed) is broadcast.
+BROADCAST_BYTES = 24 << 20
 SALTS = 32
+#: Rows that one task numbers in a running sum over a whole table.
+RUN_ROWS = 200_000
 
 
-def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt_by: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a table take in memory: what its columns hold, and some for every row and nested value."""
+
+    def size(c: Column, kind) -> Column:
+        name = kind.typeName()
+        if name in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if name == "array":
+            inner = kind.elementType.typeName()
+            if inner in ("string", "binary", "array", "map"):
+                return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(16).cast("long"), lambda a, x: a + size(x, kind.elementType).cast("long"))
+            fields = len(kind.elementType.fields) if inner == "struct" else 1
+            return F.coalesce(F.size(c), F.lit(0)) * (8 * fields + (16 if inner == "struct" else 0)) + 16
+        if name == "struct":
+            return sum((size(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(8)
+
+    row = sum((size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    return int(df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
+
+
+def small_enough(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table is small enough to be broadcast, by its counted bytes."""
+    return table_bytes(table) <= (BROADCAST_BYTES if most is None else most)
+
+
+def running(df: DataFrame, by: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """``df`` with a column per entry of ``sums``: its sum over all rows before, in the order of ``by`` (which should have no ties).
+
+    Rows are dealt to ranges of the order; sums go over the ranges first and
+    then within one, so that no task holds the whole table.
+    """
+    n = 1 + df.count() // RUN_ROWS
+    with_values = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
+    placed = materialize(with_values.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), label)
+    per = placed.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    per = per.select("_range", *[F.coalesce(F.sum(f"_s_{k}").over(ranges), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    within = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    both = placed.join(F.broadcast(per), "_range")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) + F.col(f"_b_{k}")).alias(k) for k in sums])
+
+
+def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt_by: Column | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has each ``key`` once.
 
-    ``small`` should be a table (it is counted).  Few rows are broadcast.
-    Beyond that both sides are shuffled; with ``salt_by`` (an expression over
+    ``small`` should be a written table (its bytes are counted).  A small one is
+    broadcast.  Beyond that both sides are shuffled; with ``salt_by`` (an expression over
     ``big``) a key's rows are spread over SALTS tasks, to each of which its row
     of ``small`` is copied.
     """
-    if small.count() <= rows:
+    if small_enough(small):
         return big.join(F.broadcast(small), key, how)
     if salt_by is None or how in ("left_semi", "left_anti"):
         return big.join(small, key, how)
