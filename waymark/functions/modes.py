@@ -1,8 +1,8 @@
-"""Labels of transport modes."""
+"""Labels of transport modes, as lookups in literal maps."""
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -10,29 +10,26 @@ from pyspark.sql import Column, functions as F
 MODE_LABELS = {0: "Walk", 1: "Bike", 2: "Bus", 3: "Car", 4: "Train", 8: "Taxi"}
 
 
-def merged(*maps: dict[str, str] | None) -> dict[str, str]:
-    """Union of label maps; earlier maps win."""
-    out: dict[str, str] = {}
-    for m in maps:
-        for code, label in (m or {}).items():
-            out.setdefault(str(code), label)
-    return out
+def _entries(labels: Mapping) -> Column:
+    """The labels as an array of (code as text, label)."""
+    rows = [F.struct(F.lit(str(code)).alias("code"), F.lit(label).alias("label")) for code, label in labels.items()]
+    return F.array(*rows) if rows else F.array().cast("array<struct<code:string,label:string>>")
 
 
-def _literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain(*pairs.items())])
-
-
-def mode_label(code: Column, overrides: dict[str, str] | None = None) -> Column:
+def mode_label(code: Column, overrides: Mapping[str, str] | None = None) -> Column:
     """Label of a code: an override, the default, or ``mode N``; null stays null."""
-    labels = _literal_map(merged(overrides, {str(k): v for k, v in MODE_LABELS.items()}))
     text = code.cast("string")
-    return F.coalesce(F.try_element_at(labels, text), F.concat(F.lit("mode "), text))
+    found = [F.try_element_at(F.map_from_entries(_entries(labels)), text) for labels in (overrides, MODE_LABELS) if labels]
+    return F.coalesce(*found, F.concat(F.lit("mode "), text))
+
 
+def mode_code(label: Column, overrides: Mapping[str, str] | None = None) -> Column:
+    """Code of a label, whatever its case; null if unknown.
 
-def mode_code(label: Column, overrides: dict[str, str] | None = None) -> Column:
-    """Code of a label, whatever its case; null if unknown.  The first code of a label wins, defaults before overrides."""
-    codes: dict[str, int] = {}
-    for code, text in [*MODE_LABELS.items(), *((int(k), v) for k, v in (overrides or {}).items() if str(k).lstrip("-").isdigit())]:
-        codes.setdefault(text.casefold(), code)
-    return F.try_element_at(_literal_map(codes), F.lower(label))
+    Of codes with the same label a default one comes first, then overrides in
+    their order; override codes that are no whole numbers have none.
+    """
+    known = F.concat(_entries(MODE_LABELS), _entries(overrides or {}))
+    numbered = F.transform(known, lambda e: F.struct(F.lower(e["label"]).alias("label"), e["code"].try_cast("int").alias("code")))
+    hits = F.filter(numbered, lambda e: (e["label"] == F.lower(label)) & e["code"].isNotNull())
+    return F.get(hits, 0)["code"]
