@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a fresh local one only where it is unset) and read back."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(found) if not known.isDefined() else None
-    path = f"{found.rstrip('/')}/waymark/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from waymark.shared import saved
 
 
 def min_label(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:

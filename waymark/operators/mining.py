@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.operators.filters import PAIR
-from waymark.operators.graphs import min_label, saved
+from waymark.operators.graphs import min_label
+from waymark.shared import saved
 
 FEATURES = ("start_lon", "start_lat", "end_lon", "end_lat", "distance_km", "dep_hour")
 #: Weights of the features.
