@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from waymark.functions import exact
 from waymark.functions.clock import hour_of_day
 from waymark.functions.grid import grid_per_degree, grid_round
 from waymark.operators.filters import PAIR
 
+
 def _top(df: DataFrame, by: str, ties: list[str], limit: int) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *ties).limit(limit)
 
 
 def od_flows(trips: DataFrame, top_n: int = 50, least: int = 5) -> DataFrame:
-    """Pairs of 0.05-degree cells with at least ``least`` trips, the ``top_n`` largest."""
+    """Pairs of 0.05-degree cells with at least ``least`` trips, the ``top_n`` largest, with their exact mean distance."""
     cells = {"o_lon": "start_lon", "o_lat": "start_lat", "d_lon": "end_lon", "d_lat": "end_lat"}
     g = trips.where("start_lon is not null and end_lon is not null").groupBy(*[grid_per_degree(F.col(c), 20).alias(n) for n, c in cells.items()])
-    d = g.agg(F.count("*").alias("volume"), F.avg("distance_km").alias("avg_distance_km")).where(F.col("volume") >= least)
+    d = g.agg(F.count("*").alias("volume"), exact.mean(F.col("distance_km")).alias("avg_distance_km")).where(F.col("volume") >= least)
     return _top(d, "volume", list(cells), top_n)
 
 
 def od_flows_zone(trips: DataFrame, top_n: int = 50) -> DataFrame:
     """Pairs of zones with the means of their ends."""
     d = trips.where("origin_zone is not null and dest_zone is not null").groupBy("origin_zone", "dest_zone")
-    d = d.agg(F.count("*").alias("volume"), *[F.avg(c).alias(f"avg_{c}") for c in ("start_lon", "start_lat", "end_lon", "end_lat")])
+    d = d.agg(F.count("*").alias("volume"), *[exact.mean(F.col(c)).alias(f"avg_{c}") for c in ("start_lon", "start_lat", "end_lon", "end_lat")])
     return _top(d, "volume", ["origin_zone", "dest_zone"], top_n)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from waymark.functions import exact
+
 #: Scale classes by numbers of agents and waypoints.
 MACRO_AGENTS, MACRO_WAYPOINTS, MICRO_AGENTS, MICRO_WAYPOINTS = 1_000_000, 10_000_000, 10_000, 1_000_000
 #: Columns that not every source fills.
@@ -79,7 +81,7 @@ def options_sources(trips: DataFrame) -> DataFrame:
 
 
 def city_centers(trips: DataFrame) -> DataFrame:
-    return trips.where("city is not null").groupBy("city").agg(F.avg("start_lon").alias("lon"), F.avg("start_lat").alias("lat"))
+    return trips.where("city is not null").groupBy("city").agg(exact.mean(F.col("start_lon")).alias("lon"), exact.mean(F.col("start_lat")).alias("lat"))
 
 
 def options_modes(trips: DataFrame) -> DataFrame:

@@ -38,21 +38,30 @@ def _crossings(ring: Column, lon: Column, lat: Column) -> Column:
     return F.aggregate(_edges(ring), F.lit(0), cross)
 
 
-def inside(rings: Column, lon: Column, lat: Column) -> Column:
-    """Whether a point is in a multipolygon (polygons of rings, the first ring outside, the others holes), by counting crossings; a point on an edge is not in its polygon."""
+def inside(rings: Column, lon: Column, lat: Column, hole_rims: bool = False) -> Column:
+    """Whether a point is in a multipolygon (polygons of rings, the first ring outside, the others holes), by counting crossings.
+
+    A point on an edge of the outer ring is not in the polygon.  One on an edge
+    of a hole is not either, or with ``hole_rims`` it is: what a hole takes away
+    is then only its open inside.
+    """
 
     def within(polygon: Column) -> Column:
         odd = F.aggregate(polygon, F.lit(0), lambda n, ring: n + _crossings(ring, lon, lat)) % 2 == 1
-        return odd & ~F.exists(polygon, lambda ring: on_edge(ring, lon, lat))
+        if not hole_rims:
+            return odd & ~F.exists(polygon, lambda ring: on_edge(ring, lon, lat))
+        outer, holes = F.get(polygon, 0), F.slice(polygon, F.lit(2), F.size(polygon))
+        return (odd | F.exists(holes, lambda ring: on_edge(ring, lon, lat))) & ~on_edge(outer, lon, lat)
 
     return F.exists(rings, within)
 
 
-def contains(points: DataFrame, zones: DataFrame, mode: str = "exact", cell: float = 0.1) -> DataFrame:
+def contains(points: DataFrame, zones: DataFrame, mode: str = "exact", cell: float = 0.1, hole_rims: bool = False) -> DataFrame:
     """Points (with lon, lat) and the zones that hold them.
 
     Zones are dealt to the grid cells of their bounds, points to their own cell,
-    and the two meet by cell; then the bounds decide, or with ``exact`` the rings.
+    and the two meet by cell; then the bounds decide, or with ``exact`` the rings
+    (edges as in ``inside``).
     """
     z = zones.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / cell), F.floor(F.col("max_lon") / cell))))
     z = z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell))))
@@ -61,7 +70,7 @@ def contains(points: DataFrame, zones: DataFrame, mode: str = "exact", cell: flo
     hit = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
     d = p.join(z, ["_cx", "_cy"]).where(hit)
     if mode == "exact":
-        d = d.where(inside(F.col("rings"), F.col("lon"), F.col("lat")))
+        d = d.where(inside(F.col("rings"), F.col("lon"), F.col("lat"), hole_rims))
     elif mode != "bbox":
         raise ValueError(f"unknown mode: {mode}")
     return d.drop("_cx", "_cy", "rings", "min_lon", "min_lat", "max_lon", "max_lat")

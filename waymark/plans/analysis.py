@@ -20,6 +20,11 @@ def both(v: Views) -> DataFrame:
     return compare.sides(v.trips, F.col("source_id") == "fleet_a", F.col("source_id") == "fleet_b")
 
 
+def _mean(c: str) -> str:
+    """SQL for the mean of billionths, rounded half up to six digits, in whole numbers."""
+    return f"((2 * sum(round({c} * 1e9)::HUGEINT) + 1000 * count({c})) // (2000 * count({c}))) / 1e6"
+
+
 @query("table_stats", """
 SELECT t.*, coalesce(w.waypoints, 0) AS waypoints FROM (
   SELECT source_id, count(*) AS trips, min(start_lon) AS min_lon, max(start_lon) AS max_lon, min(start_lat) AS min_lat, max(start_lat) AS max_lat, min(starttime) AS first_start, max(starttime) AS last_start FROM trips GROUP BY source_id
@@ -73,7 +78,7 @@ def _(v):
     return stats.options_sources(v.trips)
 
 
-@query("options_city_centers", "SELECT city, avg(start_lon) AS lon, avg(start_lat) AS lat FROM trips WHERE city IS NOT NULL GROUP BY city", "lon lat")
+@query("options_city_centers", f"SELECT city, {_mean('start_lon')} AS lon, {_mean('start_lat')} AS lat FROM trips WHERE city IS NOT NULL GROUP BY city", "lon lat")
 def _(v):
     return stats.city_centers(v.trips)
 
@@ -130,13 +135,13 @@ def _(v):
     return temporal.metric_hist(v.full_trips, "detour_ratio")
 
 
-@query("od_flows", """SELECT round(start_lon * 20) / 20 AS o_lon, round(start_lat * 20) / 20 AS o_lat, round(end_lon * 20) / 20 AS d_lon, round(end_lat * 20) / 20 AS d_lat, count(*) AS volume, avg(distance_km) AS avg_distance_km
+@query("od_flows", f"""SELECT round(start_lon * 20) / 20 AS o_lon, round(start_lat * 20) / 20 AS o_lat, round(end_lon * 20) / 20 AS d_lon, round(end_lat * 20) / 20 AS d_lat, count(*) AS volume, {_mean("distance_km")} AS avg_distance_km
 FROM trips GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5 ORDER BY volume DESC, 1, 2, 3, 4 LIMIT 50""", "o_lon o_lat d_lon d_lat avg_distance_km")
 def _(v):
     return spatial.od_flows(v.trips)
 
 
-@query("od_flows_zone", "SELECT origin_zone, dest_zone, count(*) AS volume, avg(start_lon) AS avg_start_lon, avg(start_lat) AS avg_start_lat, avg(end_lon) AS avg_end_lon, avg(end_lat) AS avg_end_lat FROM trips WHERE source_id = 'fleet_a' GROUP BY 1, 2 ORDER BY volume DESC, 1, 2 LIMIT 50", "avg_start_lon avg_start_lat avg_end_lon avg_end_lat")
+@query("od_flows_zone", f"SELECT origin_zone, dest_zone, count(*) AS volume, {_mean('start_lon')} AS avg_start_lon, {_mean('start_lat')} AS avg_start_lat, {_mean('end_lon')} AS avg_end_lon, {_mean('end_lat')} AS avg_end_lat FROM trips WHERE source_id = 'fleet_a' GROUP BY 1, 2 ORDER BY volume DESC, 1, 2 LIMIT 50", "avg_start_lon avg_start_lat avg_end_lon avg_end_lat")
 def _(v):
     return spatial.od_flows_zone(TripFilter(source_id="fleet_a").apply(v.trips))
 
@@ -490,10 +495,7 @@ def _(v):
 @query("zone_contains_exact", """SELECT poi_id, zone_id FROM pois JOIN zones ON lon > min_lon AND lon < max_lon AND lat > min_lat AND lat < max_lat
 WHERE NOT (zone_id = 3 AND lon > 139.85e0 AND lon < 140.05e0 AND lat > 35.75e0 AND lat < 35.95e0)""")
 def _(v):
-    # the SQL, other than the operator, counts points on the edge of a hole as inside; they are added
-    held = zones.contains(v.pois, v.zones, "bbox").join(v.zones.select("zone_id", "rings"), "zone_id")
-    rim = F.exists("rings", lambda p: F.exists(F.slice(p, F.lit(2), F.size(p)), lambda ring: zones.on_edge(ring, F.col("lon"), F.col("lat"))))
-    return zones.contains(v.pois, v.zones).select("poi_id", "zone_id").unionByName(held.where(rim).select("poi_id", "zone_id"))
+    return zones.contains(v.pois, v.zones, hole_rims=True).select("poi_id", "zone_id")
 
 
 @query("list_pois", "SELECT poi_id, source_key, name, category, lon, lat, (SELECT count(*) > 10 FROM pois WHERE category = 'City park') AS truncated FROM pois WHERE category = 'City park' ORDER BY source_key, poi_id LIMIT 10", "lon lat")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.functions.clock import DEFAULT_ANCHOR, parse_time_ms, start_seconds, time_kind_to_ms
 from waymark.functions.modes import mode_code, mode_label
 from waymark.operators import derive, profile, spatial, stats
 from waymark.plans.registry import query
 from waymark.plans.views import Views
+from waymark.shared import shared_path
 from waymark.sources import files, mapping, sinks
 from waymark.streaming import windows
 
@@ -19,15 +17,8 @@ PAIR = ["vehicle_key", "trip_id"]
 
 
 def scratch(v: Views, label: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir`` (a local one only where it is unset)."""
-    found = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = v.spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined():
-            v.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
-            known = v.spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get()
-    return f"{found.rstrip('/')}/waymark/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return shared_path(v.spark, label)
 
 
 def written(v: Views, df: DataFrame, label: str, kind: str) -> str:
@@ -145,10 +136,11 @@ def _(v):
 
 
 def _event_files(v: Views) -> tuple[str, str]:
-    """Trips as departures and arrivals on links between grid nodes."""
-    t = v.trips.where("simulation_day = 0").select("agent_id", "trip_id", "starttime", "vehicle_key", F.concat(F.lit("l"), (F.col("trip_id") % 50).cast("string")).alias("l0"), F.concat(F.lit("l"), (F.col("trip_id") * 7 % 50).cast("string")).alias("l1"))
-    # one trip per person, so that departures and arrivals alternate
-    t = t.join(t.groupBy("vehicle_key").agg(F.min("trip_id").alias("trip_id")), ["vehicle_key", "trip_id"], "left_semi")
+    """Trips as departures and arrivals on links between grid nodes, over all days; a trip within three minutes of the one before is left out."""
+    start = F.col("simulation_day") * 86400 + F.col("starttime")
+    t = v.trips.select("trip_id", start.alias("starttime"), "vehicle_key", F.concat(F.lit("l"), (F.col("trip_id") % 50).cast("string")).alias("l0"), F.concat(F.lit("l"), (F.col("trip_id") * 7 % 50).cast("string")).alias("l1"))
+    before = F.lag("starttime").over(Window.partitionBy("vehicle_key").orderBy("starttime", "trip_id"))
+    t = t.withColumn("gap", F.col("starttime") - before).where("gap IS NULL OR gap >= 180")
     line = lambda time, kind, link: F.struct(time.cast("double").alias("_time"), F.lit(kind).alias("_type"), F.col("vehicle_key").alias("_person"), link.alias("_link"), F.lit("car").alias("_legMode"))
     e = t.select(F.explode(F.array(line(F.col("starttime"), "departure", F.col("l0")), line(F.col("starttime") + 60, "entered link", F.col("l1")), line(F.col("starttime") + 120, "arrival", F.col("l1")))).alias("e")).select("e.*")
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
@@ -160,15 +152,19 @@ def _event_files(v: Views) -> tuple[str, str]:
     return written(v, e, "events", "xml:events:event"), network
 
 
-@query("scan_agent_events_xml", """WITH f AS (SELECT vehicle_key, min(trip_id) AS trip_id FROM trips WHERE simulation_day = 0 GROUP BY 1), t AS (SELECT t.* FROM trips t JOIN f USING (vehicle_key, trip_id))
-SELECT 1 AS trip_id, vehicle_key AS person_id, starttime AS start_time_sec, 139.5e0 + (t.trip_id % 50 + 0.5e0) / 1e2 AS start_lon, 35.5e0 + (t.trip_id * 7 % 50 + 0.5e0) / 2e2 AS end_lat, 'car' AS mode FROM t""", "start_lon end_lat")
+_EVENT_TRIPS = """WITH g AS (SELECT vehicle_key, trip_id, s, s - lag(s) OVER (PARTITION BY vehicle_key ORDER BY s, trip_id) AS gap FROM (SELECT *, simulation_day * 86400 + starttime AS s FROM trips)),
+t AS (SELECT *, row_number() OVER (PARTITION BY vehicle_key ORDER BY s) AS n FROM g WHERE gap IS NULL OR gap >= 180)"""
+
+
+@query("scan_agent_events_xml", f"""{_EVENT_TRIPS}
+SELECT n AS trip_id, vehicle_key AS person_id, s AS start_time_sec, 139.5e0 + (t.trip_id % 50 + 0.5e0) / 1e2 AS start_lon, 35.5e0 + (t.trip_id * 7 % 50 + 0.5e0) / 2e2 AS end_lat, 'car' AS mode FROM t""", "start_lon end_lat")
 def _(v):
     trips, _pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000)
     return trips.select("trip_id", "person_id", "start_time_sec", "start_lon", "end_lat", "mode")
 
 
-@query("scan_agent_pings", """WITH f AS (SELECT vehicle_key, min(trip_id) AS trip_id FROM trips WHERE simulation_day = 0 GROUP BY 1), t AS (SELECT t.* FROM trips t JOIN f USING (vehicle_key, trip_id))
-SELECT vehicle_key AS person_id, 1 AS trip_id, (1601478000 + starttime + 60)::BIGINT * 1000 AS time_ms, 'l' || (t.trip_id * 7 % 50) AS link_id FROM t""")
+@query("scan_agent_pings", f"""{_EVENT_TRIPS}
+SELECT vehicle_key AS person_id, n AS trip_id, (1601478000 + s + 60)::BIGINT * 1000 AS time_ms, 'l' || (t.trip_id * 7 % 50) AS link_id FROM t""")
 def _(v):
     _trips, pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000)
     return pings.select("person_id", "trip_id", "time_ms", "link_id")

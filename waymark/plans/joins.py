@@ -80,10 +80,12 @@ def _(v):
     return v.pois.where((F.col("category") == "City park") & (F.col("source_key") == "layer0") & f.in_box((139.6, 35.5, 140.2, 36.0))).select("poi_id")
 
 
-@query("f_zone", "SELECT zone_id, (SELECT count(*) FROM pois) AS pois FROM zones WHERE source_key = 'wards' AND max_lon >= 139.9e0 AND min_lon <= 140.1e0 AND max_lat >= 35.6e0 AND min_lat <= 35.8e0")
+@query("f_zone", "SELECT poi_id AS zone_id FROM pois WHERE source_key = 'layer1' AND lon + 0.05e0 >= 139.9e0 AND lon - 0.05e0 <= 140.1e0 AND lat + 0.05e0 >= 35.6e0 AND lat - 0.05e0 <= 35.8e0")
 def _(v):
-    z = v.zones.where((F.col("source_key") == "wards") & f.zone_overlaps(BOX)).select("zone_id")
-    return z.join(v.pois.agg(F.count("*").alias("pois")))
+    # a square zone around every point of interest
+    half = F.lit(0.05)
+    squares = v.pois.select(F.col("poi_id").alias("zone_id"), "source_key", *[(F.col(c) + sign * half).alias(f"{side}_{c}") for c in ("lon", "lat") for side, sign in (("min", -1), ("max", 1))])
+    return squares.where((F.col("source_key") == "layer1") & f.zone_overlaps(BOX)).select("zone_id")
 
 
 _SEG = """SELECT vehicle_key, trip_id, link_id, unix_time_ms, seq, 111.32e0 * sqrt(pow((lon - lon0) * cos(radians((lat0 + lat) / 2)), 2) + pow(lat - lat0, 2)) AS km, (unix_time_ms - t0) / 1e3 AS dt
@@ -91,9 +93,11 @@ FROM (SELECT *, lag(unix_time_ms) OVER w AS t0, lag(lon) OVER w AS lon0, lag(lat
 _SEGMENTS = f"SELECT *, CASE WHEN speed_kmh < 1 THEN dt ELSE 0e0 END AS dwell_sec FROM (SELECT *, CASE WHEN dt > 0 THEN km / (dt / 3.6e3) END AS speed_kmh FROM ({_SEG}))"
 
 
-@query("f_dwell_marker", f"SELECT vehicle_key, trip_id, unix_time_ms FROM ({_SEGMENTS}) WHERE dwell_sec > 60")
+@query("f_dwell_marker", f"SELECT vehicle_key, trip_id, unix_time_ms FROM ({_SEGMENTS.replace('FROM waypoints', 'FROM (SELECT *, 0::BIGINT AS trip_id, NULL AS link_id, event_id AS seq FROM pings)')}) WHERE dwell_sec > 60")
 def _(v):
-    return derive.segments(v.waypoints).where("dwell_sec > 60").select(*PAIR, "unix_time_ms")
+    # pings of a user as one trip: some stay where they are for hours
+    pings = v.pings.withColumns({"trip_id": F.lit(0).cast("long"), "link_id": F.lit(None).cast("string"), "seq": F.col("event_id")})
+    return derive.segments(pings).where("dwell_sec > 60").select(*PAIR, "unix_time_ms")
 
 
 @query("segments", f"SELECT vehicle_key, trip_id, unix_time_ms, link_id, km, speed_kmh, dwell_sec FROM ({_SEGMENTS})", "km speed_kmh dwell_sec")
