@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,12 +251,17 @@ def test_repair_random_access():
     rnd = np.random.default_rng(1)
     ids = rnd.choice([1, 2, 3, 4, 7, 7, 7, 9], 20_000)
     s, pairs, sizes = token_store.repair(ids, 50)
-    assert len(s) < len(ids) and (token_store.expand(s, pairs, 50) == ids).all()
+    assert len(s) < len(ids) and (token_store.expand(s, pairs, sizes, 50) == ids).all()
     lengths = np.array([0, 5, 1, 700, 0, 19_294])
     shard = token_store.Shard(50, lengths, *(x.astype("<u4").tobytes() for x in (s, pairs, sizes)))
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     for i in range(len(lengths)):
         assert (shard.document(i) == ids[cuts[i] : cuts[i + 1]]).all()
+        for j in range(i, len(lengths) + 1):
+            assert (shard.documents(i, j) == ids[cuts[i] : cuts[j]]).all()
+    shard.opened = 0
+    shard.document(2)  # one id: only the rules on the way to it
+    assert shard.opened <= sizes.max() and shard.opened < len(pairs) / 4
 
 
 def test_repair_goes_on_to_the_end():
@@ -263,17 +269,47 @@ def test_repair_goes_on_to_the_end():
     passage = rnd.integers(0, 40_000, 500)
     ids = np.concatenate([x for _ in range(6) for x in (passage, rnd.integers(0, 40_000, 300))])
     s, pairs, sizes = token_store.repair(ids, 50_000)
-    assert (token_store.expand(s, pairs, 50_000) == ids).all()
+    assert (token_store.expand(s, pairs, sizes, 50_000) == ids).all()
     assert sizes.max() > 400  # the passage is about one symbol
     assert len(s) < 6 * 300 + 6 * 20
     both = np.stack([s[:-1], s[1:]], 1)
     assert np.unique(both, axis=0, return_counts=True)[1].max() < 4
     runs = np.full(1000, 7)
-    s, pairs, _ = token_store.repair(runs, 50)
-    assert len(s) < 8 and (token_store.expand(s, pairs, 50) == runs).all()
+    s, pairs, sizes = token_store.repair(runs, 50)
+    assert len(s) < 8 and (token_store.expand(s, pairs, sizes, 50) == runs).all()
     assert len(token_store.repair(np.zeros(0, np.int64), 50)[0]) == 0
 
 
+def test_repair_of_long_runs():
+    began = time.monotonic()
+    for ids in (np.full(1_000_000, 7), np.concatenate([np.full(300_001, 7), np.full(300_000, 8), np.tile([7, 8, 8], 100_000)])):
+        s, pairs, sizes = token_store.repair(ids, 50)
+        assert len(s) < 60 and (token_store.expand(s, pairs, sizes, 50) == ids).all()
+    assert time.monotonic() - began < 20
+
+
+def test_text_of_very_many_pre_tokens(byte_tokenizer):
+    text = " ".join(map(str, range(1_400_000)))
+    began = time.monotonic()
+    ids, at = token_store.Encoder().encode([text, "a b"])
+    assert time.monotonic() - began < 60
+    assert at[-1] == len(ids) and ids[at[1] :].tolist() == byte_tokenizer.encode("a b", add_special_tokens=False).ids
+    for a in (0, 700_000, 1_399_000):  # numbers of one length: ids of a stretch of them, with what is around it
+        part = " ".join(map(str, range(a, a + 1000)))
+        own = byte_tokenizer.encode(" " + part if a else part, add_special_tokens=False).ids
+        before = len(byte_tokenizer.encode(" ".join(map(str, range(a))), add_special_tokens=False).ids) if a else 0
+        assert ids[before : before + len(own)].tolist() == own
+
+
+def test_read_some_documents(spark, docs, tmp_path):
+    path = str(tmp_path / "some")
+    token_store.write_tokens(docs, path)
+    every = by_id(token_store.read_tokens(spark, path))
+    wanted = spark.createDataFrame([(0,), (75,), (-5,), (None,)], "doc_id long")
+    some = by_id(token_store.read_tokens(spark, path, ids=wanted))
+    assert some == {d: every[d] for d in (0, 75)}
+
+
 def test_pre_tokens(byte_tokenizer):
     texts = ["", "'s", "''s", "x''s 's\n's", "  a \n\n b  ", "it's I'LL we're 're're", "a b  c\x1c", "\r\n\tx", "1a2 ½ Ⅷ 漢字!?", "'"]
     ids, at = token_store.Encoder().encode(texts)

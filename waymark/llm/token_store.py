@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from waymark.llm.spread import running, small_enough
 from waymark.llm.store import new_path
 from waymark.llm.words import _power, mix
 
@@ -20,6 +21,8 @@ CHAR_BASE = 0x9E6C63D0876A9A55
 CHAR_BACK = pow(CHAR_BASE, -1, 1 << 64)
 #: Ids in a shard (one document more may follow), characters in a batch of texts, and pre-tokens kept with their ids.
 SHARD_IDS, PIECE, KEPT = 1 << 20, 1_500_000, 1_200_000
+#: Documents that are read from a shard at a time.
+READ = 512
 #: Input bytes for one sorted partition of documents.
 PART_BYTES = 24 << 20
 #: Classes of characters: letters, numbers, white space, others.
@@ -79,7 +82,9 @@ class Encoder:
 
     Pre-tokens are found and hashed on arrays of code points; their ids are kept
     in a table from hash to ids, which starts anew when it is full.  Texts with
-    more pre-tokens than it keeps get a table as large as they need.
+    more pre-tokens than it keeps get a table as large as they need.  Pre-tokens
+    are the same where their 64-bit hashes are (two given ones that differ share
+    a hash with a probability of about 2**-63).
     """
 
     BITS = 22
@@ -230,16 +235,21 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
         hot = hot[order]
         taken = np.zeros(len(s) + 1, bool)
         chosen_at, chosen_r = [], []
-        while len(at):  # places whose rank is the lowest among those that overlap them
+        while len(at):  # runs of one pair (of one id with itself) whose rank is the lowest among those that overlap them: every second place
             near = np.diff(at) == 1
-            better = np.ones(len(at), bool)
-            better[1:] &= ~near | (r[1:] < r[:-1])
-            better[:-1] &= ~near | (r[:-1] <= r[1:])
+            new = np.append(True, ~near | (r[1:] != r[:-1]))
+            first = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            beside, own = near[first[1:] - 1], r[first]
+            lowest = np.ones(len(first), bool)
+            lowest[1:] &= ~beside | (own[1:] < own[:-1])
+            lowest[:-1] &= ~beside | (own[:-1] < own[1:])
+            better = lowest[run] & ((np.arange(len(at)) - first[run]) % 2 == 0)
             pick = at[better]
             chosen_at.append(pick)
             chosen_r.append(r[better])
             taken[pick] = taken[pick + 1] = True
-            free = ~better & ~taken[at] & ~taken[at + 1]
+            free = ~taken[at] & ~taken[at + 1]
             at, r = at[free], r[free]
         at, r = np.concatenate(chosen_at), np.concatenate(chosen_r)
         # a pair left with one place gets no rule now; the most frequent one always has half of its places
@@ -262,63 +272,65 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
     return s, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), known
 
 
-def rule_ids(pairs: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """What every rule expands to, laid end to end, and where each starts (one more at the end); rules are opened level by level."""
-    n = len(pairs)
-    s, owner = np.arange(base, base + n), np.arange(n)
-    while (high := s >= base).any():
-        size = np.where(high, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at[~high]] = s[~high]
-        rule = pairs[s[high] - base]
-        out[at[high]], out[at[high] + 1] = rule[:, 0], rule[:, 1]
-        s, owner = out, np.repeat(owner, size)
-    return s, np.searchsorted(owner, np.arange(n + 1))
-
-
-def expand(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a sequence of symbols."""
-    s = symbols.astype(np.int64)
-    if not len(pairs) or not len(s):
-        return s
-    flat, starts = rule_ids(pairs, base)
-    rule = s - base
-    high = rule >= 0
-    pool = np.concatenate([np.arange(base), flat])  # an id stands for itself
-    begin, size = s.copy(), np.ones(len(s), np.int64)
-    begin[high] = base + starts[rule[high]]
-    size[high] = starts[rule[high] + 1] - starts[rule[high]]
-    upto = np.cumsum(size)
-    return pool[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]))]
-
-
 class Shard:
-    """One shard of the file format: documents can be decoded one by one.
+    """One shard of the file format, read at random: any run of its documents is decoded by itself.
 
-    Only the symbols that cover a document are opened: sums of the rules'
-    expansion lengths tell which.
+    Sums of the expansion lengths tell which symbols cover a document and where
+    each symbol's ids go; only the rules that these symbols meet are opened.
     """
 
     def __init__(self, base: int, lengths: np.ndarray, sequence: bytes, rules: bytes, sizes: bytes):
         self.base = base
         self.symbols = np.frombuffer(sequence, "<u4").astype(np.int64)
         self.pairs = np.frombuffer(rules, "<u4").astype(np.int64).reshape(-1, 2)
-        spread = np.concatenate([[1], np.frombuffer(sizes, "<u4").astype(np.int64)])
-        per = spread[np.maximum(self.symbols - base + 1, 0)]
-        self.ends = np.cumsum(per)
-        self.starts = self.ends - per
+        self.sizes = np.concatenate([[1], np.frombuffer(sizes, "<u4").astype(np.int64)])
+        self.ends = np.cumsum(self._size(self.symbols))
         self.docs = np.concatenate([[0], np.cumsum(lengths)])
-
-    def document(self, i: int) -> np.ndarray:
-        a, b = int(self.docs[i]), int(self.docs[i + 1])
+        self.opened = 0
+
+    def _size(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        return self.sizes[np.maximum(symbols - self.base + 1, 0)]
+
+    def _open(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every one of ``symbols``, end to end, and where each starts; rules are opened level by level."""
+        upto = np.cumsum(self._size(symbols))
+        out = np.empty(int(upto[-1]), np.int64)
+        starts = upto - self._size(symbols)
+        at = starts
+        while len(symbols):
+            plain = symbols < self.base
+            out[at[plain]] = symbols[plain]
+            rule, at = symbols[~plain] - self.base, at[~plain]
+            self.opened += len(rule)
+            left, right = self.pairs[rule, 0], self.pairs[rule, 1]
+            symbols, at = np.concatenate([left, right]), np.concatenate([at, at + self._size(left)])
+        return out, starts
+
+    def documents(self, i: int, j: int) -> np.ndarray:
+        """Ids of documents i to j - 1, end to end."""
+        a, b = int(self.docs[i]), int(self.docs[j])
         if a == b:
             return np.zeros(0, np.int64)
-        first, last = int(np.searchsorted(self.ends, a, "right")), int(np.searchsorted(self.starts, b, "left"))
-        got = expand(self.symbols[first:last], self.pairs, self.base)
-        skip = a - int(self.starts[first])
+        first, last = int(np.searchsorted(self.ends, a, "right")), int(np.searchsorted(self.ends, b, "left"))
+        own, which = np.unique(self.symbols[first : last + 1], return_inverse=True)
+        ids, starts = self._open(own)
+        size = self._size(own)[which]
+        upto = np.cumsum(size)
+        got = ids[np.repeat(starts[which] - (upto - size), size) + np.arange(int(upto[-1]))]
+        skip = a - int(self.ends[first] - size[0])
         return got[skip : skip + b - a]
 
+    def document(self, i: int) -> np.ndarray:
+        return self.documents(i, i + 1)
+
+
+def expand(symbols: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """Ids of a whole sequence of symbols."""
+    spread = np.concatenate([[1], sizes])
+    n = int(spread[np.maximum(symbols.astype(np.int64) - base + 1, 0)].sum())
+    return Shard(base, np.array([n]), *(x.astype("<u4").tobytes() for x in (symbols, pairs, sizes))).document(0)
+
 
 #: The file format: shards in Parquet, ``part`` and ``shard`` in document order.
 FORMAT = "part int, shard int, base int, n_ids long, doc_ids array<long>, lengths array<long>, sequence binary, rules binary, sizes binary"
@@ -375,11 +387,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ordered.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
-    """What the files hold, per document in order: part, shard, doc_id, ids, n_tokens, at (ids before it in the shard), ids_crc32.
+def read_tokens(spark, path: str, with_ids: bool = True, ids: DataFrame | None = None) -> DataFrame:
+    """What the files hold, per document in order: part, shard, doc_id, n_tokens, at (ids before it in the shard), ids_crc32, and ids.
 
-    Every shard is opened as a whole; without ``with_ids`` the ids themselves
-    stay in the task.
+    Documents are read from the compressed shards at random, runs of READ of
+    them at a time (see ``Shard``), so that a task never holds a whole shard's
+    ids.  ``ids`` (a table with doc_id, each once, small enough to be broadcast)
+    asks for some documents only: no other is decoded.  Without ``with_ids`` the
+    ids themselves stay in the task.  Files without shards give no rows; a
+    document of the end id alone has one token; repeated and null doc_ids come
+    as they were written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,34 +404,46 @@ def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i] for c in batch.schema.names}
                 lengths = r["lengths"].values.to_numpy()
-                flat = expand(np.frombuffer(r["sequence"].as_py(), "<u4"), np.frombuffer(r["rules"].as_py(), "<u4").astype(np.int64).reshape(-1, 2), r["base"].as_py()).astype("<u4")
-                cuts = np.concatenate([[0], np.cumsum(lengths)])
-                n = len(lengths)
-                for a in range(0, n, 512):
-                    b = min(a + 512, n)
-                    ids = [flat[x:y].tobytes() for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1])]
-                    columns = [pa.array([r["part"].as_py()] * (b - a), pa.int32()), pa.array([r["shard"].as_py()] * (b - a), pa.int32()), r["doc_ids"].values[a:b], pa.array(lengths[a:b]), pa.array(cuts[a:b].astype(np.int64)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                shard = Shard(r["base"].as_py(), lengths, r["sequence"].as_py(), r["rules"].as_py(), r["sizes"].as_py())
+                keys = r["doc_ids"].values
+                if "wanted" in r:
+                    rows = np.flatnonzero(np.isin(keys.fill_null(-1).to_numpy(), r["wanted"].values.to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False))
+                    runs = [(int(x), int(x) + 1) for x in rows]
+                else:
+                    runs = [(a, min(a + READ, len(lengths))) for a in range(0, len(lengths), READ)]
+                for a, b in runs:
+                    flat, cuts = shard.documents(a, b).astype("<u4"), shard.docs[a : b + 1] - shard.docs[a]
+                    parts = [flat[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+                    columns = [pa.array([r["part"].as_py()] * (b - a), pa.int32()), pa.array([r["shard"].as_py()] * (b - a), pa.int32()), keys[a:b], pa.array(lengths[a:b]), pa.array(shard.docs[a:b]), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                     names = ["part", "shard", "doc_id", "n_tokens", "at", "ids_crc32"]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
-    return spark.read.parquet(path).mapInArrow(run, "part int, shard int, doc_id long, n_tokens long, at long, ids_crc32 long" + ", ids binary" * with_ids)
+    shards = spark.read.parquet(path)
+    if ids is not None:
+        wanted = ids.where("doc_id IS NOT NULL").agg(F.collect_set(F.col("doc_id").cast("long")).alias("wanted"))
+        shards = shards.crossJoin(F.broadcast(wanted)).where(F.arrays_overlap("doc_ids", "wanted"))  # one row: the whole request
+    return shards.mapInArrow(run, "part int, shard int, doc_id long, n_tokens long, at long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def index_tokens(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files.
 
-    Running sums go over parts of the shard list and then within a part.
+    Running sums over the shards go over ranges of them and then within one.
+    Documents are as in ``read_tokens``; files without shards give no rows.
     """
     shards = spark.read.parquet(path).select("part", "shard", "n_ids")
-    per = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    per = per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
-    first = shards.withColumn("within", within).join(per, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("first"))
+    first = running(shards, [F.col("part"), F.col("shard")], {"first": F.col("n_ids")}, "token-shards").drop("n_ids")
     docs = read_tokens(spark, path, False)
+    first = F.broadcast(first) if small_enough(first) else first
     return docs.join(first, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
+    """Token files of ``documents``, written and read back: see ``write_tokens`` and ``read_tokens``.
+
+    A null text is the end id alone; repeated doc_ids have a row each; an empty
+    table gives no rows.
+    """
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return index_tokens(spark, path)
