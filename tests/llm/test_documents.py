@@ -354,6 +354,32 @@ def test_training_never_sees_held_out(spark):
     assert len(drawn) == 40 and all(zlib.crc32(r.text.split()[1].encode()) % 4 != 2 for r in drawn)
 
 
+def test_training_rows(spark):
+    long = "x " * 100_000
+    d = spark.createDataFrame([(i, f"text {i}" if i else long) for i in range(40)] + [(3, "another")] * 50 + [(5, None), (None, "lost")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)] + [(4, 1, 0), (6, 1, 0), (6, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.text: r.label for r in classifier.training_rows(d, labels, 30)}
+    ok = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]  # labels without a document take no place
+    want = {("another" if i == 3 else f"text {i}" if i else long): {4: 0, 6: 1}.get(i, i % 2) for i in ok}
+    assert got == want  # long texts whole, one of repeated texts, labels by majority and 0 where they tie
+
+
+def test_quality_of_the_supplied_table(spark):
+    """Held-out rows of the supplied table: far better than chance, and the same on a second fit."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = classifier.classify(d, classifier.fit(d, labels)).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    score, y = np.array([r.score for r in got]), np.array([r.quality for r in got])
+    order = np.argsort(score)
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    n = y.sum()
+    auc = (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+    accuracy = np.mean([r.predicted == r.quality for r in got])
+    print(f"held out: {len(y)} rows, AUC {auc:.3f}, accuracy {accuracy:.3f}")
+    assert len(y) > 500 and auc > 0.93 and accuracy > 0.9
+
+
 # secrets
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -394,7 +420,27 @@ def test_confirmed_secrets():
     assert kinds(f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(key).decode()}\n-----END PRIVATE KEY-----") >= {"pem"}
     broken = bytes([0x30, 41]) + key[2:]
     assert kinds(f"x {base64.b64encode(broken).decode()} y") == set() and kinds("x " + "QUJD" * 12 + " y") == set()
-    assert kinds(f"see {b64(b'not json at all')}.{b64(b'nor this one')}.x") == set()
+    assert kinds(f"see {b64(b'not json at all')}.{b64(b'nor this one')}.x") == set() and kinds("www.example-site.org and first.second.third") == set()
+    spread = "{\n \"alg\": \"none\"}"
+    assert kinds(f"see {b64(spread.encode())}.{b64(b'{}')}. now") == {"token"}
+    # OpenSSH: every nested length is parsed
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    whole = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(64))
+    frame = lambda x, cut="\n": f"-----BEGIN OPENSSH PRIVATE KEY-----{cut}{base64.b64encode(x).decode()}{cut}-----END OPENSSH PRIVATE KEY-----"
+    assert kinds(frame(whole)) >= {"pem"} and kinds(frame(whole, "\\n")) >= {"pem"}
+    assert kinds(frame(whole[:-1])) == set() and kinds(frame(b"openssh-key-v1\0" + bytes(80))) == set()
+    # header lines, written-out line breaks, lines without a frame
+    lines = lambda x, n=64: [base64.b64encode(x).decode()[i : i + n] for i in range(0, len(base64.b64encode(x)), n)]
+    big = bytes([0x30, 0x81, 150, 0x02, 100]) + bytes(range(100)) + bytes([0x04, 46]) + bytes(46)
+    assert kinds("-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines(big)) + "\\n-----END PRIVATE KEY-----") >= {"pem"}
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n"
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + head + "\n".join(lines(bytes(range(160)))) + "\n-----END RSA PRIVATE KEY-----") == {"pem"}
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nX: y\n\n" + "\n".join(lines(big)) + "\n-----END RSA PRIVATE KEY-----") >= {"pem"}
+    text = "see:\n" + "\n".join(lines(big)) + "\nend of it"
+    spans = [s for s in secrets.confirmed_spans(text) if s[2] == "key"]
+    assert [text[a:b] for a, b, _ in spans] == ["\n".join(lines(big))]
+    assert kinds("\n".join(lines(bytes(200)))) == set()
 
 
 def test_redaction(docs, rows):

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.llm.store import materialize
 from waymark.llm.words import chunks, utf8
 
 #: A filter sees WIDTH bytes and moves by STEP; a segment is SEGMENT filter places; a chunk is CHUNK segments and
@@ -167,21 +168,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 900, longest: int = 1 << 16) -> list:
-    """A bounded sample of labelled texts: the ``per_label`` rows of either label with the lowest hashes.
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> list:
+    """A bounded sample of labelled texts, whole: the ``per_label`` documents of either label with the lowest hashes.
 
-    Rows that are held out, without a label or longer than ``longest``
-    characters are not drawn (the bound on what the driver holds).
+    Documents are drawn from those that have a text and a label and are not held
+    out, so that none that cannot be learned from takes a place.  Of differing
+    labels of a document the more frequent one counts, and 0 where they tie; of
+    differing texts under one doc_id the least one.  Null texts, null doc_ids
+    and labels other than 0 and 1 are left out; with empty tables there are no
+    rows.  The driver holds at most ``2 * per_label`` texts.
     """
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = texts.select("doc_id").join(own, "doc_id").distinct()
     order = F.xxhash64(F.col("doc_id"), F.lit("train"))
-    drawn = None
-    for label in (0, 1):
-        part = own.where(F.col("label") == label).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_label)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
-    found = texts.join(F.broadcast(drawn), "doc_id").orderBy(order, "doc_id", "text").limit(2 * per_label)
-    return found.select("text", "label").collect()
+    zero, one = (known.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_label) for label in (0, 1))
+    drawn = materialize(zero.unionByName(one), "drawn-labels")
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.orderBy(order, "doc_id").select("text", "label").collect()
 
 
 def with_crops(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[list[bytes], np.ndarray]:
@@ -197,6 +202,7 @@ def with_crops(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[l
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 900) -> Network:
+    """A network learned from ``training_rows``; without rows of both labels it scores all texts alike."""
     rows = training_rows(docs, labels, per_label)
     return train(*with_crops([r["text"].encode() for r in rows], [r["label"] for r in rows]))
 
@@ -220,5 +226,10 @@ def classify(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Quality of every document: see ``classify`` and ``training_rows``.
+
+    Null and empty texts have the same score; repeated rows are scored each; an
+    empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
