@@ -16,15 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{3,}\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----((?:(?!-----).)+)-----END \1-----", re.S)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+#: Base64 over several lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{40,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 #: Kinds in the order in which spans with the same start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "token", "pem", "key", "hexkey")
 #: A text that this does not hit holds no span of any kind.
-HINT = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=])|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{24}|-----BEGIN |ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4}"
+HINT = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=])|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{24}|-----BEGIN |[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{3,}\."
 
+OPENSSH = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -54,21 +57,69 @@ def _der(data: bytes, at: int, end: int, depth: int = 0) -> set[int] | None:
     return tags
 
 
+def _fields(data: bytes) -> list[bytes] | None:
+    """The length-prefixed fields that fill ``data`` exactly; None if a length does not fit."""
+    at, fields = 0, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        fields.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return fields
+
+
+def _ssh(data: bytes) -> bool:
+    """Whether bytes are the SSH encoding of a public key: its kind, then its numbers."""
+    fields = _fields(data)
+    return fields is not None and len(fields) >= 2 and fields[0] in SSH_NAMES
+
+
+def _openssh(data: bytes) -> bool:
+    """Whether bytes are an OpenSSH key file: cipher, key derivation, the public keys it counts, and one private part."""
+    at, head = len(OPENSSH), []
+    for _ in range(3):
+        n = int.from_bytes(data[at : at + 4], "big")
+        head.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    if at + 4 > len(data) or not head[0].isascii() or not head[0]:
+        return False
+    count = int.from_bytes(data[at : at + 4], "big")
+    rest = _fields(data[at + 4 :])
+    return rest is not None and count >= 1 and len(rest) == count + 1 and all(map(_ssh, rest[:-1])) and bool(rest[-1])
+
+
 def is_key(data: bytes) -> bool:
     """Whether bytes are a key: a DER sequence with numbers or strings, or the SSH encodings, every nested length fitting."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    if data.startswith(OPENSSH):
+        return _openssh(data)
     if len(data) >= 24 and data[0] == 0x30:
         tags = _der(data, 0, len(data))
         return tags is not None and bool(tags & {0x02, 0x03, 0x04})
-    if len(data) >= 24 and data[:3] == b"\0\0\0":
-        at, fields = 0, []
-        while at + 4 <= len(data):
-            n = int.from_bytes(data[at : at + 4], "big")
-            fields.append(data[at + 4 : at + 4 + n])
-            at += 4 + n
-        return at == len(data) and len(fields) >= 2 and fields[0] in SSH_NAMES
-    return False
+    return len(data) >= 24 and data[:3] == b"\0\0\0" and _ssh(data)
+
+
+def pem_holds_key(body: str) -> bool:
+    """Whether what a PEM frame holds is a key.
+
+    Line breaks may be written out (``\\n``), and lines with headers may come
+    first.  A body that its headers call encrypted is no DER: it is a key if it
+    is whole cipher blocks.
+    """
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    headers = [x for x in lines if ":" in x]
+    data = decode64("".join(x for x in lines if ":" not in x))
+    if data is None:
+        return False
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in headers) and any(x.startswith("DEK-Info:") for x in headers):
+        return len(data) >= 24 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def wrapped_key(text: str) -> int:
+    """How much of a base64 text over several lines is a key: its length, with the last line or without; 0 if none is."""
+    head = text[: text.rindex("\n")].rstrip()
+    return next((len(x) for x in (text, head) if "\n" in x and is_key(decode64(x) or b"")), 0)
 
 
 def decode64(text: str) -> bytes | None:
@@ -103,8 +154,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that only decoding confirms."""
     found = [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_signed_token(m.group())]
-    found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_key(decode64(m.group(2)) or b"")]
+    found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if pem_holds_key(m.group(2))]
     found += [(m.start(), m.end(), "key") for m in BASE64.finditer(text) if is_key(decode64(m.group()) or b"")]
+    found += [(m.start(), m.start() + n, "key") for m in WRAPPED.finditer(text) if (n := wrapped_key(m.group()))]
     found += [(m.start(), m.end(), "hexkey") for m in HEX_BYTES.finditer(text) if is_key(bytes.fromhex(m.group()))]
     return found
 
@@ -158,8 +210,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns are ignored.  Base kinds are
     found by pattern.  Further spans are reported only if they decode: base64
-    and hex to key encodings whose nested lengths fit to the last byte, dotted
-    texts to a JSON header with an algorithm.  Positions are code points, ends
+    and hex (in one line, in several, or in a PEM frame) to key encodings whose
+    nested lengths fit to the last byte, dotted texts to a JSON header with an
+    algorithm.  Positions are code points, ends
     exclusive.  A null text is empty and has no spans, repeated rows are
     scanned each, and an empty table gives no rows.  One pass over the rows,
     no shuffle.
@@ -170,7 +223,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``[secret]``; ``n_chars`` follows the text.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay, repeated rows too; null texts stay null, a null
+    ``n_chars`` stays null, and an empty table stays empty.
     """
     names = docs.columns
 
@@ -202,4 +256,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """Secrets in every document: see ``scan_secrets``.  A null text has none; repeated rows have a row each; an empty table gives no rows."""
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
