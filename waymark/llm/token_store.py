@@ -198,19 +198,24 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
     ``base``, and replaces their places; where places overlap the more frequent
     pair goes first, then the one further left.  Rounds go on until no pair is
     there ``least`` times: a rule takes 12 bytes and saves 4 at every place, so
-    that rarer pairs save nothing.  A table of hashes leaves out rare pairs; the
-    others are counted exactly.
+    that rarer pairs save nothing.  A table of hashes leaves out rare pairs, which
+    are not looked at again until a neighbour is replaced; the others are counted
+    exactly.
     """
     s = ids.astype(np.int32)
+    rare = np.zeros(len(s), bool)  # places whose pair is there too seldom, for ever: counts of known pairs only fall
     pairs: list[np.ndarray] = []
     known = np.zeros(0, np.int64)
     top, bits = base, 20
+    slots = lambda x, y: ((x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
     while len(s) > 1:
-        u = s.view(np.uint32)
-        slot = ((u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
-        slot = slot[at]
-        key = (s[at].astype(np.int64) << 32) | s[at + 1]
+        at = np.flatnonzero(~rare[:-1])
+        left, right = s[at], s[at + 1]
+        slot = slots(left.view(np.uint32), right.view(np.uint32))
+        warm = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+        rare[at[~warm]] = True
+        at, slot = at[warm], slot[warm]
+        key = (left[warm].astype(np.int64) << 32) | right[warm]
         own = np.sort(key)
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
         count = np.diff(np.append(first, len(own)))
@@ -218,17 +223,23 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
         hot, count = own[first[often]], count[often]
         if not len(hot):
             break
+        h = hot.view(np.uint32).reshape(-1, 2)
+        mark = np.zeros(1 << bits, bool)
+        mark[slots(h[:, 1], h[:, 0])] = True
+        near = mark[slot]
+        rare[at[~near]] = True
+        at, slot, key = at[near], slot[near], key[near]
         if len(hot) > most:
             some = np.sort(np.argpartition(-count, most)[:most])
             hot, count = hot[some], count[some]
+            h = hot.view(np.uint32).reshape(-1, 2)
+            mark[:] = False
+            mark[slots(h[:, 1], h[:, 0])] = True
+            near = mark[slot]
+            at, key = at[near], key[near]
         order = np.lexsort((mix(hot.view(np.uint64)), -count))  # ties by hash: a passage's pairs do not wait for each other in a row
         rank = np.empty(len(hot), np.int32)
         rank[order] = np.arange(len(hot), dtype=np.int32)
-        h = hot.view(np.uint32).reshape(-1, 2)
-        mark = np.zeros(1 << bits, bool)
-        mark[(h[:, 1] * np.uint32(0x9E3779B1) + h[:, 0] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)] = True
-        near = mark[slot]
-        at, key = at[near], key[near]
         place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
         same = hot[place] == key
         at, r = at[same], rank[place[same]]
@@ -237,7 +248,19 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
         chosen_at, chosen_r = [], []
         while len(at):  # runs of one pair (of one id with itself) whose rank is the lowest among those that overlap them: every second place
             near = np.diff(at) == 1
-            new = np.append(True, ~near | (r[1:] != r[:-1]))
+            again = near & (r[1:] == r[:-1])
+            if not again.any():
+                better = np.ones(len(at), bool)
+                better[1:] &= ~near | (r[1:] < r[:-1])
+                better[:-1] &= ~near | (r[:-1] < r[1:])
+                pick = at[better]
+                chosen_at.append(pick)
+                chosen_r.append(r[better])
+                taken[pick] = taken[pick + 1] = True
+                free = ~taken[at] & ~taken[at + 1]
+                at, r = at[free], r[free]
+                continue
+            new = np.append(True, ~again)
             first = np.flatnonzero(new)
             run = np.cumsum(new) - 1
             beside, own = near[first[1:] - 1], r[first]
@@ -265,9 +288,11 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
         pairs.append(pair)
         known = np.concatenate([known, size])
         s[at] = top + number[r]
+        rare[at] = False
+        rare[np.maximum(at - 1, 0)] = False
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s = s[keep]
+        s, rare = s[keep], rare[keep]
         top += len(used)
     return s, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), known
 
