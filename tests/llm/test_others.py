@@ -31,7 +31,8 @@ def test_top_k(vectors, monkeypatch, small):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERIES", 2)
     if not small:
-        monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)  # a pass for every query
+        monkeypatch.setattr(topk, "SPARSE", 0.9)
     ints = topk.integer_vectors(df)
     got = {}
     for r in topk.top_k(ints, ints.where(F.col("vec_id") % 100 == 0)).collect():
@@ -44,6 +45,34 @@ def test_top_k(vectors, monkeypatch, small):
     assert not got
 
 
+def test_top_k_phases_multiply_less_than_brute_force():
+    rnd = np.random.default_rng(6)
+    centres = rnd.normal(0, 1, (40, 64))
+    v = np.floor(1024 * (centres[rnd.integers(0, 40, 4000)] + rnd.normal(0, 0.3, (4000, 64)))).astype(np.int64)
+    ids, q_ids = np.arange(4000), np.arange(0, 4000, 100)
+    q, c = (topk.Slices(x) for x in topk._numbers(v[q_ids], v))
+    own = topk._same(q_ids, ids)
+    score, first = topk.listed(q.v, c.v, own, 10)
+    cutoff = np.sort(score, 1)[:, -10].astype(float)
+    i, j, found, last = topk.collected(q, c, own, cutoff)
+    every = v[q_ids] @ v.T
+    assert (every[i, j] == found).all()
+    every[own] = topk.NONE
+    assert {(int(x), int(y)) for x, y in zip(i, j)} == {(int(x), int(y)) for x, y in zip(*np.nonzero(every >= cutoff[:, None]))}
+    assert first < 0.2 * every.size * 64 and first + last < 0.8 * every.size * 64
+
+
+def test_top_k_of_large_numbers():
+    rnd = np.random.default_rng(7)
+    v = rnd.integers(-(2**27), 2**27, (300, 16))
+    q, c = (topk.Slices(x) for x in topk._numbers(v[:9], v))
+    assert q.v.dtype == np.int64  # sums beyond 2**53
+    i, j, found, _ = topk.collected(q, c, topk._same(np.arange(9), np.arange(300)), np.full(9, 2.0**55))
+    every = v[:9] @ v.T
+    np.fill_diagonal(every[:, :9], topk.NONE)
+    assert sorted(zip(i, j, found)) == sorted((a, b, every[a, b]) for a, b in zip(*np.nonzero(every >= 2.0**55)))
+
+
 def test_top_k_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-1.0])], "vec_id long, embedding array<float>")
     ints = topk.integer_vectors(df)
