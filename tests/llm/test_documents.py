@@ -96,7 +96,7 @@ def jaccard_truth(rows):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("group", [2048, 4])
+@pytest.mark.parametrize("group", [512, 4])
 def test_jaccard_join(docs, rows, monkeypatch, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
     got = {d: (r.n_shingles, r.component_id) for d, r in by_id(jaccard.jaccard_join(docs)).items()}
@@ -112,10 +112,36 @@ def test_jaccard_odd_tables(spark, docs, empty, repeated):
     assert {(r.doc_id, r.component_id) for r in null} == {(None, None), (4, 4)}
 
 
-def test_keep_one(docs, rows):
+def test_keep_one(spark, docs, rows, repeated, empty):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert set(by_id(kept)) == {d for d, (_, c) in jaccard_truth(rows).items() if d == c}
+    want = {d for d, (_, c) in jaccard_truth(rows).items() if d == c}
+    assert set(by_id(kept)) == want
+    once = jaccard.keep_one(repeated).collect()  # repeated rows are one document
+    assert len(once) == len(want) and {r.doc_id for r in once} == want
+    odd = jaccard.keep_one(spark.createDataFrame([(None, "a b"), (None, "a b"), (4, None), (9, "a b"), (8, "a b")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in odd) == [(0, "a b"), (0, "a b"), (4, ""), (8, "a b")]
+    assert jaccard.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("group", [6, 40])
+def test_large_groups(spark, monkeypatch, group):
+    """Near copies of one text, chains and texts that share rare shingles only: groups of several levels of blocks."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rnd = np.random.default_rng(9)
+    some = lambda n, k: [f"{k}{x}" for x in rnd.integers(0, 10**9, n)]
+    texts, base = [], some(60, "b")
+    for _ in range(120):
+        w = list(base)
+        w[int(rnd.integers(0, 60))] = f"e{rnd.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    for i in range(25):  # a chain, each linked with the next ones only
+        texts.append(" ".join(base[i : i + 30]))
+    for _ in range(30):  # half of the text is shared, not enough for a link
+        texts.append(" ".join(base[:30] + some(30, "d")))
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    got = {d: (r.n_shingles, r.component_id) for d, r in by_id(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == jaccard_truth(rows)
 
 
 def test_signature_tree_loses_no_pair():

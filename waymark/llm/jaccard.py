@@ -18,8 +18,8 @@ N, PERCENT = 5, 80
 SLOTS, ROW = 1 << 20, 1 << 16
 #: Postings of one bucket on average, and postings that a task holds before it deals them out.
 BUCKET, HELD = 1 << 20, 3 << 19
-#: Sets of a group that one task compares; larger groups are split into blocks, and pairs of blocks are compared.
-GROUP = 2048
+#: Sets of a group that are compared at a time; the main part of a larger group is found first (see ``links``).
+GROUP = 512
 #: Least and most bits of a signature, which has as many as its set has shingles at least, and children of a tree node.
 BITS, MOST_BITS, FAN = 1024, 1 << 17, 8
 
@@ -90,7 +90,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            got = np.frombuffer(counts, "<i4").astype(np.int64)
+            got = np.frombuffer(counts, "<i8" if len(counts) > 4 * ROW else "<i4").astype(np.int64)
             sums[block] = sums[block] + got if block in sums else got
     for block, got in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([got.astype("<i8").tobytes()], pa.binary())], names=["block", "counts"])
@@ -98,7 +98,11 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_classes(measured: DataFrame) -> np.ndarray:
     """For every slot of the sketch a class that rises with the number of documents in it: SLOTS bytes."""
-    rows = measured.where("block is not null").select("block", "counts").repartition(SLOTS // ROW, "block").mapInArrow(_add, "block int, counts binary").collect()
+    rows = measured.where("block is not null").select("block", "counts")
+    # two steps, so that a task adds up the sketches of some input tasks only
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).repartition(SLOTS // ROW * 16, "block", "salt")
+    some = salted.select("block", "counts").mapInArrow(_add, "block int, counts binary")
+    rows = some.repartition(SLOTS // ROW, "block").mapInArrow(_add, "block int, counts binary").collect()
     total = np.zeros(SLOTS, np.int64)
     for r in rows:
         total[r["block"] * ROW : (r["block"] + 1) * ROW] = np.frombuffer(r["counts"], "<i8")
@@ -273,15 +277,19 @@ def candidate_pairs(n: list[int], bitmaps: list[bytes]) -> Iterator[tuple[np.nda
             yield place[i], place[j]
 
 
-def forest(ids: list[int], n: list[int], bitmaps: list[bytes], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def forest(ids: list[int], n: list[int], bitmaps: list[bytes], sets: list[np.ndarray] | None = None, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join what the links of a group of sets join: (id, smallest id of its part).
 
     Pairs come from the tree.  With ``sets`` they are verified exactly, unless
     earlier links already join them; without, all that the tree leaves count.
+    Sets that are ``joined`` are known to be in one part.
     """
     if len(ids) < 2:
         return []
     parent = np.arange(len(ids))
+    if joined is not None and any(joined):
+        whole = np.flatnonzero(joined)
+        parent[whole] = whole[0]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -311,40 +319,31 @@ def forest(ids: list[int], n: list[int], bitmaps: list[bytes], sets: list[np.nda
     return [(int(x), int(least[r])) for x, r in zip(own, roots) if x != least[r]]
 
 
-SENT = "lead long, x long, y long, doc_id long, n long, bits binary, shingles binary"
+SETS = "lead long, doc_id long, n long, bits binary, shingles binary"
+SENT = "lead long, x long, y long, joined long, doc_id long, n long, bits binary, shingles binary"
 NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of every set, once for every block pair it is compared in."""
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        *longs, bits, data = zip(*rows)
-        return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in longs], pa.array(bits, pa.binary()), pa.array(data, pa.binary())], names=NAMES)
-
+    """Every set with its shingles."""
+    names = [x.split()[0] for x in SETS.split(", ")]
     for batch in batches:
-        ids, keys = batch.column("doc_id").to_pylist(), batch.column("keys").to_pylist()
-        rows: list[tuple] = []
-        for doc, where, s in zip(ids, keys, shingle_sets(*utf8(batch.column("text")))):
-            data, bits = s.tobytes(), signature(s)
-            rows += [(k["lead"], k["x"], k["y"], doc, len(s), bits, data) for k in where]
-            if len(rows) >= 2000:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
+        out = [(lead, doc, len(s), signature(s), s.tobytes()) for lead, doc, s in zip(batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist(), shingle_sets(*utf8(batch.column("text"))))]
+        for a in range(0, len(out), 2000):
+            columns = zip(*out[a : a + 2000])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every group, whose rows follow each other: verified ones, or where shingles were not sent, possible ones."""
+    """Links of every comparison, whose rows follow each other: verified ones, or where shingles were not sent, possible ones."""
     now, held = None, []
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
 
-    def group() -> list[tuple[int, int]]:
+    def group() -> list[tuple[int, int, int]]:
         if len(held) < 2:
             return []
-        ids, n, bits, data = zip(*held)
-        return forest(ids, n, bits, None if data[0] is None else [np.frombuffer(x, np.uint64) for x in data])
+        joined, ids, n, bits, data = zip(*held)
+        return [(now[0], a, b) for a, b in forest(ids, n, bits, None if data[0] is None else [np.frombuffer(x, np.uint64) for x in data], joined)]
 
     for batch in batches:
         for lead, x, y, *row in zip(*[batch.column(c).to_pylist() for c in NAMES]):
@@ -353,36 +352,90 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, held = (lead, x, y), []
             held.append(row)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["lead", "a", "b"])
             out = []
     out += group()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["lead", "a", "b"])
 
 
-def block_keys(members: DataFrame) -> DataFrame:
-    """``members`` (lead, rep, n and more) with ``keys``: the comparisons that each set takes part in.
+def compared(sent: DataFrame) -> DataFrame:
+    """Links (lead, a, b) within the comparisons (lead, x, y): each set with the smallest of its part of one."""
+    return sent.select(*NAMES).repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(_compare, "lead long, a long, b long")
 
-    A group of up to GROUP sets is one comparison.  A larger one is dealt to
-    blocks by bands of size and by hash, and each block is compared with those
-    of its own band and the bands beside it, in which all sets are whose sizes
-    go with its own.
-    """
-    large = members.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > GROUP)
-    placed = matched(members, materialize(large, "large-groups"), "lead", "left", salt_by=F.col("rep"))
-    placed = placed.withColumn("members", F.coalesce("members", F.lit(1)))
-    placed = placed.withColumns({"band": F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))), "blocks": F.ceil(F.col("members") / (GROUP // 2))})
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    keys = F.expr(
-        f"if(members <= {GROUP}, array(named_struct('lead', lead, 'x', 0L, 'y', 0L)), flatten(transform(sequence(band - 1, band + 1), b -> "
-        "transform(sequence(0L, blocks - 1), j -> named_struct('lead', lead, 'x', least(band * 1048576 + block, b * 1048576 + j), 'y', greatest(band * 1048576 + block, b * 1048576 + j))))))"
-    )
-    return placed.withColumn("keys", keys).drop("members", "band", "blocks", "block")
 
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("lead").agg(F.count(F.lit(1)).alias(name))
 
-def compared(sent: DataFrame) -> DataFrame:
-    """Links (a, b) of what was sent to the comparisons."""
-    return sent.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(_compare, "a long, b long")
+
+def main_parts(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links within large groups, and (lead, doc_id) of a main part of each group that they join.
+
+    A group (``rows`` has its number of ``members``) is dealt to blocks by hash,
+    whose links are found.  The largest part of every block sends its smallest
+    set on; these are a group again, smaller by the size of a block, and so on
+    until one block is left.  What its largest part stands for is the main part.
+    """
+    rows = rows.withColumn("x", F.when(F.col("members") <= GROUP, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / (GROUP // 2)))).cast("long"))
+    stars = materialize(compared(rows.withColumns({"y": F.expr("0L"), "joined": F.expr("0L")})), "block-links")
+    own = rows.select("lead", "x", "doc_id", "members")
+    of = stars.select(F.col("lead").alias("s_lead"), F.col("a").alias("s_id"), F.col("b").alias("root"))
+    own = own.join(of, (F.col("lead") == F.col("s_lead")) & (F.col("doc_id") == F.col("s_id")), "left").select("lead", "x", "doc_id", "members", F.coalesce("root", "doc_id").alias("root"))
+    own = materialize(own, "block-parts")
+    parts = own.groupBy("lead", "x", "root").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
+    best = parts.groupBy("lead", "x").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("root"), F.max("members").alias("members"))
+    best = materialize(best, "block-mains")
+    last = best.where(F.col("members") <= GROUP).select("lead", "root")
+    links = [stars]
+    if not best.where(F.col("members") > GROUP).isEmpty():
+        up = best.where(F.col("members") > GROUP).select(F.col("lead").alias("u_lead"), F.col("root").alias("u_root"))
+        chosen = rows.drop("members", "x").join(up, (F.col("lead") == F.col("u_lead")) & (F.col("doc_id") == F.col("u_root"))).drop("u_lead", "u_root").dropDuplicates(["lead", "doc_id"])
+        chosen = materialize(chosen, "block-representatives")
+        more, main = main_parts(matched(chosen, materialize(_counted(chosen, "members"), "representatives"), "lead"))
+        links += more
+        last = last.unionByName(main.select("lead", F.col("doc_id").alias("root")))
+    return links, materialize(own.join(last, ["lead", "root"], "left_semi").select("lead", "doc_id"), "main-parts")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the links within the groups of ``rows`` (a table of SETS) join.
+
+    A group of up to GROUP sets is one comparison.  Of a larger one a main part
+    is found first, whose sets are joined already (near copies of one text are
+    nearly all in it); they need not be compared with each other.  The others
+    are compared with each other and with the main part, by blocks: those of one
+    band of sizes with those of the bands beside it, in which all sets are whose
+    sizes go with its own.  So no set of a main part is sent more often than
+    there are blocks of other sets.
+    """
+    large = materialize(_counted(rows, "members").where(F.col("members") > GROUP), "large-groups")
+    whole = rows.withColumns({"x": F.expr("0L"), "y": F.expr("0L"), "joined": F.expr("0L")})
+    if large.isEmpty():
+        return compared(whole).select("a", "b")
+    found = [compared(matched(whole, large.select("lead"), "lead", "left_anti"))]
+    hot = materialize(matched(rows, large, "lead", salt_by=F.col("doc_id")), "large-sets")
+    more, main = main_parts(hot)
+    found += more
+    main = main.withColumn("joined", F.expr("1L"))
+    flagged = hot.join(main, ["lead", "doc_id"], "left").withColumn("joined", F.coalesce("joined", F.expr("0L")))
+    flagged = materialize(flagged, "flagged-sets")
+    others = materialize(flagged.groupBy("lead").agg(F.count_if(F.col("joined") == 0).alias("others"), F.count_if(F.col("joined") == 1).alias("mains")).where("others > 0"), "other-sets")
+    if not others.isEmpty():
+        placed = matched(flagged, others, "lead", salt_by=F.col("doc_id"))
+        half = GROUP // 2
+        placed = placed.withColumns({"band": F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))), "u": F.ceil(F.col("others") / half), "m": F.ceil(F.col("mains") / half)})
+        placed = placed.withColumn("block", F.when(F.col("joined") == 0, F.pmod(F.xxhash64("doc_id"), "u")).otherwise(F.col("u") + F.pmod(F.xxhash64("doc_id"), F.greatest("m", F.lit(1)))))
+        # blocks 0 to u - 1 are of other sets, the next m of the main part; a block of the main part meets no other of it
+        keys = F.expr(
+            "flatten(transform(sequence(band - 1, band + 1), b -> transform(sequence(0L, if(joined = 1, u, u + m) - 1), j -> "
+            "named_struct('x', least(band * 1048576 + block, b * 1048576 + j), 'y', greatest(band * 1048576 + block, b * 1048576 + j)))))"
+        )
+        placed = placed.withColumn("k", F.explode(keys)).select("lead", "k.x", "k.y", "joined", "doc_id", "n", "bits", "shingles")
+        found.append(compared(placed))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("a", "b")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -401,10 +454,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     dealt to buckets: linked sets share one of these.  Sets that meet under a
     shingle form the group of the smallest one.  A traversal of the group's
     signature tree against itself leaves pairs that may be linked; only sets
-    with such a pair are sent with their shingles, once per component of these
+    with such a pair are sent with their shingles, once, to the component of these
     pairs, whose tree is traversed again with an exact test of each pair that
-    earlier links do not join already.  Groups beyond GROUP sets are compared
-    by pairs of blocks.  Components are found by star steps.
+    earlier links do not join already.  Of groups beyond GROUP sets the part
+    that is joined anyway is found first (see ``links``).  Components are found
+    by star steps.  Word sequences are the same where their 64-bit hashes are.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
@@ -418,12 +472,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     posted = rows.mapInArrow(_post(classes, n_buckets), "bucket int, tokens binary, sets binary")
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "lead long, set long")
     members = materialize(met.groupBy("lead", "set").agg(F.count(F.lit(1)).alias("met")).drop("met"), "members")
-    placed = block_keys(members.join(sets, "set").select("lead", "rep", "n", "bits")).select("n", "bits", F.col("rep").alias("doc_id"), F.explode("keys").alias("k"))
-    maybe = components(compared(placed.select("k.lead", "k.x", "k.y", "doc_id", "n", "bits", F.lit(None).cast("binary").alias("shingles"))))
-    near = maybe.withColumnsRenamed({"node": "rep", "root": "lead"}).join(sets.select("rep", "n"), "rep")
-    live = materialize(block_keys(near).select(F.col("rep").alias("doc_id"), "keys"), "live-sets")
-    texts = matched(rows, live, "doc_id").select("doc_id", "text", "keys")
-    roots = components(compared(texts.mapInArrow(_shingle, SENT)))
+    groups = members.join(sets, "set").select("lead", F.col("rep").alias("doc_id"), "n", "bits", F.lit(None).cast("binary").alias("shingles"))
+    maybe = materialize(components(links(materialize(groups, "groups"))), "possible-parts")
+    live = maybe.withColumnsRenamed({"node": "doc_id", "root": "lead"})
+    texts = matched(rows, live, "doc_id")
+    near = materialize(texts.select("lead", "doc_id", "text").mapInArrow(_shingle, SETS), "live-sets")
+    roots = components(links(near))
     comp = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"))
     comp = materialize(comp, "set-components")
     filled = matched(per_doc.where("n_shingles > 0"), comp, "set", salt_by=F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
@@ -433,12 +487,25 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked documents, that of the smallest doc_id, with all columns."""
+    """One document of each group of linked documents, that of the smallest doc_id, with all columns.
+
+    Rows that share a doc_id are one document: one of them stays, that of the
+    least text hash.  Rows with a null doc_id take no part and stay; documents
+    with null or blank texts are linked with nothing and stay; an empty table
+    gives no rows.
+    """
     gone = materialize(jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     names = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return matched(rows, gone, "doc_id", "left_anti").select(*[F.col(f"row.`{c}`") for c in names])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").select("doc_id")
+    again = materialize(again, "repeated-ids")
+    kept = matched(rows, gone, "doc_id", "left_anti")
+    if not again.isEmpty():
+        one = matched(kept, again, "doc_id").groupBy("doc_id").agg(F.min_by("row", "text_key").alias("row"))
+        kept = matched(kept, again, "doc_id", "left_anti").select("doc_id", "row").unionByName(one)
+    return kept.select(*[F.col(f"row.`{c}`") for c in names])
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Groups of linked ``documents``: see ``jaccard_join``, nulls, repeats and ties included; an empty table gives no rows."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark.llm.store import materialize
 
 #: A side of at most so many bytes (its columns' lengths, summed) is broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 SALTS = 32
 #: Rows that one task numbers in a running sum over a whole table.
 RUN_ROWS = 200_000
