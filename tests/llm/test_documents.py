@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waymark.llm import bpe, classifier, jaccard, mixing, quality_rules, secrets, spread, substrings, token_store
+from waymark.llm.fm_index import FmIndex
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -195,6 +196,28 @@ def test_substring_odd_tables(spark, empty, docs, repeated):
     assert r == {None: 0, 2: 0, 5: 30}
 
 
+def test_fm_index():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        n, v, depth, lane = int(rnd.integers(1, 250)), int(rnd.integers(2, 6)), int(rnd.choice([4, 8, 20])), int(rnd.choice([7, 96]))
+        text = np.append(rnd.integers(0, v, n), 0)
+        at = defaultdict(list)
+        for i in range(len(text) - depth + 1):
+            if (text[i : i + depth] > 0).all():
+                at[text[i : i + depth].tobytes()].append(i)
+        want = np.full(len(text), -1)
+        for places in at.values():
+            if len(places) > 1:
+                want[places] = places[0]
+        index = FmIndex(text, v + 1, depth)
+        assert (index.repeated(lane) == want).all()
+    words = rnd.integers(1, 5000, 20_000)
+    text = np.concatenate([x for a in range(0, 19_000, 500) for x in (words[a : a + 700], [0])])
+    index = FmIndex(text, 5001, 20)
+    held = [*index.tree.bits, *index.tree.counts, *[x for m in index.marks for x in (m.words, m.before, m.after)]]
+    assert sum(x.nbytes for x in held) < 10 * len(text)  # of the index; 8 bytes a word take the words themselves
+
+
 def test_substring_large_groups(spark, monkeypatch):
     monkeypatch.setattr(substrings, "LARGE", 400)
     monkeypatch.setattr(substrings, "SHARD", 200)

@@ -39,19 +39,58 @@ class WaveletTree:
         return at
 
 
+def _highest(x: np.ndarray) -> np.ndarray:
+    """Place of the highest one bit of every word (none is zero)."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(shift))
+    return np.bitwise_count(x).astype(np.int64) - 1
+
+
+class Marks:
+    """Marked places as a bitmap, with the nearest word before and after that has a mark: two bits per place."""
+
+    def __init__(self, marked: np.ndarray):
+        n = len(marked)
+        padded = np.zeros((n // 64 + 1) * 64, bool)
+        padded[:n] = marked
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        own = np.arange(len(self.words), dtype=np.int32)
+        some = self.words != 0
+        self.before = np.maximum.accumulate(np.where(some, own, -1)).astype(np.int32)
+        self.after = np.minimum.accumulate(np.where(some, own, len(own))[::-1])[::-1].astype(np.int32)
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last mark at or before each place, and the first one behind it; both must be there."""
+        word, upto = at >> 6, (np.uint64(2) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        own = self.words[word]
+        low, high = own & upto, own & ~upto
+        far = low == 0
+        place = np.where(far, self.before[np.maximum(word - 1, 0)], word)
+        last = (place << 6) + _highest(np.where(far, self.words[place], low))
+        far = high == 0
+        place = np.where(far, self.after[np.minimum(word + 1, len(self.words) - 1)], word)
+        rest = np.where(far, self.words[place], high)
+        return last, (place << 6) + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+
+
 class FmIndex:
-    """Index of one text of symbols; 0 separates its parts and is in no pattern."""
+    """Compressed index of one text of symbols; 0 ends each of its parts and is in no pattern.
+
+    It holds a wavelet tree over the symbols before the sorted suffixes, and per
+    depth a bitmap of the places of the order where the first symbols change.
+    The order itself is not kept.
+    """
 
     def __init__(self, text: np.ndarray, n_symbols: int, depth: int):
         n = len(text)
-        self.text, self.depth = text, depth
+        self.text, self.depth, self.n = text, depth, n
         ranks = [text.astype(np.int64)]
         order = np.argsort(ranks[0], kind="stable")
         k = 1
         while k <= DEPTH:
             r = ranks[-1]
             far = np.zeros(n, np.int64)
-            far[: n - k] = r[k:] + 1
+            far[: max(n - k, 0)] = r[k:] + 1
             key = r * (int(r.max(initial=0)) + 2) + far
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]
@@ -59,7 +98,6 @@ class FmIndex:
             rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
             ranks.append(rank)
             k *= 2
-        self.order = order
         del ranks[5:]
         # common prefix of neighbours in the order, up to the depth, by the ranks of 16, 8, 4, 2 and 1 symbols
         a, b = order[:-1].copy(), order[1:].copy()
@@ -73,18 +111,11 @@ class FmIndex:
             a += step
             b += step
         del ranks
-        # per depth: the block of suffixes with the same first symbols that a place of the order is in
-        self.block, self.start = [np.zeros(n, np.int32)], [np.array([0, n])]
-        for d in range(1, depth + 1):
-            new = np.append(True, common < d)
-            self.block.append((np.cumsum(new) - 1).astype(np.int32))
-            self.start.append(np.append(np.flatnonzero(new), n))
-        before = np.where(order > 0, text[order - 1], 0)
-        self.tree = WaveletTree(before, n_symbols)
+        # the whole order is one block of depth 0; there is a mark behind the last place too
+        self.marks = [Marks(np.concatenate([[True], common < d, [True]])) for d in range(depth + 1)]
+        self.tree = WaveletTree(np.where(order > 0, text[order - 1], 0), n_symbols)
         count = np.bincount(text, minlength=n_symbols)
         self.shift = np.cumsum(count) - count - self.tree.follow(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
-        #: First place in the text of every block of the full depth.
-        self.first = np.minimum.reduceat(order, self.start[depth][:-1]) if n else order
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A step of backward search: the interval of the pattern with ``symbol`` before it."""
@@ -92,17 +123,18 @@ class FmIndex:
         got = self.tree.follow(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.shift[symbol]] * 2)
         return got[:m], got[m:]
 
-    def repeated(self, lane: int = 96) -> np.ndarray:
-        """For every place of the text, the first place with the same ``depth`` symbols; -1 if there is no other or fewer symbols.
+    def matches(self, lane: int = 96) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text where ``depth`` symbols match that are there twice or more, and the intervals (by their first place) that they match.
 
         Matching statistics of the text against the index: stretches are read
         from right to left, many side by side.  A match is extended by one
         symbol; if too few suffixes are left, it is cut at its right end by one
-        symbol at a time, through the blocks of its depth, until it can be
-        extended or is empty.  Where a match has the full depth it is reported.
+        symbol at a time, to the marks of its depth around it, until it can be
+        extended or is empty.  Where a match has the full depth its interval is
+        reported.
         """
-        text, depth, n = self.text, self.depth, len(self.text)
-        out = np.full(n, -1, np.int64)
+        text, depth, n = self.text, self.depth, self.n
+        places, intervals = [], []
         ends = np.minimum(np.arange(lane, n + lane, lane), n)
         starts = np.arange(0, n, lane)
         at = np.minimum(ends + depth - 1, n)
@@ -129,9 +161,23 @@ class FmIndex:
             lo[live], hi[live], length[live] = own_lo, own_hi, own
             at[live] = place
             found = np.flatnonzero((own == depth) & (place < ends[live]))
-            if len(found):
-                out[place[found]] = self.first[self.block[depth][own_lo[found]]]
+            places.append(place[found])
+            intervals.append(own_lo[found])
             live = live[place > starts[live]]
+        return (np.concatenate(places), np.concatenate(intervals)) if places else (np.zeros(0, np.int64),) * 2
+
+    def repeated(self, lane: int = 96) -> np.ndarray:
+        """For every place of the text, the first place with the same ``depth`` symbols; -1 if there is no other or fewer symbols.
+
+        Equal stretches report one interval: the first place of the text that
+        reports it is the first one of its kind.
+        """
+        place, interval = self.matches(lane)
+        order = np.lexsort((place, interval))
+        place, interval = place[order], interval[order]
+        new = np.append(True, interval[1:] != interval[:-1])[: len(place)]
+        out = np.full(self.n, -1, np.int64)
+        out[place] = place[np.flatnonzero(new)][np.cumsum(new) - 1]
         return out
 
     def _cut(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, rows: np.ndarray) -> None:
@@ -141,5 +187,4 @@ class FmIndex:
         length[rows] -= 1
         for d in np.unique(length[rows]):
             of = rows[length[rows] == d]
-            block = self.block[d][lo[of]]
-            lo[of], hi[of] = self.start[d][block], self.start[d][block + 1]
+            lo[of], hi[of] = self.marks[d].around(lo[of])

@@ -21,8 +21,6 @@ SPAN = WINDOW - ANCHOR + 1
 BUCKET, HELD, SHARD = 1 << 20, 3 << 19, 1 << 19
 #: Stretches, or words, of a group beyond which it is dealt again by whole windows.
 HOT, LARGE = 40_000, 1 << 20
-#: Bytes of the table of removed words that may be broadcast.
-BROADCAST_BYTES = 24 << 20
 
 
 def texts_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -389,21 +387,21 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     a group, whose stretches go to one shard; a group of very many stretches or
     words is dealt again by whole windows that are there twice, and those in
     very many places are thinned out in blocks (see ``bounded``).
-    A shard is indexed by an FM-index and streamed against it.
+    A shard is indexed by a compressed FM-index and streamed against it.  Word
+    sequences are the same where their 64-bit hashes are.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = materialize(rows.where("doc_id is not null").mapInArrow(_measure, "doc_id long, n_words long, key long"), "doc-words")
     reps = materialize(per_doc.where(f"n_words >= {WINDOW}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words")), "first-docs")
     ranges = removed_ranges(docs, per_doc, reps)
     cuts = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")).withColumn("copy", F.lit(False))
-    small = reps.count() <= 500_000
-    keyed = per_doc.join(F.broadcast(reps.select("key", "rep")) if small else reps.select("key", "rep"), "key")
+    keyed = matched(per_doc, reps.select("key", "rep"), "key", salt_by=F.col("doc_id"))
     copies = keyed.where("doc_id <> rep").select("doc_id", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"), F.lit(True).alias("copy")).distinct()
     changed = materialize(cuts.unionByName(copies), "removed")
-    size = changed.agg(F.coalesce(F.sum(F.lit(32) + F.coalesce(F.size("cuts"), F.lit(0)) * 16), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(changed) if size <= BROADCAST_BYTES else changed, "doc_id", "left")
+    joined = matched(rows, changed, "doc_id", "left")
     return joined.select("doc_id", "text", "cuts", "copy").mapInArrow(_keep, RESULT)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` that repeat an earlier window: see ``dedup_substrings``, nulls and repeats included; an empty table gives no rows."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
