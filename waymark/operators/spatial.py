@@ -119,26 +119,42 @@ def hotspots(trips: DataFrame, point_type: str = "origin", top_n: int = 20) -> D
 
 
 def build_density_hourly(waypoints: DataFrame, cities: DataFrame, anchor: int, resolution: float = 0.005) -> DataFrame:
-    """Waypoints per source, city, hour and rounded cell.  A vehicle with two cities counts in both."""
+    """Waypoints per source, city, hour and rounded cell.  A vehicle with two cities counts in both.
+
+    Waypoints are counted per vehicle and cell before the city comes in, so that
+    a busy vehicle joins with as many rows as it has cells.
+    """
     city = cities.where("city is not null").select("vehicle_key", "city").distinct()
-    w = waypoints.join(city, "vehicle_key", "left")
-    keys = [F.col("source_id"), F.col("city"), hour_of_day(F.col("unix_time_ms"), anchor).alias("hour"), grid_round(F.col("lon"), resolution).alias("grid_lon"), grid_round(F.col("lat"), resolution).alias("grid_lat")]
-    return w.groupBy(*keys).agg(F.count("*").alias("weight")).withColumn("resolution", F.lit(float(resolution)))
+    cell = [hour_of_day(F.col("unix_time_ms"), anchor).alias("hour"), grid_round(F.col("lon"), resolution).alias("grid_lon"), grid_round(F.col("lat"), resolution).alias("grid_lat")]
+    w = waypoints.groupBy("source_id", "vehicle_key", *cell).agg(F.count("*").alias("n"))
+    d = w.join(city, "vehicle_key", "left").groupBy("source_id", "city", "hour", "grid_lon", "grid_lat").agg(F.sum("n").alias("weight"))
+    return d.withColumn("resolution", F.lit(float(resolution)))
+
+
+#: Parts of an hour's cells that are ranked by themselves first.
+HOUR_PARTS = 16
 
 
 def density_hourly(cells: DataFrame, resolution: float = 0.005, max_cells_per_hour: int = 15000) -> DataFrame:
-    """Cells over all sources, the heaviest per hour, with the largest weight of all and whether an hour was cut."""
+    """Cells over all sources, the heaviest per hour, with the largest weight of all and whether an hour was cut.
+
+    Every part of an hour gives its heaviest cells to the ranking of the hour;
+    one more than are kept shows whether the hour is cut.
+    """
     d = cells.where(F.col("resolution") == float(resolution)).groupBy("hour", "grid_lon", "grid_lat").agg(F.sum("weight").alias("weight"))
-    w = Window.partitionBy("hour")
-    d = d.withColumns({"rn": F.row_number().over(w.orderBy(F.col("weight").desc(), "grid_lon", "grid_lat")), "n": F.count("*").over(w)})
-    top = d.agg(F.max("weight").alias("max_weight"))
-    return d.where(F.col("rn") <= max_cells_per_hour).join(F.broadcast(top)).select("hour", "grid_lon", "grid_lat", "weight", "max_weight", (F.col("n") > max_cells_per_hour).alias("truncated"))
+    heaviest = [F.col("weight").desc(), "grid_lon", "grid_lat"]
+    some = Window.partitionBy("hour", F.pmod(F.xxhash64("grid_lon", "grid_lat"), F.lit(HOUR_PARTS))).orderBy(*heaviest)
+    d = d.withColumn("rn", F.row_number().over(some)).where(F.col("rn") <= max_cells_per_hour + 1)
+    d = d.withColumn("rn", F.row_number().over(Window.partitionBy("hour").orderBy(*heaviest))).where(F.col("rn") <= max_cells_per_hour + 1)
+    d = d.withColumn("truncated", F.max("rn").over(Window.partitionBy("hour")) > max_cells_per_hour).where(F.col("rn") <= max_cells_per_hour)
+    # what is left is bounded by the hours of a day
+    return d.select("hour", "grid_lon", "grid_lat", "weight", F.max("weight").over(Window.partitionBy()).alias("max_weight"), "truncated")
 
 
 def compact_pulse(cells: DataFrame, resolution: float = 0.005, per_hour: int = 2000) -> DataFrame:
     """Cells as whole offsets from the least cell, weights scaled to 1..65535."""
+    every = Window.partitionBy()  # over the cells that an hour may keep, times 24
     d = density_hourly(cells, resolution, per_hour)
-    o = d.agg(F.min("grid_lon").alias("lon0"), F.min("grid_lat").alias("lat0"), F.max("weight").alias("top"))
-    d = d.join(F.broadcast(o))
+    d = d.select("hour", "grid_lon", "grid_lat", "weight", F.min("grid_lon").over(every).alias("lon0"), F.min("grid_lat").over(every).alias("lat0"), F.max("weight").over(every).alias("top"))
     scaled = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("top") * 65535)).cast("long")
     return d.select("hour", F.round((F.col("grid_lon") - F.col("lon0")) / resolution).cast("long").alias("ix"), F.round((F.col("grid_lat") - F.col("lat0")) / resolution).cast("long").alias("iy"), scaled.alias("w"))
