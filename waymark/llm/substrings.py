@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.fm_index import FmIndex
 from waymark.llm.spread import matched
-from waymark.llm.store import materialize
+from waymark.llm.store import keyed, materialize
 from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
 #: Words in a window, and in an anchor; of every window's anchors that of the lowest hash is posted.
@@ -19,6 +19,8 @@ WINDOW, ANCHOR = 20, 8
 SPAN = WINDOW - ANCHOR + 1
 #: Postings per bucket and held by a task, and words per shard, on average.
 BUCKET, HELD, SHARD = 1 << 20, 3 << 19, 1 << 19
+#: Bytes of text in a bucket, on average.
+TEXT_BYTES = 64 << 20
 #: Stretches, or words, of a group beyond which it is dealt again by whole windows.
 HOT, LARGE = 40_000, 1 << 20
 
@@ -328,16 +330,18 @@ def bounded(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return rest.unionByName(dealt), found
 
 
-def removed_ranges(docs: DataFrame, per_doc: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id, start and stop (in words) of what repeats an earlier window, for the first document of every word sequence."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+def removed_ranges(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, start and stop (in words) of what repeats an earlier window, for the first document of every word sequence.
+
+    ``rows`` has doc_id and text, by doc_id (see ``keyed``).
+    """
     total = reps.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_buckets = int(max(24, total * 2 // (SPAN + 1) // BUCKET + 1))
     posted = rows.mapInArrow(_post(n_buckets), "bucket int, grams binary, keys binary, places binary")
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, leads binary, grams binary")
     live = met.groupBy("key").agg(F.collect_list("leads").alias("leads"), F.collect_list("grams").alias("grams"))
     live = materialize(live.join(reps.select("key", F.col("rep").alias("doc_id")), "key").drop("key"), "live-anchors")
-    texts = rows.join(live, "doc_id").select("doc_id", "text", "leads", "grams")
+    texts = rows.join(live.hint("merge"), "doc_id").select("doc_id", "text", "leads", "grams")
     segments = materialize(texts.mapInArrow(_segments, SEGMENTS), "segments")
     segments, found = bounded(segments)
     n_words = segments.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
@@ -393,13 +397,17 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = materialize(rows.where("doc_id is not null").mapInArrow(_measure, "doc_id long, n_words long, key long"), "doc-words")
     reps = materialize(per_doc.where(f"n_words >= {WINDOW}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words")), "first-docs")
-    ranges = removed_ranges(docs, per_doc, reps)
+    n_bytes = per_doc.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] * 8
+    texts = keyed(rows.where("doc_id is not null"), "doc_id", int(n_bytes // TEXT_BYTES + 1), "texts")
+    ranges = removed_ranges(texts, reps)
     cuts = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")).withColumn("copy", F.lit(False))
-    keyed = matched(per_doc, reps.select("key", "rep"), "key", salt_by=F.col("doc_id"))
-    copies = keyed.where("doc_id <> rep").select("doc_id", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"), F.lit(True).alias("copy")).distinct()
+    known = matched(per_doc, reps.select("key", "rep"), "key", salt_by=F.col("doc_id"))
+    copies = known.where("doc_id <> rep").select("doc_id", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"), F.lit(True).alias("copy")).distinct()
     changed = materialize(cuts.unionByName(copies), "removed")
-    joined = matched(rows, changed, "doc_id", "left")
-    return joined.select("doc_id", "text", "cuts", "copy").mapInArrow(_keep, RESULT)
+    # never broadcast: the texts lie by doc_id already, and the table grows with them
+    joined = texts.join(changed.hint("merge"), "doc_id", "left").select("doc_id", "text", "cuts", "copy")
+    no_id = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(changed.schema["cuts"].dataType).alias("cuts"), F.lit(None).cast("boolean").alias("copy"))
+    return joined.unionByName(no_id).mapInArrow(_keep, RESULT)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
