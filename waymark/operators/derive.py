@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.clock import DAY, clock_of_day, day_index, hour_of_day
+from waymark.functions.draw import drawn
 from waymark.functions.geo import equirect_km, equirect_mean_km
 from waymark.operators.filters import PAIR
 
@@ -61,8 +62,7 @@ def downsample_frac(waypoints: DataFrame, frac: float) -> DataFrame:
     """The share ``frac`` of waypoints, drawn by a hash of key, trip and time."""
     if not 0 < frac <= 1:
         raise ValueError("frac: above 0, at most 1")
-    draw = F.pmod(F.xxhash64(F.concat_ws(":", "vehicle_key", "trip_id", "unix_time_ms")), F.lit(1_000_000))
-    return waypoints.where(draw < int(frac * 1_000_000))
+    return waypoints.where(drawn("vehicle_key", "trip_id", "unix_time_ms") % 1_000_000 < int(frac * 1_000_000))
 
 
 def _breaks(how: str, anchor: int, gap_minutes: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.filters import PAIR
 from waymark.operators.graphs import min_label
@@ -49,21 +49,29 @@ def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
     return d.select("id", F.coalesce("label", "border").alias("cluster"))
 
 
-def cluster_od(trips: DataFrame, eps: float = 0.15, min_cluster_size: int = 20) -> DataFrame:
-    """Each trip's cluster by its weighted, scaled features."""
+def pair_id() -> Column:
+    """A number for a trip's identity."""
+    return F.xxhash64(*PAIR)
+
+
+def cluster_od(trips: DataFrame, eps: float = 0.15, min_cluster_size: int = 20, id: Column | None = None) -> DataFrame:
+    """Each trip's cluster (the least ``id`` of its core points; null for noise) by its weighted, scaled features; ``id`` numbers the trips, by a hash if not given."""
     d = feature_scale(trips)
-    points = saved(d.select(F.xxhash64(*PAIR).alias("id"), *PAIR, *FEATURES, *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(WEIGHTS)]))
+    points = saved(d.select((pair_id() if id is None else id).alias("id"), *PAIR, *FEATURES, *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(WEIGHTS)]))
     found = dbscan(points, eps_neighbours(points, eps), min_cluster_size)
     return points.join(found, "id").select(*PAIR, "cluster", *FEATURES)
 
 
-def cluster_summary(clustered: DataFrame) -> DataFrame:
-    """Size, centre and representative (nearest to the centre in raw features; ties by key) of every cluster, and how much is noise."""
+def cluster_summary(clustered: DataFrame, members: int = 20) -> DataFrame:
+    """Size, centre, representative (nearest to the centre in raw features; ties by key) and first members of every cluster, and how much is noise."""
     c = clustered.where("cluster is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f"avg_{f}") for f in FEATURES])
     gap = sum(((F.col(f) - F.col(f"avg_{f}")) * (F.col(f) - F.col(f"avg_{f}")) for f in FEATURES), F.lit(0.0))
     rep = clustered.join(c, "cluster").groupBy("cluster").agg(F.min_by(F.struct(*PAIR), F.struct(F.round(gap, 9), *PAIR)).alias("rep"))
-    noise = clustered.agg(F.count_if(F.col("cluster").isNull()).alias("noise"))
-    return c.join(rep, "cluster").join(F.broadcast(noise)).select("size", *[f"avg_{f}" for f in FEATURES], F.col("rep.vehicle_key").alias("vehicle_key"), F.col("rep.trip_id").alias("trip_id"), "noise")
+    first = clustered.where("cluster is not null").withColumn("_rn", F.row_number().over(Window.partitionBy("cluster").orderBy(*PAIR))).where(F.col("_rn") <= members)
+    first = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(*PAIR))).alias("members"))
+    noise = clustered.agg(F.count_if(F.col("cluster").isNull()).alias("noise"))  # one row
+    d = c.join(rep, "cluster").join(first, "cluster").join(F.broadcast(noise))
+    return d.select("cluster", "size", *[f"avg_{f}" for f in FEATURES], F.col("rep.vehicle_key").alias("vehicle_key"), F.col("rep.trip_id").alias("trip_id"), "members", "noise")
 
 
 def link_sets(waypoints: DataFrame, link: str = "link_id") -> DataFrame:
@@ -71,24 +79,42 @@ def link_sets(waypoints: DataFrame, link: str = "link_id") -> DataFrame:
     return waypoints.where(F.col(link).isNotNull() & (F.col(link) != "")).select(*PAIR, F.col(link).alias("link_id")).distinct()
 
 
-def jaccard_pairs(sets: DataFrame, max_distance: Column | float) -> DataFrame:
-    """Pairs of trips (a < b by id) whose link sets are at most so far apart; only trips that share a link can be."""
-    own = sets.select(F.xxhash64(*PAIR).alias("id"), "link_id")
-    size = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    with_n = saved(own.join(size, "id"))
-    a = with_n.select(F.col("id").alias("a"), F.col("n").alias("na"), "link_id")
-    b = with_n.select(F.col("id").alias("b"), F.col("n").alias("nb"), "link_id")
+#: Trips of one link that one task pairs with the others of the link.
+LINK_ROWS = 4096
+
+
+def jaccard_pairs(sets: DataFrame, max_distance: float, id: Column | None = None) -> DataFrame:
+    """Pairs of trips (a < b by ``id``) that share a link and whose link sets are at most so far apart.
+
+    Two such sets share one of their rarest links: of n links, all but the last
+    ceil(similarity * n) - 1 in order of how many trips have them.  Only these
+    are joined, so a motorway link pairs no trips that have any rarer ones; what
+    meets is compared as a whole.  Links with many trips are salted.
+    """
+    least = 1 - max_distance
+    own = sets.select((pair_id() if id is None else id).alias("id"), "link_id")
+    trips = own.groupBy("link_id").agg(F.count(F.lit(1)).alias("trips"))
+    by = Window.partitionBy("id")
+    ranked = own.join(trips, "link_id").withColumns({"rn": F.row_number().over(by.orderBy("trips", "link_id")), "n": F.count(F.lit(1)).over(by)})
+    rare = saved(ranked.where(F.col("rn") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("id", "n", "link_id"))
+    parts = rare.groupBy("link_id").agg(F.ceil(F.count(F.lit(1)) / LINK_ROWS).alias("parts"))
+    salted = rare.join(parts, "link_id")
+    a = salted.select(F.col("id").alias("a"), F.col("n").alias("na"), "link_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("salt"))
+    b = salted.select(F.col("id").alias("b"), F.col("n").alias("nb"), "link_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     # sets as far apart in size as the bound allows at most
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= (1 - F.lit(max_distance)) * F.greatest("na", "nb"))
-    d = a.join(b, "link_id").where(fit).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    met = a.join(b, ["link_id", "salt"]).where(fit).select("a", "b", "na", "nb").distinct()
+    whole = saved(own.groupBy("id").agg(F.collect_set("link_id").alias("links")))
+    d = met.join(whole.select(F.col("id").alias("a"), F.col("links").alias("la")), "a").join(whole.select(F.col("id").alias("b"), F.col("links").alias("lb")), "b")
+    d = d.withColumn("shared", F.size(F.array_intersect("la", "lb")).cast("long"))
     dist = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return d.withColumn("distance", dist).where(F.round("distance", 12) <= max_distance)
+    return d.select("a", "b", "na", "nb", "shared", dist.alias("distance")).where(F.round("distance", 12) <= max_distance)
 
 
-def route_similarity(waypoints: DataFrame, link: str = "link_id", eps: float = 0.3, min_samples: int = 3) -> DataFrame:
-    """Each trip's cluster by the Jaccard distance of its links; clusters are named by their smallest trip id hash."""
+def route_similarity(waypoints: DataFrame, link: str = "link_id", eps: float = 0.3, min_samples: int = 3, id: Column | None = None) -> DataFrame:
+    """Each trip's cluster by the Jaccard distance of its links; clusters are named by the least ``id`` (a hash if not given) of their core trips."""
     sets = saved(link_sets(waypoints, link))
-    pairs = saved(jaccard_pairs(sets, eps).select("a", "b"))
+    pairs = saved(jaccard_pairs(sets, eps, id).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ids = sets.select(*PAIR, F.xxhash64(*PAIR).alias("id")).distinct()
+    ids = sets.select(*PAIR, (pair_id() if id is None else id).alias("id")).distinct()
     return ids.join(dbscan(ids, both, min_samples), "id").select(*PAIR, "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from waymark.functions.draw import drawn
 from waymark.functions.clock import clock_of_day
 from waymark.operators.derive import segments
 from waymark.operators.filters import PAIR, entering, in_radius
@@ -47,11 +48,11 @@ def assemble(waypoints: DataFrame, anchor: int, with_segments: bool = False) ->
 
 def sample_pairs(trips: DataFrame, n: int, seed: int = 0, key: tuple[str, ...] = ("vehicle_key", "trip_id")) -> DataFrame:
     """``n`` trips in the order of a seeded hash: a sample that reruns draw again, taken after the filter."""
-    return trips.select(*PAIR).distinct().orderBy(F.xxhash64(*key, F.lit(seed)), *PAIR).limit(n)
+    return trips.select(*PAIR).distinct().orderBy(drawn(F.lit(seed), *key), *PAIR).limit(n)
 
 
 def sample_trips(trips: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return trips.orderBy(F.xxhash64(*PAIR, F.lit(seed)), *PAIR).limit(n)
+    return trips.orderBy(drawn(F.lit(seed), *PAIR), *PAIR).limit(n)
 
 
 def trajectories_bbox(waypoints: DataFrame, box: tuple[float, float, float, float], limit: int = 500) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.functions.draw import drawn
 from waymark.operators.filters import zone_overlaps
 
 KM = 111.32
@@ -94,11 +95,13 @@ def list_zones(zones: DataFrame, box: tuple[float, float, float, float], source_
 
 
 def ring_area(ring: Column) -> Column:
-    """Square metres of a ring by the shoelace formula, at the mean latitude."""
+    """Square metres of a ring by the shoelace formula, at the mean latitude; from the first point, as products of whole coordinates would cancel out."""
     n = F.size(ring)
     mean = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / n
     nxt = F.transform(ring, lambda p, i: F.get(ring, (i + 1) % n))
-    twice = F.aggregate(F.zip_with(ring, nxt, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"]), F.lit(0.0), lambda s, x: s + x)
+    x0, y0 = F.get(ring, 0)["lon"], F.get(ring, 0)["lat"]
+    cross = lambda p, q: (p["lon"] - x0) * (q["lat"] - y0) - (q["lon"] - x0) * (p["lat"] - y0)
+    twice = F.aggregate(F.zip_with(ring, nxt, cross), F.lit(0.0), lambda s, x: s + x)
     return F.when(n >= 3, F.abs(twice) / 2 * M_PER_DEGREE * M_PER_DEGREE * F.cos(F.radians(mean))).otherwise(0.0)
 
 
@@ -131,13 +134,13 @@ def building_synthesize(centroids: DataFrame, seed: int = 42) -> DataFrame:
     lon_m = M_PER_DEGREE * F.cos(F.radians(F.col("lat")))
     cx = F.col("lon") + ((F.col("i") + 0.5) / F.col("n") - 0.5) * F.col("side") / lon_m
     cy = F.col("lat") + ((F.col("j") + 0.5) / F.col("n") - 0.5) * F.col("side") / M_PER_DEGREE
-    u = F.pmod(F.xxhash64(F.lit(seed), "key", "i", "j"), F.lit(1_000_000)) / 1_000_000.0
+    u = drawn(F.lit(seed), "key", "i", "j") % 1_000_000 / 1_000_000.0
     height = F.when(F.col("block"), BLOCK_LOW + (BLOCK_HIGH - BLOCK_LOW) * u).otherwise(F.greatest(F.lit(8.0), F.least(F.lit(60.0), 4.0 * F.log2(F.greatest(F.col("area_m2"), F.lit(2.0))))) * (0.85 + 0.3 * u))
     return d.select("key", "i", "j", height.alias("height_m"), _square(cx, cy, cell / 2 / lon_m, cell / 2 / M_PER_DEGREE).alias("ring"))
 
 
 def building_sample(buildings: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """All tall buildings, and the others by weight of area up to ``most`` in all (keys -ln(u) / weight, the least first)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "key", "i", "j"), F.lit(1_000_000_007)) + 1) / 1_000_000_008.0
+    u = (drawn(F.lit(seed), "key", "i", "j") % 1_000_000_007 + 1) / 1_000_000_008.0
     key = F.when(F.col("height_m") >= TALL, F.lit(-1.0)).otherwise(-F.log(u) / F.greatest(ring_area(F.col("ring")), F.lit(1.0)))
     return buildings.withColumn("_k", key).orderBy("_k", "key", "i", "j").limit(most).drop("_k")

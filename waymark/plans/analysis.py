@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.functions.classes import poi_class, speed_class
+from waymark.functions.draw import drawn_sql
 from waymark.operators import chains, compare, mining, profile, spatial, stats, temporal, zones
 from waymark.operators.derive import with_trip_ids
 from waymark.operators.filters import PAIR, TripFilter, entering, vehicle_prefix
@@ -458,20 +459,44 @@ def _(v):
     return mining.feature_scale(v.trips)
 
 
-@query("cluster_od")
+# the trips' own numbers name points and clusters, so that SQL can name them too
+_SCALED = "SELECT vehicle_key, trip_id, " + ", ".join(mining.FEATURES) + ", " + ", ".join(f"(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())) * {w}e0 AS f{i}" for i, (c, w) in enumerate(zip(mining.FEATURES, mining.WEIGHTS))) + f" FROM ({_FEATURES})"
+_GAP = " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(6))
+_NEAR = f"p AS ({_SCALED}), near AS (SELECT a.trip_id AS a, b.trip_id AS b FROM p a JOIN p b ON b.f0 BETWEEN a.f0 - 0.2e0 AND a.f0 + 0.2e0 AND a.trip_id <> b.trip_id WHERE {_GAP} <= 0.15e0 * 0.15e0)"
+
+
+def _clusters(near: str, ids: str, min_samples: int, steps: int = 100) -> str:
+    """SQL for density clusters: labels go from neighbour to neighbour, step by step."""
+    return f"""WITH RECURSIVE {near}, core AS (SELECT a AS node FROM near GROUP BY a HAVING count(*) + 1 >= {min_samples}),
+link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core) UNION ALL SELECT node, node FROM core),
+spread AS (SELECT node, node AS label, 0 AS step FROM core UNION ALL SELECT link.a, min(spread.label), step + 1 FROM spread JOIN link ON spread.node = link.b WHERE step < {steps} GROUP BY link.a, step),
+label AS (SELECT node, label FROM spread WHERE step = {steps}),
+border AS (SELECT near.a AS node, min(label) AS label FROM near JOIN label ON near.b = label.node GROUP BY near.a)
+SELECT i.*, coalesce(label.label, border.label) AS cluster FROM {ids} i LEFT JOIN label ON i.trip_id = label.node LEFT JOIN border ON i.trip_id = border.node"""
+
+
+_OD_CLUSTERS = _clusters(_NEAR, "p", 5)
+
+
+@query("cluster_od", f"SELECT vehicle_key, trip_id, cluster, {', '.join(mining.FEATURES)} FROM ({_OD_CLUSTERS})", " ".join(mining.FEATURES))
 def _(v):
-    return mining.cluster_od(v.trips)
+    return mining.cluster_od(v.trips, min_cluster_size=5, id=F.col("trip_id"))
 
 
-@query("cluster_od_summary")
+@query("cluster_od_summary", f"""WITH k AS ({_OD_CLUSTERS}), c AS (SELECT cluster, count(*) AS size, {', '.join(f'avg({c}) AS avg_{c}' for c in mining.FEATURES)} FROM k WHERE cluster IS NOT NULL GROUP BY cluster),
+g AS (SELECT k.cluster, vehicle_key, trip_id, round({' + '.join(f'({c} - avg_{c}) * ({c} - avg_{c})' for c in mining.FEATURES)}, 9) AS gap FROM k JOIN c ON k.cluster = c.cluster),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY gap, vehicle_key, trip_id) AS near, row_number() OVER (PARTITION BY cluster ORDER BY vehicle_key, trip_id) AS rn FROM g),
+m AS (SELECT cluster, string_agg(trip_id::VARCHAR, ',' ORDER BY vehicle_key, trip_id) AS members FROM o WHERE rn <= 20 GROUP BY cluster)
+SELECT c.*, o.vehicle_key, o.trip_id, m.members, (SELECT count(*) FROM k WHERE cluster IS NULL) AS noise FROM c JOIN o ON c.cluster = o.cluster AND o.near = 1 JOIN m ON c.cluster = m.cluster""", " ".join(f"avg_{c}" for c in mining.FEATURES))
 def _(v):
-    return mining.cluster_summary(mining.cluster_od(v.trips))
+    d = mining.cluster_summary(mining.cluster_od(v.trips, min_cluster_size=5, id=F.col("trip_id")))
+    return d.withColumn("members", F.array_join(F.transform("members", lambda m: m["trip_id"].cast("string")), ","))
 
 
-@query("j_eps_neighbours")
+@query("j_eps_neighbours", f"SELECT * FROM (WITH {_NEAR} SELECT a, count(*) AS neighbours FROM near GROUP BY a)")
 def _(v):
     d = mining.feature_scale(v.trips)
-    points = d.select(F.xxhash64(*PAIR).alias("id"), *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(mining.WEIGHTS)])
+    points = d.select(F.col("trip_id").alias("id"), *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(mining.WEIGHTS)])
     return mining.eps_neighbours(points, 0.15).groupBy("a").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
@@ -482,9 +507,14 @@ def _(v):
     return mining.jaccard_pairs(mining.link_sets(v.waypoints, "fine_link_id"), 0.8).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"))
 
 
-@query("route_similarity")
+_ROUTES = """s AS (SELECT DISTINCT trip_id, fine_link_id AS l FROM waypoints), n AS (SELECT trip_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.trip_id AS a, y.trip_id AS b, count(*) AS c FROM s x JOIN s y ON x.l = y.l AND x.trip_id <> y.trip_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM c JOIN n x ON a = x.trip_id JOIN n y ON b = y.trip_id WHERE round(1 - c / (x.n + y.n - c)::DOUBLE, 12) <= 0.5)"""
+
+
+@query("route_similarity", f"SELECT vehicle_key, trip_id, cluster FROM ({_clusters(_ROUTES, '(SELECT DISTINCT vehicle_key, trip_id FROM waypoints)', 2)})")
 def _(v):
-    return mining.route_similarity(v.waypoints, "fine_link_id", 0.5, 2)
+    return mining.route_similarity(v.waypoints, "fine_link_id", 0.5, 2, F.col("trip_id"))
 
 
 @query("j_zone_contains", "SELECT poi_id, zone_id FROM pois JOIN zones ON lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat")
@@ -535,19 +565,38 @@ def _centroids(v: Views) -> DataFrame:
     return v.table("part").selectExpr("p_partkey AS key", "139.5d + (p_partkey % 500) / 500.0d AS lon", "35.5d + (p_partkey % 250) / 400.0d AS lat", "CAST(p_retailprice AS DOUBLE) * (p_size % 5) AS area_m2")
 
 
-@query("building_synthesize")
+_PARTS = "SELECT p_partkey AS key, 35.5e0 + (p_partkey % 250) / 4e2 AS lat, p_retailprice * (p_size % 5) AS area_m2 FROM part"
+_U = drawn_sql("42", "key", "i", "j")
+_BUILT = f"""WITH c AS (SELECT *, area_m2 > 3e3 AS block, CASE WHEN area_m2 > 3e3 THEN greatest(2, round(sqrt(area_m2) / 28e0)) ELSE 1 END::INT AS n FROM ({_PARTS}) WHERE area_m2 >= 25),
+g AS (SELECT c.*, i, j, {_U} % 1000000 / 1e6 AS u, {_U} AS h FROM c, unnest(range(n)) AS a(i), unnest(range(n)) AS b(j)),
+w AS (SELECT *, CASE WHEN block THEN greatest(sqrt(area_m2) / n - 4, sqrt(area_m2) / n * 0.6e0) ELSE sqrt(area_m2) END AS side,
+ CASE WHEN block THEN 8 + 8 * u ELSE greatest(8, least(60, 4 * log2(greatest(area_m2, 2)))) * (0.85e0 + 0.3e0 * u) END AS height_m FROM g)
+SELECT key, i, j, height_m, side * side * cos(radians(lat + ((j + 0.5e0) / n - 0.5e0) * sqrt(area_m2) / 111320e0)) / cos(radians(lat)) AS area_m2, h FROM w"""
+
+
+@query("building_synthesize", f"SELECT key, i, j, height_m, round(area_m2, 3) AS area_m2 FROM ({_BUILT})", "height_m area_m2")
 def _(v):
-    return zones.building_synthesize(_centroids(v)).select("key", "i", "j", "height_m", zones.ring_area(F.col("ring")).alias("area_m2"))
+    return zones.building_synthesize(_centroids(v)).select(F.col("key"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "height_m", F.round(zones.ring_area(F.col("ring")), 3).alias("area_m2"))
 
 
-@query("building_sample")
+@query("building_sample", f"SELECT key, i, j, height_m FROM ({_BUILT}) ORDER BY CASE WHEN height_m >= 25 THEN -1 ELSE -ln((h % 1000000007 + 1) / 1000000008e0) / greatest(area_m2, 1) END, key, i, j LIMIT 500", "height_m")
 def _(v):
-    return zones.building_sample(zones.building_synthesize(_centroids(v)), 500).select("key", "i", "j", "height_m")
+    return zones.building_sample(zones.building_synthesize(_centroids(v)), 500).select("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "height_m")
+
+
+def _profile_sql(c: str, role: str | None, trip_role: str | None, kind: str, time: str | None) -> str:
+    """What is known of a column of the trips: all text, or all numbers, or nothing."""
+    text = lambda x: f"'{x}'" if x else "NULL::VARCHAR"
+    number = f"{c}::DOUBLE" if kind != "string" else "NULL::DOUBLE"
+    return f"SELECT '{c}' AS column, count({c}) AS filled, count({number}) AS numbers, 0::BIGINT AS iso, min({number}) AS low, max({number}) AS high, {text(role)} AS role, {text(trip_role)} AS trip_role, {text(kind)} AS type_class, {text(time)} AS time_kind FROM trips"
+
+
+_PROFILE = (("vehicle_id", "vehicle", None, "number", "day_seconds"), ("starttime", None, "starttime", "number", "day_seconds"), ("start_lon", None, "start_lon", "number", "day_seconds"), ("mode", "mode", None, "string", None), ("leg_id", None, None, "empty", None))
 
 
-@query("profile_columns")
+@query("profile_columns", " UNION ALL ".join(_profile_sql(*x) for x in _PROFILE), "low high")
 def _(v):
-    return profile.profile_columns(v.trips.select("vehicle_id", "starttime", "start_lon", "mode", "fare_yen", "leg_id"))
+    return profile.profile_columns(v.trips.select(*[x[0] for x in _PROFILE])).drop("sample")
 
 
 @query("poi_class", "SELECT poi_id, CASE WHEN category = 'Train station' THEN 'transit' WHEN category = 'Shopping mall' THEN 'shop' WHEN category = 'City park' THEN 'park' ELSE 'other' END AS class FROM pois")

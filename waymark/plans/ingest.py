@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.functions.clock import DEFAULT_ANCHOR, parse_time_ms, start_seconds, time_kind_to_ms
+from waymark.functions.draw import drawn_sql
 from waymark.functions.modes import mode_code, mode_label
 from waymark.operators import derive, profile, spatial, stats
 from waymark.plans.registry import query
@@ -121,7 +122,7 @@ def _(v):
     return files.scan_validation(v.spark, _runs(v, v.trips, "validation"), "sim").select("run_id", "metric", "value")
 
 
-@query("discover_files")
+@query("discover_files", "SELECT 'run_20240101_00000' || max(simulation_day) AS run, 'city' AS parent FROM trips")
 def _(v):
     d = files.discover_files(v.spark, _runs(v, v.trips, "runs"), "part-*.csv")
     return d.select("run", F.regexp_extract("parent", "[^/]*$", 0).alias("parent")).distinct()
@@ -259,7 +260,7 @@ def _(v):
     return v.table("orders").select("o_orderkey", mapping.vehicle_key("x_{vehicle_id}@{scope}", F.col("o_custkey"), "tokyo").alias("vehicle_key"))
 
 
-@query("int_or_hash")
+@query("int_or_hash", f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE {drawn_sql('o_orderpriority')} % 2000000000 + 1 END::INT AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE {drawn_sql('o_orderpriority')} % 9000000000000000000 + 1 END::BIGINT AS long_id FROM orders")
 def _(v):
     mixed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority"))
     return v.table("orders").select("o_orderkey", mapping.int_or_hash(mixed).alias("id"), mapping.int_or_hash(mixed, "bigint").alias("long_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from waymark.functions import grid
 from waymark.functions.clock import clock_of_day, day_index, hour_of_day
+from waymark.functions.draw import drawn_sql
 from waymark.functions.geo import equirect_km, equirect_mean_km, haversine_km, haversine_m
 from waymark.operators import derive, spatial
 from waymark.operators import filters as f
@@ -226,7 +227,7 @@ def _(v):
     return derive.downsample_cap(v.waypoints, 3).select(*PAIR, "unix_time_ms")
 
 
-@query("downsample_frac")
+@query("downsample_frac", f"SELECT vehicle_key, trip_id, unix_time_ms FROM waypoints WHERE {drawn_sql('vehicle_key', 'trip_id', 'unix_time_ms')} % 1000000 < 250000")
 def _(v):
     return derive.downsample_frac(v.waypoints, 0.25).select(*PAIR, "unix_time_ms")
 
@@ -389,17 +390,20 @@ def _(v):
     return v.trips.orderBy(F.col("distance_km").desc_nulls_last(), "trip_id").limit(100).select("trip_id", "distance_km")
 
 
-@query("sample_trips")
+_DRAWN = drawn_sql("0", "vehicle_key", "trip_id")
+
+
+@query("sample_trips", f"SELECT vehicle_key, trip_id FROM trips WHERE source_id = 'fleet_a' ORDER BY {_DRAWN}, 1, 2 LIMIT 200")
 def _(v):
     return tj.sample_trips(TripFilter(source_id="fleet_a").apply(v.trips), 200).select(*PAIR)
 
 
-@query("sample_trajectories")
+@query("sample_trajectories", f"SELECT vehicle_key, trip_id, unix_time_ms, lon, lat FROM waypoints SEMI JOIN (SELECT vehicle_key, trip_id FROM trips ORDER BY {_DRAWN}, 1, 2 LIMIT 200) s USING (vehicle_key, trip_id)", "lon lat")
 def _(v):
     return tj.of_pairs(v.waypoints, tj.sample_pairs(v.trips, 200)).select(*PAIR, "unix_time_ms", "lon", "lat")
 
 
-@query("sample_random_compat")
+@query("sample_random_compat", f"SELECT vehicle_key, trip_id, unix_time_ms FROM waypoints SEMI JOIN (SELECT vehicle_key, trip_id FROM trips ORDER BY {drawn_sql('0', 'vehicle_key')}, 1, 2 LIMIT 200) s USING (vehicle_key, trip_id)")
 def _(v):
     return tj.of_pairs(v.waypoints, tj.sample_pairs(v.trips, 200, key=("vehicle_key",))).select(*PAIR, "unix_time_ms")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.functions.draw import drawn
 from waymark.functions.modes import mode_code, mode_label
 from waymark.schema import REQUIRED, TRIPS, WAYPOINTS, conform
 
@@ -40,7 +41,7 @@ def vehicle_key(template: str, vehicle: Column, scope: str = "") -> Column:
 def int_or_hash(x: Column, kind: str = "int") -> Column:
     """The number, or for other text a positive hash below 2e9 (int) or 9e18 (bigint)."""
     space = 2_000_000_000 if kind == "int" else 9_000_000_000_000_000_000
-    hashed = F.pmod(F.xxhash64(x), F.lit(space)) + 1
+    hashed = drawn(x) % space + 1
     return F.coalesce(x.try_cast(TYPES[kind]).cast("bigint"), hashed).cast(TYPES[kind])
 
 
