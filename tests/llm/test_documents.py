@@ -263,6 +263,30 @@ def test_bpe(docs, rows, repeated, empty, word_tokenizer):
     assert bpe.bpe_round_trip(repeated).count() == 2 * len(rows) and bpe.bpe_encode(empty).count() == 0
 
 
+def test_bpe_of_long_words(word_tokenizer, monkeypatch):
+    coder = bpe.Coder(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = np.random.default_rng(2)
+    letters = "".join(rnd.choice(list("etaoinshrdlucmfw"), 30_000))
+    han = "".join(chr(0x4E00 + int(x)) for x in rnd.integers(0, 3000, 20_000))
+    began = time.monotonic()
+    for text in (letters, "a" * 9001, "ab" * 5000 + "c", han, f"x {han} y {letters} z"):
+        ids = word_tokenizer.encode(text, add_special_tokens=False).ids
+        assert coder.encode([text])[0] == np.array(ids, "<u4").tobytes()
+    assert time.monotonic() - began < 60
+    monkeypatch.setattr(bpe, "LONG", 3)  # every word by itself
+    small = bpe.Coder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "The quick brown foxes jumped over lazylazylazy dogs, übermäßig naïve 12345 aaaaaaa!"
+    assert small.encode([text])[0] == np.array(word_tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    began = time.monotonic()
+    assert len(coder.bpe._long(("".join(rnd.choice(list("etaoinshrdlucmfw"), 1_000_000))).encode())) > 100_000
+    assert time.monotonic() - began < 60
+
+
+def test_bpe_refuses_other_tokenizers():
+    with pytest.raises(ValueError):
+        bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_bpe_decode(docs, rows, word_tokenizer):
     got = by_id(bpe.bpe_decode(bpe.bpe_encode(docs)))
     for doc, text, *_ in rows:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 KEPT_WORDS = 400_000
 #: Symbols that go through merge rounds at a time.
 SYMBOLS = 2_000_000
+#: Bytes of a word beyond which it goes through merge rounds by itself.
+LONG = 4096
 #: Characters of text that are split into words at a time.
 PIECE = 4_000_000
 
@@ -33,6 +36,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         vocab = spec["model"]["vocab"]
         end = spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -48,9 +52,18 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.place = np.argsort(order)  # of a rank among the sorted keys
         self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Files of another kind are refused, as their texts would be split or written in another way."""
+        normalizers = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if spec["model"]["type"] != "BPE" or normalizers != ["NFC", "Replace", "Lowercase"] or splits != ["Split", "ByteLevel"] or spec.get("decoder"):
+            raise ValueError("not a tokenizer of lower-cased words with word ends")
+
     def words(self, text: str) -> list[str]:
         """The words of a text, special tokens included as they stand."""
         if self.marks is None or not self.marks.search(text):
@@ -76,6 +89,9 @@ class WordBpe:
         from the left, without overlap.  Words without a known pair are done.
         """
         raw = [w.encode() for w in words]
+        alone = {i: self._long(w) for i, w in enumerate(raw) if len(w) > LONG}
+        if alone:
+            return self._with_long(raw, alone)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
@@ -122,6 +138,68 @@ class WordBpe:
         return symbols[order], np.searchsorted(word[order], np.arange(len(raw) + 1))
 
 
+    def _with_long(self, raw: list[bytes], alone: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_words``, with the ids of some words known."""
+        ids, starts = self.encode_words([b"".decode() if i in alone else w.decode() for i, w in enumerate(raw)])
+        parts = [alone[i] if i in alone else ids[starts[i] : starts[i + 1]] for i in range(len(raw))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word, in rounds that touch only what they merge.
+
+        Places wait under the rank of their pair, and the lowest rank is next.
+        Its places that still hold the pair are merged from the left, without
+        overlap, and the pairs around them are looked up by binary search and
+        wait in turn.
+        """
+        data = np.frombuffer(word, np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.last[data[-1]]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (after[np.maximum(at, 0)] < n)]
+            pair = symbols[at] * self.base + symbols[after[at]]
+            k = np.searchsorted(self.keys, pair)
+            k[k == len(self.keys)] = 0
+            known = self.keys[k] == pair
+            at, k = at[known], k[known]
+            rank = self.ranks[k]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])[: len(rank)])
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(rank)).tolist()):
+                if int(rank[a]) not in waiting:
+                    heapq.heappush(heap, int(rank[a]))
+                waiting.setdefault(int(rank[a]), []).append(at[a:b])
+
+        look(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            k = int(self.place[rank])
+            left, right = divmod(int(self.keys[k]), self.base)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[symbols[at] == left]
+            at = at[after[at] < n]
+            at = at[symbols[after[at]] == right]
+            if not len(at):
+                continue
+            # places in a run that follow each other overlap; every second one merges
+            run = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+            inside = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at = at[inside % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[k], -1
+            after[at] = after[gone]
+            ends = after[at]
+            before[ends[ends < n]] = at[ends < n]
+            look(np.unique(np.concatenate([at, before[at]])))
+        return symbols[symbols >= 0]
+
+
 class Coder:
     """Encodes and decodes texts; keeps the ids of words it has met."""
 
@@ -216,7 +294,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the decoded text of every whole text.
 
     Encodes as ``bpe_encode`` and decodes as ``bpe_decode``, in one pass that
-    ships neither ids nor decoded texts between processes.
+    ships neither ids nor decoded texts between processes.  Nulls, repeated rows
+    and empty tables are as there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,4 +318,5 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
+    """Round trip of every document: see ``bpe_round_trip``.  A null text is empty; repeated rows have a row each; an empty table gives no rows."""
     return bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
