@@ -122,19 +122,27 @@ def quality_rules(docs: DataFrame, bad_rate: float = 0.25) -> DataFrame:
     lines, word length) rejects a document that fails it only where its host
     has a shrunk failure rate above ``bad_rate``.  A null or blank text has
     zero words and fails the base rule; documents without a source form one
-    host; repeated rows are judged each; an empty table gives no rows.
+    host; repeated rows are judged each; an empty table gives no rows.  Windows
+    are the same where the 64-bit hashes of their words' hashes are (two given
+    ones that differ share one with a probability of about 2**-64).
     """
     measured = materialize(measure(docs, ["doc_id"]), "rules")
     return judge(measured, bad_rate).select("row.doc_id", *[c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], F.col("host").alias("source"), *[F.round(f"host_{r}", 6).alias(f"host_{r}") for r in RULES])
 
 
 def keep_by_rules(docs: DataFrame, bad_rate: float = 0.25) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    Null and blank texts fail the base rule and go; repeated rows are judged
+    each and stay or go together; a null source is a host of its own; an empty
+    table stays empty.
+    """
     measured = materialize(measure(docs, docs.columns), "rules")
     return judge(measured, bad_rate).where("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Rules on every document and its host: see ``quality_rules``, nulls and repeats included; an empty table gives no rows."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
