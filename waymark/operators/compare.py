@@ -103,7 +103,8 @@ def wilcoxon(both: DataFrame) -> DataFrame:
     """Signed-rank statistic (the lesser rank sum) of persons on both sides, with ties at their mean rank, and the normal z.
 
     No row below 8 persons or if nobody differs.  Ranks of equal differences
-    come from counts per difference, so no window spans all persons.
+    come from counts per difference, so no window spans all persons: it has a
+    row per size of difference, which one person's trips bound.
     """
     d = person_counts(both).where("trips_a > 0 and trips_b > 0").withColumn("delta", F.col("trips_b") - F.col("trips_a"))
     persons = d.agg(F.count(F.lit(1)).alias("n_pairs"))

@@ -130,9 +130,11 @@ def poi_categories(pois: DataFrame) -> DataFrame:
 def attr_legend(rows: DataFrame, column: str, top: int = 12) -> DataFrame:
     """The most frequent values, and one row for the others together if there are more."""
     n = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")))
-    shown = ranked.where(F.col("rank") <= top).select("rank", "value", "n")
-    rest = ranked.where(F.col("rank") > top).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 0")
+    first = n.orderBy(F.col("n").desc(), "value").limit(top)
+    shown = first.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "value")).alias("rank"), "value", "n")  # over ``top`` rows
+    every = n.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    rest = every.join(first.agg(F.count(F.lit(1)).alias("k0"), F.sum("n").alias("n0")))  # one row beside one row
+    rest = rest.select((F.col("k") - F.col("k0")).alias("k"), (F.col("n") - F.col("n0")).alias("n")).where("k > 0")
     return shown.unionByName(rest.select(F.lit(top + 1).alias("rank"), F.concat(F.lit("+"), F.col("k").cast("string"), F.lit(" more")).alias("value"), "n"))
 
 
