@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from waymark.functions import exact
 from waymark.functions.grid import cell_centre, cell_floor
 
 #: Fixed values of the alignment score.
@@ -25,9 +26,10 @@ def _b(x: Column) -> Column:
     return F.when(F.col("side") == 1, x)
 
 
-def fleet_summary(trips: DataFrame, by: str) -> DataFrame:
+def fleet_summary(trips: DataFrame, by: str, accuracy: int | None = None) -> DataFrame:
+    """Numbers and distances per fleet; ``accuracy``: see ``exact.median``."""
     d = F.col("distance_km")
-    return trips.groupBy(by).agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_id").alias("vehicles"), F.sum(d).alias("total_km"), F.avg(d).alias("avg_km"), F.median(d).alias("median_km"), F.max(d).alias("max_km"), F.min("starttime").alias("first_start"), F.max("starttime").alias("last_start"))
+    return trips.groupBy(by).agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_id").alias("vehicles"), F.sum(d).alias("total_km"), F.avg(d).alias("avg_km"), exact.median(d, accuracy).alias("median_km"), F.max(d).alias("max_km"), F.min("starttime").alias("first_start"), F.max("starttime").alias("last_start"))
 
 
 def two_proportion_z(x_a: Column, n_a: Column, x_b: Column, n_b: Column) -> Column:
@@ -138,9 +140,9 @@ def person_scores(both: DataFrame) -> DataFrame:
     return pair_scores(both).groupBy("vehicle_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("pairs"))
 
 
-def alignment(both: DataFrame) -> DataFrame:
-    """Persons, pairs, and mean and median of the persons' mean scores."""
-    return person_scores(both).agg(F.count(F.lit(1)).alias("persons"), F.sum("pairs").alias("pairs"), F.avg("score").alias("mean"), F.median("score").alias("median"))
+def alignment(both: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Persons, pairs, and mean and median of the persons' mean scores; ``accuracy``: see ``exact.median``."""
+    return person_scores(both).agg(F.count(F.lit(1)).alias("persons"), F.sum("pairs").alias("pairs"), F.avg("score").alias("mean"), exact.median(F.col("score"), accuracy).alias("median"))
 
 
 def alignment_hist(both: DataFrame) -> DataFrame:

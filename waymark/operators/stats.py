@@ -22,10 +22,10 @@ def table_stats(trips: DataFrame, waypoints: DataFrame) -> DataFrame:
     return t.join(w, "source_id", "left").withColumn("waypoints", F.coalesce("waypoints", F.lit(0)))
 
 
-def insights_core(trips: DataFrame) -> DataFrame:
-    """Number, vehicles and distances of trips; total_vkt_km is the mean times the number, so unknown distances count as the mean."""
+def insights_core(trips: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Number, vehicles and distances of trips; total_vkt_km is the mean times the number, so unknown distances count as the mean.  ``accuracy``: see ``exact.median``."""
     d = F.col("distance_km")
-    return trips.agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_key").alias("vehicles"), F.avg(d).alias("avg_km"), F.median(d).alias("median_km"), F.max(d).alias("max_km"), F.stddev_samp(d).alias("std_km"), (F.avg(d) * F.count(F.lit(1))).alias("total_vkt_km"))
+    return trips.agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_key").alias("vehicles"), F.avg(d).alias("avg_km"), exact.median(d, accuracy).alias("median_km"), F.max(d).alias("max_km"), F.stddev_samp(d).alias("std_km"), (F.avg(d) * F.count(F.lit(1))).alias("total_vkt_km"))
 
 
 def insights_fleet(trips: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def insights_offpeak(trips: DataFrame) -> DataFrame:
     return h.orderBy("trips", F.col("dep_hour").asc_nulls_last()).limit(1).select("dep_hour", "trips", (F.col("top") / F.col("trips")).alias("ratio"))
 
 
-def insights_fare(trips: DataFrame) -> DataFrame:
+def insights_fare(trips: DataFrame, accuracy: int | None = None) -> DataFrame:
     fare, night = F.col("fare_yen"), F.col("is_night_trip")
-    return trips.where(fare.isNotNull()).agg(F.avg(fare).alias("avg_fare"), F.median(fare).alias("median_fare"), F.max(fare).alias("max_fare"), F.avg(F.when(night, fare)).alias("night_fare"), F.avg(F.when(~night, fare)).alias("day_fare"), (100.0 * F.count_if(night) / F.count(F.lit(1))).alias("night_pct"))
+    return trips.where(fare.isNotNull()).agg(F.avg(fare).alias("avg_fare"), exact.median(fare, accuracy).alias("median_fare"), F.max(fare).alias("max_fare"), F.avg(F.when(night, fare)).alias("night_fare"), F.avg(F.when(~night, fare)).alias("day_fare"), (100.0 * F.count_if(night) / F.count(F.lit(1))).alias("night_pct"))
 
 
 def insights_modes(trips: DataFrame) -> DataFrame:
