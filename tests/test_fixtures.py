@@ -1,12 +1,14 @@
 """Operators on small hand-made rows with values worked out by hand."""
 
 import json
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import classes, clock, geo, modes
-from waymark.operators import chains, compare, derive, graphs, mining, stats, temporal, zones
+from waymark.functions import classes, clock, draw, exact, geo, modes
+from waymark.operators import chains, compare, derive, graphs, mining, profile, stats, temporal, zones
 from waymark.operators.filters import TripFilter, hour_guard, in_radius, radius_box, vehicle_list, vehicle_prefix
 from waymark.operators.trajectories import assemble, compact_trails
 from waymark.schema import TRIPS, conform
@@ -102,6 +104,9 @@ def test_modes(spark):
     df = spark.createDataFrame([(0, "walk"), (7, "MODE 7"), (None, None), (3, "Auto")], "c int, l string")
     got = df.select(modes.mode_label(F.col("c"), {"3": "Auto"}).alias("l"), modes.mode_code(F.col("l"), {"3": "Auto"}).alias("c")).collect()
     assert [tuple(r) for r in got] == [("Walk", 0), ("mode 7", None), (None, None), ("Auto", 3)]
+    odd = {"x": "Sled", "9": "taxi", "10": "Ferry", "11": "ferry"}  # a code that is no number, a label of a default code, a label twice
+    codes = spark.createDataFrame([("SLED",), ("Taxi",), ("FERRY",), ("car",)], "l string").select(modes.mode_code(F.col("l"), odd)).collect()
+    assert [r[0] for r in codes] == [None, 8, 10, 3]
 
 
 def test_classes(spark):
@@ -201,6 +206,7 @@ def test_zones_leave_out_edges(spark):
     points = {"west": (0.0, 3.0), "south": (3.0, 0.0), "east": (4.0, 3.0), "north": (3.0, 4.0), "corner": (0.0, 0.0), "hole": (2.0, 1.5), "hole_corner": (1.0, 1.0), "slope": (7.0, 7.0), "in": (3.0, 1.0), "in_second": (6.5, 7.0)}
     p = spark.createDataFrame([(k, *xy) for k, xy in points.items()], "k string, lon double, lat double")
     assert values(zones.contains(p, z), "k") == [("in",), ("in_second",)]
+    assert values(zones.contains(p, z, hole_rims=True), "k") == [("hole",), ("hole_corner",), ("in",), ("in_second",)]
 
 
 def test_zones_with_a_hole(spark):
@@ -219,6 +225,8 @@ def test_buildings(spark):
     ring = [{"lon": 0.0, "lat": 0.0}, {"lon": d, "lat": 0.0}, {"lon": d, "lat": d}, {"lon": 0.0, "lat": d}]
     r = spark.createDataFrame([(ring,)], "ring array<struct<lon:double,lat:double>>")
     assert r.select(zones.ring_area(F.col("ring"))).first()[0] == pytest.approx(10_000, rel=1e-4)
+    far = spark.createDataFrame([([{"lon": p["lon"] + 139.5, "lat": p["lat"]} for p in ring],)], "ring array<struct<lon:double,lat:double>>")
+    assert far.select(zones.ring_area(F.col("ring"))).first()[0] == pytest.approx(10_000, rel=1e-9)
     c = spark.createDataFrame([("small", 0.0, 0.0, 20.0), ("house", 0.0, 0.0, 256.0), ("block", 0.0, 0.0, 7840.0)], "key string, lon double, lat double, area_m2 double")
     b = zones.building_synthesize(c)
     assert {r["key"]: r["count"] for r in b.groupBy("key").count().collect()} == {"house": 1, "block": 9}
@@ -246,6 +254,42 @@ def test_jaccard_pairs(spark):
     assert sorted(r.distance for r in mining.jaccard_pairs(s, 0.4).collect()) == pytest.approx([0.25, 0.4])
 
 
+@pytest.mark.parametrize("rows", [4096, 2])
+def test_jaccard_pairs_against_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(mining, "LINK_ROWS", rows)  # 2: every link is salted
+    rnd = random.Random(4)
+    sets = {t: {"motorway"} | {f"l{rnd.randrange(12)}" for _ in range(rnd.randrange(0, 7))} for t in range(60)}
+    s = spark.createDataFrame([("v", t, link) for t, links in sets.items() for link in links], "vehicle_key string, trip_id long, link_id string")
+    for most in (0.0, 0.3, 0.5, 0.8):
+        want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and round(1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 12) <= most}
+        assert {(r.a, r.b): r.shared for r in mining.jaccard_pairs(s, most, F.col("trip_id")).collect()} == want
+
+
+def test_cluster_members(spark):
+    rows = [("v", i, 139.0 + i / 1000, 35.0, 139.5, 35.5, 5.0 + i / 100, 8) for i in range(30)] + [("w", 99, 145.0, 40.0, 130.0, 30.0, 90.0, 1)]
+    d = mining.cluster_od(spark.createDataFrame(rows, "vehicle_key string, trip_id long, start_lon double, start_lat double, end_lon double, end_lat double, distance_km double, dep_hour int"), id=F.col("trip_id"))
+    r = mining.cluster_summary(d).first()
+    assert (r["size"], r.noise, r.cluster) == (30, 1, 0) and [m.trip_id for m in r.members] == list(range(20))
+
+
+def test_exact_mean(spark):
+    half = spark.createDataFrame([(0.1,), (0.1000005,), (0.100001,), (None,)], "x double").repartition(3)  # half of the seventh digit
+    assert half.select(exact.mean(F.col("x"))).first()[0] == 0.100001
+    assert abs(half.select(exact.median(F.col("x"), 100)).first()[0] - 0.1000005) < 1e-9
+
+
+def test_roles_by_name():
+    assert [profile.guess_role(x) for x in ("gps_lon", "Epoch", " device_id ", "mmsi", "label", "speed")] == ["lon", "time", "vehicle", "vehicle", "name", None]
+    assert profile.guess_role("trip_id") == "vehicle" and profile.guess_role("trip_id", profile.TRIP_ROLES) == "trip"
+
+
+def test_draws_are_the_same_elsewhere(spark):
+    con = duckdb.connect()
+    for keys in (("7", "fleet_a:1", "12"), ("0", "", "-3")):
+        sql = draw.drawn_sql(*[f"'{k}'" for k in keys])
+        assert spark.range(1).select(draw.drawn(*[F.lit(k) for k in keys])).first()[0] == con.sql(f"SELECT {sql}").fetchall()[0][0]
+
+
 def test_legend_overflow(spark):
     d = spark.createDataFrame([(f"v{i % 15:02d}",) for i in range(16)], "x string")
     rows = stats.attr_legend(d, "x").orderBy("rank").collect()
