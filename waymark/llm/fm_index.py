@@ -85,14 +85,13 @@ class FmIndex:
         n = len(text)
         self.text, self.depth, self.n = text, depth, n
         ranks = [text.astype(np.int64)]
-        order = np.argsort(ranks[0], kind="stable")
-        k = 1
+        order, k = np.zeros(0, np.int64), 1
         while k <= DEPTH:
             r = ranks[-1]
             far = np.zeros(n, np.int64)
             far[: max(n - k, 0)] = r[k:] + 1
             key = r * (int(r.max(initial=0)) + 2) + far
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
