@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.llm.spread import SALTS, small_enough
 from waymark.llm.store import materialize
 
 #: The separators of a word: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]"
 GAP = "[\\x20\\x09-\\x0D]+"
-#: A table of host verdicts of at most so many rows is broadcast; a larger one is joined on a salted key.
-BROADCAST_HOSTS = 20_000
-SALTS = 32
 #: So many repeated windows of a document are looked up in an array; more are found by sorting (same result).
 FEW = 48
 
@@ -95,12 +93,12 @@ def host_verdicts(measured: DataFrame, bad_rate: float = 0.25) -> DataFrame:
 def judge(measured: DataFrame, bad_rate: float = 0.25) -> DataFrame:
     """``measured`` with the host's rates and ``kept``.
 
-    A table of few hosts (counted) is broadcast.  Beyond that the join is on
+    A small table of hosts (by its counted bytes) is broadcast.  Beyond that the join is on
     host and salt: every verdict is repeated once per salt, so that a host
     with a third of all documents is spread over ``SALTS`` tasks.
     """
     verdicts = materialize(host_verdicts(measured, bad_rate), "hosts").withColumnRenamed("host", "v_host")
-    if verdicts.count() <= BROADCAST_HOSTS:
+    if small_enough(verdicts):
         joined = measured.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("v_host")), "left")
     else:
         salted = measured.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
