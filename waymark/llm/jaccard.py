@@ -325,10 +325,15 @@ NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every set with its shingles."""
+    """Every set with its shingles; of repeated rows in a task the first."""
     names = [x.split()[0] for x in SETS.split(", ")]
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        out = [(lead, doc, len(s), signature(s), s.tobytes()) for lead, doc, s in zip(batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist(), shingle_sets(*utf8(batch.column("text"))))]
+        out = []
+        for lead, doc, s in zip(batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist(), shingle_sets(*utf8(batch.column("text")))):
+            if (doc, key := whole_hash(s)) not in seen:
+                seen.add((doc, key))
+                out.append((lead, doc, len(s), signature(s), s.tobytes()))
         for a in range(0, len(out), 2000):
             columns = zip(*out[a : a + 2000])
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
