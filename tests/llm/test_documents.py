@@ -628,9 +628,13 @@ def test_keep_mixed(docs):
     kept = mixing.keep_mixed(docs)
     assert kept.columns == docs.columns
     taken = by_id(mixing.mix_sources(docs))
-    kept = [r.doc_id for r in kept.collect()]
+    parts = defaultdict(list)
+    for r in kept.withColumn("part", F.spark_partition_id()).collect():
+        parts[r.part].append(r.doc_id)
+    kept = [d for part in parts.values() for d in part]
     assert Counter(kept) == Counter({d: -(-r.taken // r.size) for d, r in taken.items() if r.taken})
     first = {d: r.first_slot for d, r in taken.items()}
-    seen = list(dict.fromkeys(kept))
-    assert [first[d] for d in seen] == sorted(first[d] for d in seen)  # in order of slots
+    for part in parts.values():
+        seen = list(dict.fromkeys(part))
+        assert [first[d] for d in seen] == sorted(first[d] for d in seen)  # in order of slots
     assert mixing.keep_mixed(docs.limit(0)).count() == 0

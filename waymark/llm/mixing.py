@@ -144,9 +144,10 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents of the mix with all their columns, in order of the slots in which they start.
+    """The documents of the mix with all their columns; every part of the result is in order of the slots in which they start.
 
-    A document is there as often as a slot starts on it, at most twice.  At most
+    Parts are dealt by hash, so each is itself mixed as the schedule says; one
+    order over all parts would move all texts a second time.  A document is there as often as a slot starts on it, at most twice.  At most
     one document of a source is taken in part; it is kept whole.  Documents that
     no slot reaches, and those without words, are left out.  Rows that agree in
     doc_id, source and text share their copies, rounded up; an empty table
@@ -162,10 +163,10 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     share = F.ceil(F.col("copies") / F.coalesce("rows", F.lit(1))).cast("int").alias("copies")
     copies = materialize(copies.select(*[F.col(c).alias(f"m_{c}") for c in names], share, "first", "last"), "mix-copies")
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(F.broadcast(copies) if small_enough(copies) else copies, same("m"))
+    kept = rows.join(copies.hint("merge"), same("m"))  # never broadcast: the table grows with the documents
     kept = kept.select("row", "first", "last", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     slot = F.when(F.col("copy") == 1, F.col("first")).otherwise(F.col("last"))
-    return kept.orderBy(slot, "row.doc_id", "copy").select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.sortWithinPartitions(slot, "row.doc_id", "copy").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
