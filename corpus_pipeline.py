@@ -42,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix in order of its slots, repeated (twice at most) or left out as the targets of their sources say.
+    """The documents of the mix, every part in order of its slots, repeated (twice at most) or left out as the targets of their sources say.
 
     Documents without words are in no slot; those without a source form the
     last source; repeated rows share their copies.
