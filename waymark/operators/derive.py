@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.clock import DAY, clock_of_day, day_index, hour_of_day
 from waymark.functions.draw import drawn
 from waymark.functions.geo import equirect_km, equirect_mean_km
 from waymark.operators.filters import PAIR
+from waymark.operators.scan import RANGE_ROWS, fullest, scan
 
 
 def derive_speed(trips: DataFrame, waypoints: DataFrame) -> DataFrame:
@@ -65,35 +68,49 @@ def downsample_frac(waypoints: DataFrame, frac: float) -> DataFrame:
     return waypoints.where(drawn("vehicle_key", "trip_id", "unix_time_ms") % 1_000_000 < int(frac * 1_000_000))
 
 
-def _breaks(how: str, anchor: int, gap_minutes: int) -> Column:
-    w = Window.partitionBy("vehicle_key").orderBy("unix_time_ms", "event_id")
-    before = F.lag("unix_time_ms").over(w)
+def _starts(how: str, anchor: int, gap_minutes: int) -> Callable[[Column, Column], Column]:
+    """Whether a ping starts a new trip, given the one before it."""
     if how == "gap":
-        return F.when(F.col("unix_time_ms") - before > gap_minutes * 60_000, 1).otherwise(0)
+        return lambda before, now: now["unix_time_ms"] - before["unix_time_ms"] > gap_minutes * 60_000
     if how == "day":
-        return F.when(day_index(F.col("unix_time_ms"), anchor) != day_index(before, anchor), 1).otherwise(0)
+        return lambda before, now: day_index(now["unix_time_ms"], anchor) != day_index(before["unix_time_ms"], anchor)
     if how == "single":
-        return F.lit(0)
+        return lambda before, now: F.lit(False)
     raise ValueError(f"unknown split: {how}")
 
 
-def with_trip_ids(pings: DataFrame, how: str = "gap", anchor: int = 0, gap_minutes: int = 30) -> DataFrame:
-    """Pings with trip_id: the ordinal, per vehicle, of the stretch they belong to."""
-    w = Window.partitionBy("vehicle_key").orderBy("unix_time_ms", "event_id")
-    marked = pings.withColumn("_new", _breaks(how, anchor, gap_minutes))
-    ordinal = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
-    return marked.withColumn("trip_id", ordinal.cast("long")).drop("_new")
+def _stretches(pings: DataFrame, how: str, anchor: int, gap_minutes: int, ranges: int | None) -> DataFrame:
+    """Pings with ``prev`` (time and place of the vehicle's ping before) and ``ordinal`` (of the stretch), by windows while every vehicle fits in a task, else by ranges."""
+    starts, keys, order, looked = _starts(how, anchor, gap_minutes), ["vehicle_key"], ["unix_time_ms", "event_id"], ["unix_time_ms", "lon", "lat"]
+    if ranges is not None or fullest(pings, keys) > RANGE_ROWS:
+        return scan(pings, keys, order, looked, starts, ranges=ranges)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    now = F.struct(*looked)
+    d = pings.withColumn("prev", F.lag(now).over(w))
+    d = d.withColumn("_new", F.when(F.col("prev").isNotNull() & starts(F.col("prev"), now), 1).otherwise(0))
+    return d.withColumn("ordinal", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("long")).drop("_new")
+
+
+def with_trip_ids(pings: DataFrame, how: str = "gap", anchor: int = 0, gap_minutes: int = 30, ranges: int | None = None) -> DataFrame:
+    """Pings with trip_id: the ordinal, per vehicle, of the stretch they belong to.
+
+    A vehicle with more pings than a task should hold (a default device id) is
+    scanned in ranges of time; ``ranges`` sets their number.
+    """
+    return _stretches(pings, how, anchor, gap_minutes, ranges).withColumnRenamed("ordinal", "trip_id").drop("prev")
 
 
-def synthesize_trips(pings: DataFrame, how: str = "gap", anchor: int = 0, gap_minutes: int = 30) -> DataFrame:
+def synthesize_trips(pings: DataFrame, how: str = "gap", anchor: int = 0, gap_minutes: int = 30, ranges: int | None = None) -> DataFrame:
     """Trips from pings alone: a new one after a long gap, at a change of day, or one per vehicle.
 
     The length is the sum over consecutive pings (null for a single ping).
+    Trips are put together from partial results, so that neither a vehicle nor a
+    trip has to fit in one task; ``ranges`` is as in ``with_trip_ids``.
     """
-    d = with_trip_ids(pings, how, anchor, gap_minutes)
-    w = Window.partitionBy("vehicle_key", "trip_id").orderBy("unix_time_ms", "event_id")
-    step = equirect_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
-    d = d.withColumn("_km", step)
+    starts = _starts(how, anchor, gap_minutes)
+    d = _stretches(pings, how, anchor, gap_minutes, ranges).withColumnRenamed("ordinal", "trip_id")
+    same = F.col("prev").isNotNull() & ~starts(F.col("prev"), F.struct("unix_time_ms", "lon", "lat"))
+    d = d.withColumn("_km", F.when(same, equirect_km(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat"))))
     by = F.struct("unix_time_ms", "event_id")
     ends = d.groupBy("vehicle_key", "trip_id").agg(
         F.min("unix_time_ms").alias("first_ms"), F.max("unix_time_ms").alias("last_ms"), F.count(F.lit(1)).alias("pings"), F.sum("_km").alias("distance_km"),
