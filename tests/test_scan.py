@@ -23,12 +23,14 @@ def expected(rows):
         by.setdefault(r[0], []).append(r)
     for own in by.values():
         own.sort(key=lambda r: (r[1], r[2]))
-        prev, ordinal, xor, total = None, 1, None, None
-        for _, t, i, v in own:
+        prev, ordinal, xor, total, union = None, 1, None, None, None
+        after = [(t, v) for _, t, _, v in own[1:]] + [None]
+        for (_, t, i, v), nxt in zip(own, after):
             ordinal += prev is not None and t - prev[0] > 3
             if v is not None:
                 xor, total = (v, v) if xor is None else (xor ^ v, total + v)
-            out[i] = (prev, ordinal, xor, total)
+                union = v if union is None else union | v
+            out[i] = (prev, nxt, ordinal, xor, total, union)
             prev = (t, v)
     return out
 
@@ -36,9 +38,10 @@ def expected(rows):
 @pytest.mark.parametrize("ranges", [1, 2, 7, 60])
 def test_scan_is_a_loop(spark, rows, ranges):
     df = spark.createDataFrame(rows, "k string, t long, i long, v long").repartition(5)
-    got = scan.scan(df, ["k"], ["t", "i"], ["t", "v"], lambda a, b: b["t"] - a["t"] > 3, {"x": ("xor", "v"), "s": ("sum", "v")}, ranges=ranges)
-    assert got.columns == ["k", "t", "i", "v", "prev", "ordinal", "x", "s"]
-    assert {r["i"]: (r["prev"] and tuple(r["prev"]), r["ordinal"], r["x"], r["s"]) for r in got.collect()} == expected(rows)
+    got = scan.scan(df, ["k"], ["t", "i"], ["t", "v"], lambda a, b: b["t"] - a["t"] > 3, {"x": ("xor", "v"), "s": ("sum", "v"), "o": ("or", "v")}, ahead=True, ranges=ranges)
+    assert got.columns == ["k", "t", "i", "v", "prev", "next", "ordinal", "x", "s", "o"]
+    plain = lambda r: r and tuple(r)
+    assert {r["i"]: (plain(r["prev"]), plain(r["next"]), r["ordinal"], r["x"], r["s"], r["o"]) for r in got.collect()} == expected(rows)
 
 
 def test_scan_of_nothing_and_clashes(spark, rows):

@@ -17,7 +17,8 @@ from waymark.shared import saved
 #: Rows of one range, about.
 RANGE_ROWS = 500_000
 #: Running totals that can be carried from range to range.
-KINDS = {"sum": F.sum, "xor": F.bit_xor}
+KINDS = {"sum": F.sum, "xor": F.bit_xor, "or": F.bit_or}
+JOINED = {"sum": lambda a, b: a + b, "xor": lambda a, b: a.bitwiseXOR(b), "or": lambda a, b: a.bitwiseOR(b)}
 
 
 def _ranges(rows: int, least: int) -> int:
@@ -25,26 +26,27 @@ def _ranges(rows: int, least: int) -> int:
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: list[str], lags: list[str] = (), starts: Callable[[Column, Column], Column] | None = None, totals: dict[str, tuple[str, str]] | None = None, ranges: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str], lags: list[str] = (), starts: Callable[[Column, Column], Column] | None = None, totals: dict[str, tuple[str, str]] | None = None, ahead: bool = False, ranges: int | None = None,
 ) -> DataFrame:
     """``df`` with columns that look back within the key, in the order of ``order`` (which has no ties within a key).
 
     ``prev`` is a struct of the columns ``lags`` of the row before (null at a
-    key's first row).  ``ordinal`` is there with ``starts``: 1 and one more for
+    key's first row); with ``ahead``, ``next`` is that of the row after (null at
+    its last).  ``ordinal`` is there with ``starts``: 1 and one more for
     every row up to this one for which ``starts(previous row, row)`` is true,
     both given as structs of ``lags``; a key's first row never counts.
-    ``totals`` maps a new column to a kind and a column: its "sum" or "xor" over
-    the rows of the key up to this one, nulls left out.
+    ``totals`` maps a new column to a kind and a column: its "sum", "xor" or
+    "or" over the rows of the key up to this one, nulls left out.
 
     Null keys are one key, null orders come first, an empty table stays empty.
     Rows are shuffled into ranges, scanned there and written once to the shared
     folder; ``ranges`` sets how many ranges there are.
     """
     totals = dict(totals or {})
-    if starts is not None and not lags:
-        raise ValueError("starts: compares the columns of lags")
+    if (starts is not None or ahead) and not lags:
+        raise ValueError("starts, ahead: look at the columns of lags")
     names = set(df.columns)
-    own = [c for c in ("prev", "ordinal", *totals) if c in names]
+    own = [c for c in ("prev", "next", "ordinal", *totals) if c in names]
     if own or any(kind not in KINDS for kind, _ in totals.values()):
         raise ValueError(f"columns that are there already: {own}; kinds of totals: {sorted(KINDS)}")
     spark = df.sparkSession
@@ -57,6 +59,8 @@ def scan(
     if lags:
         local["_before"] = F.lag(now).over(w)
         local["_first"] = F.row_number().over(w) == 1
+    if ahead:
+        local["_after"] = F.lead(now).over(w)
     local |= {f"_t_{name}": KINDS[kind](c).over(upto) for name, (kind, c) in totals.items()}
     done = part.withColumns(local)
     if starts is not None:
@@ -74,6 +78,8 @@ def scan(
     by_part = Window.orderBy("_part")  # a row per range
     for c in ("last_key", "last_row"):
         edges = edges.withColumn(f"before_{c}", F.lag(c).over(by_part))
+    for c in ("first_key", "first_row"):
+        edges = edges.withColumn(f"after_{c}", F.lead(c).over(by_part))
     goes_on = F.lag(F.lit(1)).over(by_part).isNotNull() & F.col("first_key").eqNullSafe(F.col("before_last_key"))
     edges = edges.withColumn("goes_on", goes_on)
     if starts is not None:
@@ -92,15 +98,20 @@ def scan(
 
     # joined to the rows of the one key that goes on; at most a row per range, so it is broadcast
     both = done.join(F.broadcast(carried), (F.col("_part") == F.col("_in")) & key.eqNullSafe(F.col("_key")), "left")
+    if ahead:
+        meets = F.lead(F.lit(1)).over(by_part).isNotNull() & F.col("last_key").eqNullSafe(F.col("after_first_key"))
+        met = edges.withColumn("meets", meets).where("meets").select(F.col("_part").alias("_out"), F.col("last_key").alias("_end"), F.col("after_first_row").alias("_given"))
+        both = both.join(F.broadcast(met), (F.col("_part") == F.col("_out")) & key.eqNullSafe(F.col("_end")), "left")
     out = [F.col(f"`{c}`") for c in df.columns]
     if lags:
         out.append(F.when(F.col("_first"), F.col("_taken")).otherwise(F.col("_before")).alias("prev"))
+    if ahead:
+        out.append(F.coalesce("_after", "_given").alias("next"))
     if starts is not None:
         out.append((F.col("_ordinal") + F.coalesce("_c_ordinal", F.lit(0)) + 1).cast("long").alias("ordinal"))
     for name, (kind, c) in totals.items():
         mine, more = F.col(f"_t_{name}"), F.col(f"_c_t_{name}")
-        joined = mine + more if kind == "sum" else mine.bitwiseXOR(more)
-        out.append(F.coalesce(joined, mine, more).alias(name))
+        out.append(F.coalesce(JOINED[kind](mine, more), mine, more).alias(name))
     return both.select(*out)
 
 
