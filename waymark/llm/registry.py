@@ -17,6 +17,7 @@ MODULES = {
     "op9_chat_perspectives": "chat",
     "op10_token_files": "token_store",
     "op12_prefix_trie": "trie",
+    "op13_spelling_variants": "spelling",
 }
 
 
