@@ -17,7 +17,7 @@ def value(x):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name, table):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SF.format(table)}/{t}.parquet'")
     df = registry.queries()[name](spark, SF.format(table))
     cols = sorted(df.columns)

@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_rules": "quality_rules",
     "op9_chat_perspectives": "chat",
     "op10_token_files": "token_store",
+    "op11_url_filter": "url_filter",
     "op12_prefix_trie": "trie",
     "op13_spelling_variants": "spelling",
 }

@@ -59,7 +59,7 @@ def sketch(digests: DataFrame, rows: int) -> tuple[np.ndarray, int]:
             if any(once[i : i + BLOCK]):
                 yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([i]), pa.array([once[i : i + BLOCK]]), pa.array([twice[i : i + BLOCK]])], names=["task", "block", "once", "twice"])
 
-    def merge(key, found: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         once, twice = (np.zeros(len(found["once"].iloc[0]), np.uint8) for _ in range(2))
         for o, t in zip(found["once"], found["twice"]):
             o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
