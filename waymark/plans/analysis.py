@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from waymark.functions.classes import poi_class, speed_class
 from waymark.functions.draw import drawn_sql
-from waymark.operators import chains, compare, mining, profile, spatial, stats, temporal, zones
+from waymark.operators import chains, compare, density, mining, profile, spatial, stats, temporal, zones
 from waymark.operators.derive import with_trip_ids
 from waymark.operators.filters import PAIR, TripFilter, entering, vehicle_prefix
 from waymark.plans.registry import query
@@ -501,7 +501,7 @@ def _(v):
 def _(v):
     d = mining.feature_scale(v.trips)
     points = d.select(F.col("trip_id").alias("id"), *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(mining.WEIGHTS)])
-    return mining.eps_neighbours(points, 0.15).groupBy("a").agg(F.count(F.lit(1)).alias("neighbours"))
+    return density.neighbour_counts(points, 0.15)
 
 
 @query("j_jaccard_pairs", """WITH s AS (SELECT DISTINCT vehicle_key, trip_id, fine_link_id AS l FROM waypoints), n AS (SELECT vehicle_key, trip_id, count(*) AS n FROM s GROUP BY 1, 2),
