@@ -265,6 +265,49 @@ def test_jaccard_pairs_against_all_pairs(spark, monkeypatch, rows):
         assert {(r.a, r.b): r.shared for r in mining.jaccard_pairs(s, most, F.col("trip_id")).collect()} == want
 
 
+def similar_routes(seed=11):
+    """Waypoints of trips on a few roads: copies, variants with some links changed, a motorway in all, and a link that is everybody's rarest."""
+    rnd = random.Random(seed)
+    roads = [[f"r{k}_{i}" for i in range(14)] for k in range(12)]
+    rows = []
+    for t in range(400):
+        links = set(rnd.choice(roads))
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            links ^= {rnd.choice(rnd.choice(roads))}
+        rows += [("v", t, link) for link in links | {"motorway"}]
+    rows += [("w", 1000 + t, link) for t in range(200) for link in ("only", *rnd.sample([f"m{i}" for i in range(5)], 3))]
+    return rows
+
+
+def test_routes_with_copies_and_one_rare_link(spark):
+    rows = similar_routes()
+    sets = {}
+    for _, t, link in rows:
+        sets.setdefault(t, set()).add(link)
+    near = {a: [b for b in sets if b != a and round(1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 12) <= 0.3] for a in sets}
+    core = {a for a in sets if len(near[a]) + 1 >= 5}
+    label = {}
+    for a in sorted(core):
+        todo = [a] if a not in label else []
+        while todo:
+            b = todo.pop()
+            if b not in label:
+                label[b] = a
+                todo += [c for c in near[b] if c in core]
+    for a in sets.keys() - core:
+        label[a] = min((label[b] for b in near[a] if b in core), default=None)
+    w = spark.createDataFrame(rows, "vehicle_key string, trip_id long, link_id string")
+    assert {r.trip_id: r.cluster for r in mining.route_similarity(w, min_samples=5, id=F.col("trip_id")).collect()} == label
+
+
+def test_bands_find_most_pairs(spark):
+    """The option's recall against the exact pairs; what it finds is right."""
+    sets = spark.createDataFrame(similar_routes(), "vehicle_key string, trip_id long, link_id string").groupBy(F.col("trip_id").alias("id")).agg(F.collect_set("link_id").alias("links"))
+    pairs = lambda d: {(r.a, r.b): r.shared for r in d.collect()}
+    exact, banded = pairs(mining.set_pairs(sets, 0.3)), pairs(mining.banded_pairs(sets, 0.3, 20, 4))
+    assert len(exact) > 3000 and banded.items() <= exact.items() and len(banded) >= 0.9 * len(exact)
+
+
 def test_cluster_members(spark):
     rows = [("v", i, 139.0 + i / 1000, 35.0, 139.5, 35.5, 5.0 + i / 100, 8) for i in range(30)] + [("w", 99, 145.0, 40.0, 130.0, 30.0, 90.0, 1)]
     d = mining.cluster_od(spark.createDataFrame(rows, "vehicle_key string, trip_id long, start_lon double, start_lat double, end_lon double, end_lat double, distance_km double, dep_hour int"), id=F.col("trip_id"))

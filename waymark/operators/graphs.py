@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from waymark.shared import saved
 
 
+#: Edges of a graph whose rounds are one job each; half rounds of a larger one are written too.
+SMALL = 2_000_000
+
+
 def min_label(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """node and label (the smallest node of its component); ``edges`` are (a, b), in either direction or both.
 
@@ -25,7 +29,8 @@ def min_label(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         state = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if now[0] <= SMALL else saved(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         others = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = saved(others.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

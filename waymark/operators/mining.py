@@ -40,12 +40,19 @@ def eps_neighbours(points: DataFrame, eps: float, dims: int = 6) -> DataFrame:
 
 
 def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
-    """id and cluster (its smallest core point; null for noise).  A point counts itself; a border point joins its smallest cluster."""
-    near = saved(pairs)
-    degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = saved(degree.where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("node")) if min_samples > 1 else ids.select(F.col("id").alias("node")))
-    inner = near.join(core, near["a"] == core["node"], "left_semi").join(core, near["b"] == core["node"], "left_semi")
-    labels = min_label(core, inner)
+    """id and cluster (its smallest core point; null for noise) by ``pairs`` (a, b), each in one direction or both.
+
+    A point counts itself; a border point joins its smallest cluster.  With a
+    column ``weight``, an id stands for so many points that are all alike.
+    """
+    own = ids.select(F.col("id").alias("node"), (F.col("weight") if "weight" in ids.columns else F.lit(1)).alias("w"))
+    near = pairs.select("a", "b")
+    near = saved(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    around = near.join(own, near["b"] == own["node"]).groupBy("a").agg(F.sum("w").alias("n"))
+    core = own.join(around, own["node"] == around["a"], "left").where(F.col("w") + F.coalesce("n", F.lit(0)) >= min_samples).select("node")
+    core = saved(core)
+    inner = near.where("a > b").join(core, near["a"] == core["node"], "left_semi").join(core, near["b"] == core["node"], "left_semi")
+    labels = saved(min_label(core, inner))
     border = near.join(labels, near["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("border"))
     d = ids.select("id").join(labels, F.col("id") == labels["node"], "left").join(border, F.col("id") == border["a"], "left")
     return d.select("id", F.coalesce("label", "border").alias("cluster"))
@@ -80,42 +87,86 @@ def link_sets(waypoints: DataFrame, link: str = "link_id") -> DataFrame:
     return waypoints.where(F.col(link).isNotNull() & (F.col(link) != "")).select(*PAIR, F.col(link).alias("link_id")).distinct()
 
 
-#: Trips of one link that one task pairs with the others of the link.
+#: Sets of one link, or of one band, that one task pairs with the others there.
 LINK_ROWS = 4096
 
 
-def jaccard_pairs(sets: DataFrame, max_distance: float, id: Column | None = None) -> DataFrame:
-    """Pairs of trips (a < b by ``id``) that share a link and whose link sets are at most so far apart.
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """id, n and links of ``sets`` (id and links, an array without repeats): the links of the fewest sets first."""
+    each = sets.select("id", F.explode("links").alias("link"))
+    held = each.groupBy("link").agg(F.count(F.lit(1)).alias("sets"))
+    ranked = each.join(held, "link").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "link"))).alias("r"))
+    return ranked.select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["link"]).alias("links"))
+
+
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """Structs x and y of all ``rows`` that share a ``key``, x of the smaller id; rows of a frequent key are spread by salts."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LINK_ROWS).alias("parts"))
+    salted = rows.select(key, F.struct("*").alias("row")).join(parts, key)
+    x = salted.select(key, F.col("row").alias("x"), F.pmod(F.xxhash64("row.id"), F.col("parts")).alias("salt"))
+    y = salted.select(key, F.col("row").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    return x.join(y, [key, "salt"]).where("x.id < y.id")
+
+
+def _compared(met: DataFrame, max_distance: float) -> DataFrame:
+    """a, b, na, nb, shared and distance of pairs x and y (id, n, links) that are near enough, with ``first``, the rarest link they share."""
+    d = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.array_intersect("x.links", "y.links").alias("both"), *[c for c in met.columns if c not in ("x", "y", "salt")])
+    d = d.withColumns({"shared": F.size("both").cast("long"), "first": F.get("both", 0)})
+    return d.withColumn("distance", 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.round("distance", 12) <= max_distance)
+
+
+def set_pairs(sets: DataFrame, max_distance: float) -> DataFrame:
+    """a, b, na, nb, shared and distance of all pairs of ``sets`` (id and links) that share a link and are at most so far apart (Jaccard).
 
     Two such sets share one of their rarest links: of n links, all but the last
-    ceil(similarity * n) - 1 in order of how many trips have them.  Only these
-    are joined, so a motorway link pairs no trips that have any rarer ones; what
-    meets is compared as a whole.  Links with many trips are salted.
+    ceil(similarity * n) - 1 in order of how many sets have them.  Only these are
+    joined, each with its place in that order.  A pair is looked at where the
+    sizes of its sets, and the links that either still has after the place, let
+    it be near enough, and is kept at the rarest link that both have; so no pair
+    comes twice, and sets are not fetched again.
     """
     least = 1 - max_distance
+    ranked = saved(by_rarity(sets), "ranked-sets")
+    prefix = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+    posted = ranked.select("id", "n", "links", F.posexplode(F.slice("links", F.lit(1), F.least(prefix, F.col("n")))).alias("place", "link"))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    need = F.ceil(least / (1 + least) * (nx + ny) - 1e-9)
+    sizes = F.least(nx, ny) >= least * F.greatest(nx, ny) - 1e-9
+    ahead = F.least(nx - F.col("x.place"), ny - F.col("y.place")) >= need  # this link and those after it
+    near = _compared(_met(posted, "link").where(sizes & ahead), max_distance)
+    return near.where("first = link").select("a", "b", "na", "nb", "shared", "distance")
+
+
+def banded_pairs(sets: DataFrame, max_distance: float, bands: int, rows: int) -> DataFrame:
+    """The pairs of ``set_pairs``, found by min-hashes: those that agree in all ``rows`` hashes of one of ``bands`` are compared.
+
+    A pair of similarity s is found with a probability of 1 - (1 - s^rows)^bands;
+    none is found that is too far apart.
+    """
+    d = saved(sets.select("id", F.size("links").alias("n"), "links"), "sets")
+    least = lambda k: F.array_min(F.transform("links", lambda x: F.xxhash64(x, F.lit(k))))
+    band = lambda i: F.xxhash64(F.lit(i), *[least(i * rows + j) for j in range(rows)])
+    keyed = d.select("*", F.explode(F.array(*[band(i) for i in range(bands)])).alias("band"))
+    return _compared(_met(keyed, "band"), max_distance).select("a", "b", "na", "nb", "shared", "distance").distinct()
+
+
+def jaccard_pairs(sets: DataFrame, max_distance: float, id: Column | None = None) -> DataFrame:
+    """Pairs of trips (a < b by ``id``) that share a link and whose link sets (rows of trip and link) are at most so far apart: see ``set_pairs``."""
     own = sets.select((pair_id() if id is None else id).alias("id"), "link_id")
-    trips = own.groupBy("link_id").agg(F.count(F.lit(1)).alias("trips"))
-    by = Window.partitionBy("id")
-    ranked = own.join(trips, "link_id").withColumns({"rn": F.row_number().over(by.orderBy("trips", "link_id")), "n": F.count(F.lit(1)).over(by)})
-    rare = saved(ranked.where(F.col("rn") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("id", "n", "link_id"))
-    parts = rare.groupBy("link_id").agg(F.ceil(F.count(F.lit(1)) / LINK_ROWS).alias("parts"))
-    salted = rare.join(parts, "link_id")
-    a = salted.select(F.col("id").alias("a"), F.col("n").alias("na"), "link_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("salt"))
-    b = salted.select(F.col("id").alias("b"), F.col("n").alias("nb"), "link_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
-    # sets as far apart in size as the bound allows at most
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
-    met = a.join(b, ["link_id", "salt"]).where(fit).select("a", "b", "na", "nb").distinct()
-    whole = saved(own.groupBy("id").agg(F.collect_set("link_id").alias("links")))
-    d = met.join(whole.select(F.col("id").alias("a"), F.col("links").alias("la")), "a").join(whole.select(F.col("id").alias("b"), F.col("links").alias("lb")), "b")
-    d = d.withColumn("shared", F.size(F.array_intersect("la", "lb")).cast("long"))
-    dist = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return d.select("a", "b", "na", "nb", "shared", dist.alias("distance")).where(F.round("distance", 12) <= max_distance)
-
-
-def route_similarity(waypoints: DataFrame, link: str = "link_id", eps: float = 0.3, min_samples: int = 3, id: Column | None = None) -> DataFrame:
-    """Each trip's cluster by the Jaccard distance of its links; clusters are named by the least ``id`` (a hash if not given) of their core trips."""
-    sets = saved(link_sets(waypoints, link))
-    pairs = saved(jaccard_pairs(sets, eps, id).select("a", "b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ids = sets.select(*PAIR, (pair_id() if id is None else id).alias("id")).distinct()
-    return ids.join(dbscan(ids, both, min_samples), "id").select(*PAIR, "cluster")
+    return set_pairs(own.groupBy("id").agg(F.collect_set("link_id").alias("links")), max_distance)
+
+
+def route_similarity(waypoints: DataFrame, link: str = "link_id", eps: float = 0.3, min_samples: int = 3, id: Column | None = None, bands: tuple[int, int] | None = None) -> DataFrame:
+    """Each trip's cluster by the Jaccard distance of its links; clusters are named by the least ``id`` (a hash if not given) of their core trips.
+
+    Trips with the same links are one set that counts as many times.  Near sets
+    are found exactly, or with ``bands`` (a number of bands and of hashes in
+    each) by min-hashes, which may miss some: see ``banded_pairs``.
+    """
+    per = link_sets(waypoints, link).groupBy(*PAIR).agg(F.sort_array(F.collect_set("link_id")).alias("links"))
+    trips = saved(per.withColumn("id", pair_id() if id is None else id), "route-trips")
+    sets = saved(trips.groupBy("links").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "route-sets")
+    pairs = set_pairs(sets, eps) if bands is None else banded_pairs(sets, eps, *bands)
+    found = dbscan(sets, pairs, min_samples)
+    named = sets.join(found, "id").select("links", "cluster")
+    return trips.join(named, "links").select(*PAIR, "cluster")
