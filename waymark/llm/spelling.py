@@ -12,14 +12,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.spread import matched
 from waymark.llm.store import materialize
 
 #: The letters of a word after A-Z were lower-cased; code points and occurrences that a word has at least.
 LETTERS = "a-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT = 6, 5
 #: Characters of a text that are cut into words at a time, words that a task counts before it hands them on, and words of one sorted range.
-SLICE, HELD, RANGE = 1 << 18, 300_000, 200_000
+SLICE, HELD, RANGE = 1 << 18, 100_000, 200_000
 
 
 def _slices(text: str, run: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -168,7 +167,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = materialize(forms.select("id", F.col("form").alias("root")), "ways")
     while True:
         on = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = materialize(matched(at, on, "root", "left", F.col("id")).select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "ways")
+        step = materialize(at.join(on, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "ways")
         at = step.select("id", "root")
         if not step.where("moved").limit(1).count():
             return at
@@ -195,10 +194,11 @@ def spelling_variants(counts: DataFrame, times: int = 5) -> DataFrame:
     ways = led.join(roots(led), "id").select("id", F.col("root").alias("root_id"))
     named = lambda name: words.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name))
     ways = materialize(ways, "roots")
-    d = found.join(ways, "id", "left")
-    d = matched(d.where("form_id is not null"), named("form"), "form_id", "inner", F.col("id")).unionByName(d.where("form_id is null").withColumn("form", F.lit(None).cast("string")))
-    d = matched(d.where("root_id is not null"), named("root"), "root_id", "inner", F.col("id")).unionByName(d.where("root_id is null").withColumn("root", F.col("word")), allowMissingColumns=True)
-    return d.select("word", "form", "root", "n", "n_near", "form_n")
+    # a word is the form of its near words at most, some hundred for each of its letters
+    ways = ways.join(named("root"), "root_id").select("id", "root")
+    forms = led.withColumnRenamed("form", "form_id").join(named("form"), "form_id").select("id", "form")
+    d = found.join(forms.join(ways, "id"), "id", "left")
+    return d.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
