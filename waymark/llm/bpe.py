@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
+from waymark.llm.characters import LETTER, NUMBER, SPACE, bracket, known, lowered
+
 #: Words kept with their ids between batches of a task; beyond, the table starts anew.
 KEPT_WORDS = 400_000
 #: Symbols that go through merge rounds at a time.
@@ -31,9 +32,14 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """The tokenizer of a ``tokenizers`` file: lower-cased words whose last symbol carries a word end."""
+    """The tokenizer of a ``tokenizers`` file: lower-cased words whose last symbol carries a word end.
+
+    What is a letter, number or blank, and how it is lower-cased, is the
+    library's: ``characters`` is what ``known`` has found for the file.  Texts
+    with code points that Python treats otherwise are normalized by the library.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, characters: tuple | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._check(spec)
@@ -53,8 +59,13 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.place = np.argsort(order)  # of a rank among the sorted keys
-        self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        classes, odd = characters or known(path)
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        for mark, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):  # all within brackets
+            pattern = pattern.replace(mark, bracket(classes, kind))
+        self.split = re.compile(pattern)
+        self.odd, self.path, self.library = re.compile(f"[{odd}]"), path, None
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -76,9 +87,16 @@ class WordBpe:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.split.findall(text.lower())
+        if text.isascii():
+            return self.split.findall(text.lower())
+        return self.split.findall(self._normalized(text) if self.odd.search(text) else lowered(text))
+
+    def _normalized(self, text: str) -> str:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).normalizer
+        return self.library.normalize_str(text)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word starts in it (one more at the end).
@@ -203,8 +221,8 @@ class WordBpe:
 class Coder:
     """Encodes and decodes texts; keeps the ids of words it has met."""
 
-    def __init__(self, path: str):
-        self.bpe = WordBpe(path)
+    def __init__(self, path: str, characters: tuple | None = None):
+        self.bpe = WordBpe(path, characters)
         self._start()
 
     def _start(self) -> None:
@@ -261,12 +279,14 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns are ignored.  A null text is
     empty and has no ids; repeated rows are encoded each; an empty table gives
-    no rows.  ``tokenizer`` is the path of a tokenizer file on every executor;
+    no rows.  ``tokenizer`` is the path of a tokenizer file on the driver and every executor;
     the default is the installed 49k word vocabulary.
     """
 
+    characters = known(_tokenizer_path(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_tokenizer_path(tokenizer))
+        coder = Coder(_tokenizer_path(tokenizer), characters)
         for batch in batches:
             texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id")
             for a, b in _groups(texts):
@@ -278,8 +298,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def bpe_decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id and text of every row of doc_id and ids; null ids decode to an empty text."""
 
+    characters = known(_tokenizer_path(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_tokenizer_path(tokenizer))
+        coder = Coder(_tokenizer_path(tokenizer), characters)
         for batch in batches:
             texts = [coder.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -298,8 +320,10 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     and empty tables are as there.
     """
 
+    characters = known(_tokenizer_path(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_tokenizer_path(tokenizer))
+        coder = Coder(_tokenizer_path(tokenizer), characters)
         for batch in batches:
             texts, keys = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id")
             for a, b in _groups(texts):

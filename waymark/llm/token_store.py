@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from waymark.llm.characters import LETTER, SPACE, known, table
 from waymark.llm.spread import running, small_enough
 from waymark.llm.store import new_path
 from waymark.llm.words import _power, mix
@@ -25,24 +25,11 @@ SHARD_IDS, PIECE, KEPT = 1 << 20, 1_500_000, 1_200_000
 READ = 512
 #: Input bytes for one sorted partition of documents.
 PART_BYTES = 24 << 20
-#: Classes of characters: letters, numbers, white space, others.
-LETTER, NUMBER, SPACE, OTHER = range(4)
-_BLANKS = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_classes: list[np.ndarray] = []
 _encoders: dict[str, Encoder] = {}
 
 
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    if not _classes:
-        table = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
-        table[list(_BLANKS)] = SPACE
-        _classes.append(table)
-    return _classes[0]
-
-
-def pre_tokens(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Starts of the pre-tokens in texts laid end to end; ``first`` are the places of the texts' first characters.
+def pre_tokens(chars: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens in texts laid end to end; ``first`` are the places of the texts' first characters, ``kinds`` the class of every code point.
 
     A pre-token is a run of letters, of numbers or of other marks with one
     blank before it, or white space without the character before a run; 's,
@@ -50,7 +37,7 @@ def pre_tokens(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     blank or a mark.
     """
     n = len(chars)
-    kind = classes()[chars]
+    kind = kinds[chars]
     head = np.zeros(n + 1, bool)
     head[first] = True
     run = head[:n].copy()
@@ -77,6 +64,14 @@ def pre_tokens(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def tokenizer_path(path: str | None) -> str:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for every distinct pre-token.
 
@@ -89,14 +84,12 @@ class Encoder:
 
     BITS = 22
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, characters: tuple | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("byte_bpe_50k.json")
+        path = tokenizer_path(path)
+        self.kinds = table((characters or known(path))[0])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -104,9 +97,11 @@ class Encoder:
         self._start()
 
     @staticmethod
-    def shared(path: str | None = None) -> Encoder:
+    def shared(path: str | None = None, characters: tuple | None = None) -> Encoder:
         """One encoder per process and file: tasks of a worker go on with the table."""
-        return _encoders.setdefault(path or "", Encoder(path)) if (path or "") not in _encoders else _encoders[path or ""]
+        if (path or "") not in _encoders:
+            _encoders[path or ""] = Encoder(path, characters)
+        return _encoders[path or ""]
 
     def _start(self, room: int = 0) -> None:
         """An empty table for ``room`` pre-tokens, KEPT at least."""
@@ -164,7 +159,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _flat(self, chars: np.ndarray, first: np.ndarray):
-        starts = pre_tokens(chars, first)
+        starts = pre_tokens(chars, first, self.kinds)
         ends = np.append(starts[1:], len(chars))
         up, down = _power("chars", CHAR_BASE, len(chars)), _power("back", CHAR_BACK, len(chars))
         sums = np.zeros(len(chars) + 1, np.uint64)
@@ -372,8 +367,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     own, through Spark's Parquet writer, so a lost task is simply written again.
     """
 
+    characters = known(tokenizer_path(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(tokenizer)
+        encoder = Encoder.shared(tokenizer, characters)
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         base = max(base, end_id + 1)
         part, shard = TaskContext.get().partitionId(), 0
