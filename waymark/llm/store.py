@@ -44,13 +44,16 @@ def keyed(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
     """``df`` written to the shared folder in ``parts`` buckets by ``key``, which has no nulls: joins on the key do not move its rows again.
 
     There are as many buckets as a shuffle has partitions at least, as Spark
-    would deal fewer anew.  The table has a name only until it is read.
+    would deal fewer anew, and as many as Spark allows at most: of a very large
+    table each has more.  The table has a name only until it is read.
     """
     spark = df.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    parts = min(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), most)
     name = f"waymark_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.repartition(parts, key).write.format("parquet").option("path", new_path(spark, label)).option("compression", "zstd")
-    writer.bucketBy(parts, key).sortBy(key).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    try:
+        writer.bucketBy(parts, key).sortBy(key).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.fm_index import FmIndex
-from waymark.llm.spread import matched
+from waymark.llm.spread import matched, running
 from waymark.llm.store import keyed, materialize
 from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
@@ -353,6 +353,23 @@ def removed_ranges(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return last
 
 
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id and text with the key of their words, as ``_measure`` has it."""
+    for batch in batches:
+        key = pa.concat_arrays([b.column("key") for b in _measure([batch])])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), key], names=["doc_id", "text", "key"])
+
+
+def by_texts(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """``dedup_substrings`` of rows that share a doc_id but not their words: each (doc_id, words) gets a number of its own, in this order, and is a document by it."""
+    numbers = running(per_doc.select("doc_id", "key").distinct(), [F.col("doc_id"), F.col("key")], {"number": F.lit(1).cast("long")}, "doc-order")
+    numbers = materialize(numbers.select("doc_id", "key", "number"), "doc-numbers")
+    known = rows.where("doc_id is not null").mapInArrow(_with_key, "doc_id long, text string, key long").join(numbers, ["doc_id", "key"])
+    done = dedup_substrings(known.select(F.col("number").alias("doc_id"), "text").unionByName(rows.where("doc_id is null")))
+    names = numbers.select(F.col("number").alias("_number"), F.col("doc_id").alias("_id"))
+    return done.join(names, F.col("doc_id") == F.col("_number"), "left").select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -382,8 +399,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     consecutive words of one document; a word goes if a window over it has the
     same words as one that starts earlier (in a document of a smaller doc_id, or
     earlier in its own).  A null or blank text has no words; a text of under 20
-    words keeps them all; rows with the same doc_id are the same document, and a
-    row without doc_id keeps its words; an empty table gives no rows.
+    words keeps them all; rows with the same doc_id and words are the same
+    document, rows with the same doc_id and other words are different ones, in
+    order of the hash of their words; a row without doc_id keeps its words and is
+    no earlier document; every row has a row in the result; an empty table gives
+    no rows.
 
     Of documents with the same words only the first can be first with a window;
     the others lose all words.  Every window posts the lowest of its 8-word
@@ -396,6 +416,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = materialize(rows.where("doc_id is not null").mapInArrow(_measure, "doc_id long, n_words long, key long"), "doc-words")
+    if per_doc.groupBy("doc_id").agg((F.min("key") != F.max("key")).alias("several")).where("several").limit(1).count():
+        return by_texts(rows, per_doc)
     reps = materialize(per_doc.where(f"n_words >= {WINDOW}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words")), "first-docs")
     n_bytes = per_doc.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] * 8
     texts = keyed(rows.where("doc_id is not null"), "doc_id", int(n_bytes // TEXT_BYTES + 1), "texts")
