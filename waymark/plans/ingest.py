@@ -10,8 +10,10 @@ from waymark.functions.modes import mode_code, mode_label
 from waymark.operators import derive, profile, spatial, stats
 from waymark.plans.registry import query
 from waymark.plans.views import Views
+from waymark.schema import TRIPS, WAYPOINTS
 from waymark.shared import shared_path
 from waymark.sources import files, mapping, sinks
+from waymark.sources.versions import Versions
 from waymark.streaming import windows
 
 PAIR = ["vehicle_key", "trip_id"]
@@ -322,29 +324,43 @@ def _(v):
 
 @query("replace_source", _COUNTS.format("(SELECT * FROM trips WHERE source_id = 'fleet_b' OR dep_hour < 12)"))
 def _(v):
-    path = scratch(v, "replaced")
-    sinks.write_trips(v.trips, path)
+    store = Versions(v.spark, scratch(v, "replaced"))
+    for source in ("fleet_a", "fleet_b"):
+        sinks.replace_source(store, source, v.trips, v.waypoints)
     for _again in range(2):
-        sinks.write_trips(v.trips.where("source_id = 'fleet_a' and dep_hour < 12"), path)
-    return _source_counts(v.spark.read.parquet(path))
+        sinks.replace_source(store, "fleet_a", v.trips.where("dep_hour < 12"), v.waypoints)
+    return _source_counts(store.snapshot().read("trips", TRIPS))
+
+
+@query("replace_source_emptied", "SELECT 'trips' AS name, source_id, count(*) AS n FROM trips WHERE source_id = 'fleet_b' GROUP BY 2 UNION ALL SELECT 'waypoints', source_id, count(*) FROM waypoints WHERE source_id = 'fleet_b' GROUP BY 2")
+def _(v):
+    store = Versions(v.spark, scratch(v, "emptied"))
+    for source in ("fleet_a", "fleet_b"):
+        sinks.replace_source(store, source, v.trips, v.waypoints)
+    sinks.replace_source(store, "fleet_a", v.trips.where("false"), v.waypoints.where("false"))
+    now = store.snapshot()
+    counts = [now.read(name, schema).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, schema in (("trips", TRIPS), ("waypoints", WAYPOINTS))]
+    return counts[0].unionByName(counts[1])
 
 
 @query("replace_resolution", "SELECT r AS resolution, sum(n)::BIGINT AS weight FROM (SELECT 0.005e0 AS r, count(*) AS n FROM waypoints UNION ALL SELECT 0.01e0, count(*) FROM waypoints WHERE source_id = 'fleet_a') GROUP BY 1", "resolution")
 def _(v):
-    path = scratch(v, "density")
+    store = Versions(v.spark, scratch(v, "density"))
     d = v.waypoints.withColumn("resolution", F.lit(0.005)).unionByName(v.waypoints.withColumn("resolution", F.lit(0.01))).groupBy("resolution", "source_id").agg(F.count(F.lit(1)).alias("weight"))
-    sinks.replace_resolution(d, path)
-    sinks.replace_resolution(d.where("resolution = 0.01d and source_id = 'fleet_a'"), path)
-    return v.spark.read.parquet(path).groupBy(F.col("resolution").cast("double").alias("resolution")).agg(F.sum("weight").alias("weight"))
+    for resolution in (0.005, 0.01):
+        sinks.replace_resolution(store, resolution, d)
+    sinks.replace_resolution(store, 0.01, d.where("source_id = 'fleet_a'"))
+    return store.snapshot().read("density", d.schema).groupBy("resolution").agg(F.sum("weight").alias("weight"))
 
 
 @query("replace_validation_run", "SELECT 'run_' || simulation_day AS run_id, count(*) AS n FROM trips WHERE simulation_day <> 1 OR dep_hour < 6 GROUP BY 1")
 def _(v):
-    path = scratch(v, "validation")
+    store = Versions(v.spark, scratch(v, "validation"))
     d = v.trips.withColumn("run_id", F.concat(F.lit("run_"), F.col("simulation_day").cast("string"))).select("run_id", "trip_id", "dep_hour")
-    sinks.replace_validation_run(d, path)
-    sinks.replace_validation_run(d.where("run_id = 'run_1' and dep_hour < 6"), path)
-    return v.spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    for day in range(3):
+        sinks.replace_validation_run(store, f"run_{day}", d)
+    sinks.replace_validation_run(store, "run_1", d.where("dep_hour < 6"))
+    return store.snapshot().read("validation", d.schema).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _log(v: Views) -> DataFrame:

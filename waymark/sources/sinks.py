@@ -1,10 +1,11 @@
-"""Writers of the canonical tables: slices are replaced by dynamic partition overwrite."""
+"""Writers of the canonical tables; parts of them are replaced as new versions (see ``versions``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.schema import TRIPS, WAYPOINTS, conform
+from waymark.sources.versions import Versions
 
 
 def write_table(df: DataFrame, path: str, by: str, sort: tuple[str, ...] = ()) -> None:
@@ -21,17 +22,20 @@ def write_waypoints(waypoints: DataFrame, path: str) -> None:
     write_table(conform(waypoints, WAYPOINTS), path, "source_id", ("vehicle_key", "trip_id", "unix_time_ms"))
 
 
-def replace_source(df: DataFrame, path: str) -> None:
-    """Write a source again: its rows are replaced, as often as it is run."""
-    write_table(df, path, "source_id")
+def replace_source(store: Versions, source_id: str, trips: DataFrame, waypoints: DataFrame) -> int:
+    """Write a source again, as often as it is run: trips and waypoints change together, and a source without rows is gone."""
+    tables = {"trips": ("source_id", conform(trips, TRIPS)), "waypoints": ("source_id", conform(waypoints, WAYPOINTS))}
+    return store.replace(source_id, tables, {"trips": ("vehicle_key", "trip_id"), "waypoints": ("vehicle_key", "trip_id", "unix_time_ms")})
 
 
-def replace_resolution(cells: DataFrame, path: str) -> None:
-    write_table(cells, path, "resolution")
+def replace_resolution(store: Versions, resolution: float, cells: DataFrame) -> int:
+    """Replace the cells of one resolution; without cells it is gone."""
+    return store.replace(resolution, {"density": ("resolution", cells)})
 
 
-def replace_validation_run(rows: DataFrame, path: str) -> None:
-    write_table(rows, path, "run_id")
+def replace_validation_run(store: Versions, run_id: str, rows: DataFrame) -> int:
+    """Replace the rows of one validation run; without rows it is gone."""
+    return store.replace(run_id, {"validation": ("run_id", rows)})
 
 
 def append_ingest_log(rows: DataFrame, path: str) -> None:
