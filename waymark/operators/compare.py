@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.functions import exact
 from waymark.functions.grid import cell_centre, cell_floor
+from waymark.operators.quantiles import aggregate
 
 #: Fixed values of the alignment score.
 TIME_CAP_S, LEAST_KM, BUCKETS = 4 * 3600, 1.0, 10
@@ -27,9 +27,10 @@ def _b(x: Column) -> Column:
 
 
 def fleet_summary(trips: DataFrame, by: str, accuracy: int | None = None) -> DataFrame:
-    """Numbers and distances per fleet; ``accuracy``: see ``exact.median``."""
+    """Numbers and distances per fleet; ``accuracy``: see ``quantiles.aggregate``."""
     d = F.col("distance_km")
-    return trips.groupBy(by).agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_id").alias("vehicles"), F.sum(d).alias("total_km"), F.avg(d).alias("avg_km"), exact.median(d, accuracy).alias("median_km"), F.max(d).alias("max_km"), F.min("starttime").alias("first_start"), F.max("starttime").alias("last_start"))
+    columns = [F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_id").alias("vehicles"), F.sum(d).alias("total_km"), F.avg(d).alias("avg_km"), F.max(d).alias("max_km"), F.min("starttime").alias("first_start"), F.max("starttime").alias("last_start")]
+    return aggregate(trips, [by], columns, {"median_km": (d, 0.5)}, accuracy)
 
 
 def two_proportion_z(x_a: Column, n_a: Column, x_b: Column, n_b: Column) -> Column:
@@ -90,10 +91,11 @@ def matched_full(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.select("vehicle_id", F.coalesce("trips_a", F.lit(0)).alias("trips_a"), F.coalesce("trips_b", F.lit(0)).alias("trips_b"))
 
 
-def matched_delta(both: DataFrame) -> DataFrame:
-    """Persons on both sides, and how their numbers of trips differ over all persons."""
+def matched_delta(both: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Persons on both sides, and how their numbers of trips differ over all persons; ``accuracy``: see ``quantiles.aggregate``."""
     d = person_counts(both).withColumn("delta", F.col("trips_b") - F.col("trips_a"))
-    return d.agg(F.count_if((F.col("trips_a") > 0) & (F.col("trips_b") > 0)).alias("matched"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"), F.percentile(F.abs("delta"), F.lit(0.9)).alias("p90_abs"), F.max(F.abs("delta")).alias("max_abs"))
+    columns = [F.count_if((F.col("trips_a") > 0) & (F.col("trips_b") > 0)).alias("matched"), F.avg("delta").alias("mean_delta"), F.max(F.abs("delta")).alias("max_abs")]
+    return aggregate(d, [], columns, {"median_delta": (F.col("delta"), 0.5), "p90_abs": (F.abs("delta"), 0.9)}, accuracy, both.count())
 
 
 def matched_top(both: DataFrame, n: int = 10) -> DataFrame:
@@ -141,8 +143,9 @@ def person_scores(both: DataFrame) -> DataFrame:
 
 
 def alignment(both: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Persons, pairs, and mean and median of the persons' mean scores; ``accuracy``: see ``exact.median``."""
-    return person_scores(both).agg(F.count(F.lit(1)).alias("persons"), F.sum("pairs").alias("pairs"), F.avg("score").alias("mean"), exact.median(F.col("score"), accuracy).alias("median"))
+    """Persons, pairs, and mean and median of the persons' mean scores; ``accuracy``: see ``quantiles.aggregate``."""
+    columns = [F.count(F.lit(1)).alias("persons"), F.sum("pairs").alias("pairs"), F.avg("score").alias("mean")]
+    return aggregate(person_scores(both), [], columns, {"median": (F.col("score"), 0.5)}, accuracy, both.count())
 
 
 def alignment_hist(both: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions import exact
+from waymark.operators.quantiles import aggregate
 
 #: Scale classes by numbers of agents and waypoints.
 MACRO_AGENTS, MACRO_WAYPOINTS, MICRO_AGENTS, MICRO_WAYPOINTS = 1_000_000, 10_000_000, 10_000, 1_000_000
@@ -23,9 +24,10 @@ def table_stats(trips: DataFrame, waypoints: DataFrame) -> DataFrame:
 
 
 def insights_core(trips: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Number, vehicles and distances of trips; total_vkt_km is the mean times the number, so unknown distances count as the mean.  ``accuracy``: see ``exact.median``."""
+    """Number, vehicles and distances of trips; total_vkt_km is the mean times the number, so unknown distances count as the mean.  ``accuracy``: see ``quantiles.aggregate``."""
     d = F.col("distance_km")
-    return trips.agg(F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_key").alias("vehicles"), F.avg(d).alias("avg_km"), exact.median(d, accuracy).alias("median_km"), F.max(d).alias("max_km"), F.stddev_samp(d).alias("std_km"), (F.avg(d) * F.count(F.lit(1))).alias("total_vkt_km"))
+    columns = [F.count(F.lit(1)).alias("trips"), F.countDistinct("vehicle_key").alias("vehicles"), F.avg(d).alias("avg_km"), F.max(d).alias("max_km"), F.stddev_samp(d).alias("std_km"), (F.avg(d) * F.count(F.lit(1))).alias("total_vkt_km")]
+    return aggregate(trips, [], columns, {"median_km": (d, 0.5)}, accuracy)
 
 
 def insights_fleet(trips: DataFrame) -> DataFrame:
@@ -51,7 +53,8 @@ def insights_offpeak(trips: DataFrame) -> DataFrame:
 
 def insights_fare(trips: DataFrame, accuracy: int | None = None) -> DataFrame:
     fare, night = F.col("fare_yen"), F.col("is_night_trip")
-    return trips.where(fare.isNotNull()).agg(F.avg(fare).alias("avg_fare"), exact.median(fare, accuracy).alias("median_fare"), F.max(fare).alias("max_fare"), F.avg(F.when(night, fare)).alias("night_fare"), F.avg(F.when(~night, fare)).alias("day_fare"), (100.0 * F.count_if(night) / F.count(F.lit(1))).alias("night_pct"))
+    columns = [F.avg(fare).alias("avg_fare"), F.max(fare).alias("max_fare"), F.avg(F.when(night, fare)).alias("night_fare"), F.avg(F.when(~night, fare)).alias("day_fare"), (100.0 * F.count_if(night) / F.count(F.lit(1))).alias("night_pct")]
+    return aggregate(trips.where(fare.isNotNull()), [], columns, {"median_fare": (fare, 0.5)}, accuracy)
 
 
 def insights_modes(trips: DataFrame) -> DataFrame:
