@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.characters import LETTER, NUMBER, SPACE, bracket, known, lowered
+from waymark.llm.characters import LETTER, NUMBER, SPACE, Odd, bracket, known, lowered
 
 #: Words kept with their ids between batches of a task; beyond, the table starts anew.
 KEPT_WORDS = 400_000
@@ -36,7 +37,8 @@ class WordBpe:
 
     What is a letter, number or blank, and how it is lower-cased, is the
     library's: ``characters`` is what ``known`` has found for the file.  Texts
-    with code points that Python treats otherwise are normalized by the library.
+    with code points that Python or the regex module treats otherwise are
+    normalized by the library and split by its classes.
     """
 
     def __init__(self, path: str, characters: tuple | None = None):
@@ -61,10 +63,11 @@ class WordBpe:
         self.place = np.argsort(order)  # of a rank among the sorted keys
         classes, odd = characters or known(path)
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.plain = regex.compile(pattern)
         for mark, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):  # all within brackets
             pattern = pattern.replace(mark, bracket(classes, kind))
         self.split = re.compile(pattern)
-        self.odd, self.path, self.library = re.compile(f"[{odd}]"), path, None
+        self.odd, self.path, self.library = Odd(odd), path, None
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @staticmethod
@@ -88,8 +91,8 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
-            return self.split.findall(text.lower())
-        return self.split.findall(self._normalized(text) if self.odd.search(text) else lowered(text))
+            return self.plain.findall(text.lower())
+        return self.split.findall(self._normalized(text)) if self.odd.in_(text) else self.plain.findall(lowered(text))
 
     def _normalized(self, text: str) -> str:
         if self.library is None:

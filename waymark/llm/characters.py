@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
+import regex
 
 #: Classes of characters: letters, numbers, white space, others.
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -61,17 +63,42 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def unlike(tokenizer) -> str:
-    """The inside of a bracket expression for code points that Python does not know, or that the library's normalizer changes to something else, alone or among accents above and below."""
-    points = [c for c in map(chr, _ALL) if c != SEPARATOR and unicodedata.category(c) != "Cn"]
+def unlike(tokenizer, rows: np.ndarray) -> np.ndarray:
+    """First and last of the ranges of code points that Python and the library may take for something else.
+
+    These are the ones that Python does not know, that the library's normalizer
+    changes to something else (alone or among accents above and below), and whose
+    class is another one in the regex module.
+    """
+    known_ = [c for c in map(chr, _ALL) if c != SEPARATOR and unicodedata.category(c) != "Cn"]
     odd = np.zeros(0x110000, bool)
     odd[[ord(c) for c in map(chr, _ALL) if unicodedata.category(c) == "Cn"]] = True
     for probe in ("{0}", "{0}\u0301{0}\u0323{0}"):
-        texts = [probe.format(c) for c in points if not c.isspace()]
+        texts = [probe.format(c) for c in known_ if not c.isspace()]
         theirs = tokenizer.normalizer.normalize_str(SEPARATOR.join(texts)).split(SEPARATOR)
         odd[[ord(x[0]) for x, t in zip(texts, theirs) if t != lowered(x)]] = True
+    here = np.full(0x110000, OTHER, np.uint8)
+    for kind, mark in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        here[[ord(c) for c in regex.findall(mark, "".join(map(chr, _ALL)))]] = kind
+    odd |= here != table(rows)
+    odd[0xD800:0xE000] = False
     edges = np.flatnonzero(np.diff(np.concatenate([[False], odd, [False]]).astype(np.int8)))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
+    return np.stack([edges[::2], edges[1::2] - 1], 1)
+
+
+class Odd:
+    """Whether a text has a code point of some ranges: a quick look first, which takes every one beyond U+FFFF for one."""
+
+    def __init__(self, ranges: np.ndarray):
+        low = "".join(f"\\u{a:04x}-\\u{min(b, 0xFFFF):04x}" for a, b in ranges if a < 0x10000)
+        self.quick = re.compile(f"[{low}\\U00010000-\\U0010ffff]")
+        steps = np.zeros(0x110001, np.int8)
+        steps[ranges[:, 0]] += 1
+        steps[ranges[:, 1] + 1] -= 1
+        self.table = np.cumsum(steps[:-1]) > 0
+
+    def in_(self, text: str) -> bool:
+        return bool(self.quick.search(text)) and bool(self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
 
 def known(path: str) -> tuple:
@@ -80,5 +107,6 @@ def known(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _found[path] = (classes(tokenizer), unlike(tokenizer) if tokenizer.normalizer else "")
+        rows = classes(tokenizer)
+        _found[path] = (rows, unlike(tokenizer, rows) if tokenizer.normalizer else np.zeros((0, 2), np.int64))
     return _found[path]
