@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions.draw import drawn
+from waymark.operators.cover import cover, in_cover
 from waymark.operators.filters import zone_overlaps
 
 KM = 111.32
@@ -60,21 +61,24 @@ def inside(rings: Column, lon: Column, lat: Column, hole_rims: bool = False) ->
 def contains(points: DataFrame, zones: DataFrame, mode: str = "exact", cell: float = 0.1, hole_rims: bool = False) -> DataFrame:
     """Points (with lon, lat) and the zones that hold them.
 
-    Zones are dealt to the grid cells of their bounds, points to their own cell,
-    and the two meet by cell; then the bounds decide, or with ``exact`` the rings
-    (edges as in ``inside``).
+    With ``bbox`` the bounds decide: zones are dealt to the grid cells of their
+    bounds, points to their own cell, and the two meet by cell.  With ``exact``
+    the rings decide, edges as in ``inside``: zones become a cover of cells (see
+    ``cover``), so that most points are told by their cell alone, and the others
+    look at the few edges there.
     """
-    z = zones.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / cell), F.floor(F.col("max_lon") / cell))))
-    z = z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell))))
-    z = z.select("zone_id", F.col("name").alias("zone_name"), "rings", "min_lon", "min_lat", "max_lon", "max_lat", "_cx", "_cy")
-    p = points.withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
     hit = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    d = p.join(z, ["_cx", "_cy"]).where(hit)
+    bounds = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    named = zones.select("zone_id", F.col("name").alias("zone_name"), *bounds)
     if mode == "exact":
-        d = d.where(inside(F.col("rings"), F.col("lon"), F.col("lat"), hole_rims))
-    elif mode != "bbox":
+        found = in_cover(points, cover(zones, cell), cell, hole_rims).join(named, "zone_id").where(hit)
+        return found.select(*points.columns, "zone_id", "zone_name")
+    if mode != "bbox":
         raise ValueError(f"unknown mode: {mode}")
-    return d.drop("_cx", "_cy", "rings", "min_lon", "min_lat", "max_lon", "max_lat")
+    z = named.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / cell), F.floor(F.col("max_lon") / cell))))
+    z = z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell))))
+    p = points.withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
+    return p.join(z, ["_cx", "_cy"]).where(hit).drop("_cx", "_cy", *bounds)
 
 
 def list_pois(pois: DataFrame, predicate: Column, limit: int = 1000) -> DataFrame:
