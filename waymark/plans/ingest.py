@@ -322,6 +322,12 @@ def _(v):
     return _source_counts(v.spark.read.parquet(path))
 
 
+@query("write_by_place", "SELECT vehicle_key, trip_id, unix_time_ms, lon, lat FROM waypoints WHERE lon BETWEEN 139.9e0 AND 140.1e0 AND lat BETWEEN 35.6e0 AND 35.8e0", "lon lat")
+def _(v):
+    sinks.write_by_place(v.waypoints, path := scratch(v, "by-place"))
+    return sinks.read_box(v.spark, path, (139.9, 35.6, 140.1, 35.8)).select(*PAIR, "unix_time_ms", "lon", "lat")
+
+
 @query("replace_source", _COUNTS.format("(SELECT * FROM trips WHERE source_id = 'fleet_b' OR dep_hour < 12)"))
 def _(v):
     store = Versions(v.spark, scratch(v, "replaced"))

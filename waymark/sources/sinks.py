@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from waymark.functions.curve import in_ranges, place_key
+from waymark.operators.filters import in_box
 from waymark.schema import TRIPS, WAYPOINTS, conform
 from waymark.sources.versions import Versions
 
@@ -22,6 +24,26 @@ def write_waypoints(waypoints: DataFrame, path: str) -> None:
     write_table(conform(waypoints, WAYPOINTS), path, "source_id", ("vehicle_key", "trip_id", "unix_time_ms"))
 
 
+def write_by_place(waypoints: DataFrame, path: str, files: int | None = None, rows: int = 5_000_000) -> None:
+    """Write waypoints sorted along a space-filling curve (column ``place``), for questions about boxes: see ``read_box``.
+
+    Rows are dealt to files by ranges of the curve, about ``rows`` to a file
+    (or as many ``files``), so that a crowded place is spread over several.
+    """
+    d = conform(waypoints, WAYPOINTS).withColumn("place", place_key(F.col("lon"), F.col("lat")))
+    n = files or 1 + waypoints.count() // rows
+    d.repartitionByRange(n, "place", "vehicle_key", "trip_id").sortWithinPartitions("place", "vehicle_key", "trip_id", "unix_time_ms").write.mode("overwrite").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """The waypoints of ``write_by_place`` that are in a box (west, south, east, north).
+
+    Ranges of the curve leave out row groups of other places by their
+    statistics; the box itself decides.
+    """
+    return spark.read.parquet(path).where(in_ranges(F.col("place"), box) & in_box(box)).drop("place")
+
+
 def replace_source(store: Versions, source_id: str, trips: DataFrame, waypoints: DataFrame) -> int:
     """Write a source again, as often as it is run: trips and waypoints change together, and a source without rows is gone."""
     tables = {"trips": ("source_id", conform(trips, TRIPS)), "waypoints": ("source_id", conform(waypoints, WAYPOINTS))}
