@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from waymark.functions.clock import parse_time_ms
 from waymark.functions.geo import haversine_m
+from waymark.shared import saved
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 STAGED = ("_lon", "_lat", "_time_ms", "_seq", "_feature_id", "_trk_name", "_props_json")
@@ -27,8 +28,38 @@ def scan_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.col("value").alias("_props_json")).select("r.*", "_props_json")
 
 
-def _features(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """Features of a collection (one document per file) or one feature per line (which files are split by)."""
+#: Where a collection read in parts is cut: the type of a feature, which comes first in it.
+FEATURE = '"Feature"'
+
+
+def _feature_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Features of collections, each file read by as many tasks as it has splits.
+
+    Files are cut at the type of each feature, which has to be its first member;
+    of a part, the one feature that it starts with is read.  What is cut
+    otherwise (a type that comes later, or the same word within a property)
+    fails.  Features are numbered as they stand in their file: by their number
+    in a split, and the features of the splits before it.
+    """
+    d = spark.read.option("lineSep", FEATURE).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    d = saved(d, "feature-parts")
+    blocks = d.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = d.join(F.broadcast(blocks.withColumn("before", before)), ["file", "block"])  # a row per split
+    at = F.col("before") + F.col("id") - F.col("first")  # 0: what comes before the first feature
+    text = F.concat(F.lit('{"type":"Feature"'), F.col("value"))
+    # what comes before a feature's type is its opening brace alone; the last part ends the file
+    clean = F.col("value").rlike(r'(\{\s*"type"\s*:|\})\s*$') & ((at == 0) | F.get_json_object(text, "$").isNotNull())
+    failed = F.raise_error(F.concat(F.lit("not a feature that begins with its type: "), F.substring(text, 1, 80)))
+    # both columns fail, so that no filter on one of them passes over a part that is none
+    number, feature = F.when(clean, at - 1).otherwise(failed.cast("long")), F.when(clean, text).otherwise(failed)
+    return placed.select(number.cast("int").alias("_seq"), feature.alias("feature")).where("_seq >= 0")
+
+
+def _features(spark: SparkSession, path: str, multiline: bool | str) -> DataFrame:
+    """Features of a collection (one document per file, or with ``"split"`` in parts) or one feature per line (which files are split by)."""
+    if multiline == "split":
+        return _feature_parts(spark, path)
     if multiline:
         docs = spark.read.text(path, wholetext=True)
         found = F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>"))
@@ -36,18 +67,18 @@ def _features(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("feature"))
 
 
-def _geo(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+def _geo(spark: SparkSession, path: str, multiline: bool | str) -> DataFrame:
     j = lambda p: F.get_json_object("feature", p)
     return _features(spark, path, multiline).select("_seq", j("$.geometry.type").alias("geometry_type"), j("$.geometry.coordinates").alias("coordinates"), j("$.properties").alias("_props_json"), F.coalesce(j("$.id"), F.col("_seq").cast("string")).alias("_feature_id"))
 
 
-def scan_geojson_points(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def scan_geojson_points(spark: SparkSession, path: str, multiline: bool | str = True) -> DataFrame:
     """A row per Point feature; its time is the property ``time``."""
     d = _geo(spark, path, multiline).where("geometry_type = 'Point'").withColumn("c", F.from_json("coordinates", "array<double>"))
     return d.select(F.get("c", F.lit(0)).alias("_lon"), F.get("c", F.lit(1)).alias("_lat"), parse_time_ms(F.get_json_object("_props_json", "$.time")).alias("_time_ms"), "_seq", "_feature_id", "_props_json")
 
 
-def scan_geojson_lines(spark: SparkSession, path: str, multiline: bool = True, times: str = "coordTimes") -> DataFrame:
+def scan_geojson_lines(spark: SparkSession, path: str, multiline: bool | str = True, times: str = "coordTimes") -> DataFrame:
     """A row per coordinate of each LineString; time from the list of times, else the feature's, else null."""
     d = _geo(spark, path, multiline).where("geometry_type = 'LineString'")
     d = d.select("*", F.from_json(F.get_json_object("_props_json", f"$.{times}"), "array<string>").alias("ts"), F.posexplode(F.from_json("coordinates", "array<array<double>>")).alias("pos", "c"))
@@ -55,7 +86,7 @@ def scan_geojson_lines(spark: SparkSession, path: str, multiline: bool = True, t
     return d.select(F.get("c", F.lit(0)).alias("_lon"), F.get("c", F.lit(1)).alias("_lat"), parse_time_ms(at).alias("_time_ms"), F.col("pos").alias("_seq"), "_feature_id", "_props_json")
 
 
-def scan_zones_geojson(spark: SparkSession, path: str, source_key: str, multiline: bool = True) -> DataFrame:
+def scan_zones_geojson(spark: SparkSession, path: str, source_key: str, multiline: bool | str = True) -> DataFrame:
     """Polygons and multipolygons as zones with rings and bounds; other geometries fail."""
     d = _geo(spark, path, multiline)
     good = F.col("geometry_type").isin("Polygon", "MultiPolygon")
@@ -147,7 +178,7 @@ def _tidy(ring: Column) -> Column:
     return F.when((n > 1) & (F.get(kept, n - 1) == F.get(kept, F.lit(0))), F.slice(kept, 1, n - 1)).otherwise(kept)
 
 
-def scan_building_footprints(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def scan_building_footprints(spark: SparkSession, path: str, multiline: bool | str = True) -> DataFrame:
     """Outer rings of footprints with three vertices or more, and heights: the first number before ``;``, 8 m if there is none above 0.5."""
     d = _geo(spark, path, multiline).where("geometry_type = 'Polygon'")
     found = F.coalesce(*[F.trim(F.get(F.split(F.get_json_object("_props_json", f"$['{h}']"), ";"), F.lit(0))).try_cast("double") for h in HEIGHTS])
