@@ -163,7 +163,7 @@ def route_similarity(waypoints: DataFrame, link: str = "link_id", eps: float = 0
     are found exactly, or with ``bands`` (a number of bands and of hashes in
     each) by min-hashes, which may miss some: see ``banded_pairs``.
     """
-    per = link_sets(waypoints, link).groupBy(*PAIR).agg(F.sort_array(F.collect_set("link_id")).alias("links"))
+    per = waypoints.where(F.col(link).isNotNull() & (F.col(link) != "")).groupBy(*PAIR).agg(F.sort_array(F.collect_set(link)).alias("links"))
     trips = saved(per.withColumn("id", pair_id() if id is None else id), "route-trips")
     sets = saved(trips.groupBy("links").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "route-sets")
     pairs = set_pairs(sets, eps) if bands is None else banded_pairs(sets, eps, *bands)
