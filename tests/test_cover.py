@@ -67,3 +67,17 @@ def test_no_zones_no_points(spark, many):
     z, p = spark.createDataFrame(many[:2], ZONE), spark.createDataFrame([(1, 0.6, 0.1)], "i long, lon double, lat double")
     assert cover.in_cover(p, cover.cover(z.where("false")), 0.1).count() == 0
     assert cover.in_cover(p.where("false"), cover.cover(z), 0.1).count() == 0
+
+
+@pytest.mark.parametrize("size,edges,rims", [(0.1, 32, False), (0.37, 8, True)])
+def test_counts_are_those_of_points_one_by_one(spark, many, places, monkeypatch, size, edges, rims):
+    monkeypatch.setattr(cover, "EDGES", edges)
+    covered = cover.cover(spark.createDataFrame(many, ZONE), size)
+    p = spark.createDataFrame(places, "i long, lon double, lat double").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("i") % 3)))
+    want = cover.in_cover(p, covered, size, rims).groupBy("zone_id").count().collect()
+    assert sorted(map(tuple, cover.count_in_cover(p, covered, size, rims).collect())) == sorted(map(tuple, want))
+    # many points of one place meet the zones as one
+    crowd = spark.range(100_000).select(F.lit(0.6).alias("lon"), F.lit(0.1).alias("lat"))
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(cover, "_by_cell", lambda d, c, s, f=cover._by_cell: (seen.add(d.count()), f(d, c, s))[1])
+    assert (1, 100_000) in set(map(tuple, cover.count_in_cover(crowd, covered, size, rims).collect())) and seen.value == 1

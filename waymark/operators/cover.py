@@ -155,10 +155,28 @@ def holds(lon: Column, lat: Column, hole_rims: bool = False) -> Column:
     return F.col("inner") | F.exists("polys", within)
 
 
-def in_cover(points: DataFrame, covered: DataFrame, size: float, hole_rims: bool = False) -> DataFrame:
-    """Points (with lon, lat) beside the zone_id of every zone that holds them."""
+def _by_cell(points: DataFrame, covered: DataFrame, size: float) -> DataFrame:
+    """Points (with lon, lat) with their cell ``_cell`` of every level that the cover has."""
     levels = sorted(r["level"] for r in covered.select("level").distinct().collect())  # DEEPEST + 1 at most
     cell = lambda n: F.struct(F.lit(n).alias("level"), F.floor(F.col("lon") / (size / 2**n)).alias("cx"), F.floor(F.col("lat") / (size / 2**n)).alias("cy"))
-    p = points.withColumn("_cell", F.explode(F.array(*[cell(n) for n in levels]))) if levels else points.where("false").withColumn("_cell", cell(0))
+    return points.withColumn("_cell", F.explode(F.array(*[cell(n) for n in levels]))) if levels else points.where("false").withColumn("_cell", cell(0))
+
+
+def in_cover(points: DataFrame, covered: DataFrame, size: float, hole_rims: bool = False) -> DataFrame:
+    """Points (with lon, lat) beside the zone_id of every zone that holds them."""
+    c = covered.select(F.struct("level", "cx", "cy").alias("_cell"), "zone_id", "inner", "polys")
+    return _by_cell(points, covered, size).join(c, "_cell").where(holds(F.col("lon"), F.col("lat"), hole_rims)).drop("_cell", "inner", "polys")
+
+
+def count_in_cover(points: DataFrame, covered: DataFrame, size: float, hole_rims: bool = False) -> DataFrame:
+    """zone_id and n, the number of points (with lon, lat) that each zone holds, of zones that hold any.
+
+    As many as ``in_cover`` gives rows, but no point meets its zones one by one:
+    an inner cell adds its points as a number, and in a border cell each place
+    is looked at once, however many points are there.
+    """
+    places = _by_cell(saved(points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")), "places"), covered, size)
     c = covered.select(F.struct("level", "cx", "cy").alias("_cell"), "zone_id", "inner", "polys")
-    return p.join(c, "_cell").where(holds(F.col("lon"), F.col("lat"), hole_rims)).drop("_cell", "inner", "polys")
+    whole = places.groupBy("_cell").agg(F.sum("n").alias("n")).join(c.where("inner"), "_cell").select("zone_id", "n")
+    border = places.join(c.where("not inner"), "_cell").where(holds(F.col("lon"), F.col("lat"), hole_rims)).select("zone_id", "n")
+    return whole.unionByName(border).groupBy("zone_id").agg(F.sum("n").alias("n"))

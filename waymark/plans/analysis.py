@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from waymark.functions.classes import poi_class, speed_class
 from waymark.functions.draw import drawn_sql
 from waymark.operators import chains, compare, density, mining, profile, spatial, stats, temporal, zones
-from waymark.operators.cover import cover, in_cover
+from waymark.operators.cover import count_in_cover, cover
 from waymark.operators.derive import with_trip_ids
 from waymark.operators.filters import PAIR, TripFilter, entering, vehicle_prefix
 from waymark.plans.registry import query
@@ -534,7 +534,7 @@ def _(v):
     corner = lambda i, j: F.struct((x + i * 0.0437).alias("lon"), (y + j * 0.0291).alias("lat"))
     diamonds = v.pois.select(F.col("poi_id").alias("zone_id"), F.array(F.array(F.array(corner(-1, 0), corner(0, -1), corner(1, 0), corner(0, 1)))).alias("rings"))
     starts = v.trips.select("trip_id", F.col("start_lon").alias("lon"), F.col("start_lat").alias("lat"))
-    return in_cover(starts, cover(diamonds, 0.02), 0.02).groupBy("zone_id").agg(F.count(F.lit(1)).alias("trips"))
+    return count_in_cover(starts, cover(diamonds, 0.02), 0.02).withColumnRenamed("n", "trips")
 
 
 @query("zone_contains_exact", """SELECT poi_id, zone_id FROM pois JOIN zones ON lon > min_lon AND lon < max_lon AND lat > min_lat AND lat < max_lat
