@@ -599,14 +599,16 @@ def _(v):
     return zones.building_sample(zones.building_synthesize(_centroids(v)), 500).select("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "height_m")
 
 
-def _profile_sql(c: str, role: str | None, trip_role: str | None, kind: str, time: str | None) -> str:
-    """What is known of a column of the trips: all text, or all numbers, or nothing."""
+def _profile_sql(c: str, role: str | None, trip_role: str | None) -> str:
+    """What is known of a column of the trips by its text, its name's roles given."""
     text = lambda x: f"'{x}'" if x else "NULL::VARCHAR"
-    number = f"{c}::DOUBLE" if kind != "string" else "NULL::DOUBLE"
-    return f"SELECT '{c}' AS column, count({c}) AS filled, count({number}) AS numbers, 0::BIGINT AS iso, min({number}) AS low, max({number}) AS high, {text(role)} AS role, {text(trip_role)} AS trip_role, {text(kind)} AS type_class, {text(time)} AS time_kind FROM trips"
+    return f"""SELECT *, CASE WHEN filled = 0 THEN 'empty' WHEN numbers = filled THEN 'number' WHEN numbers = 0 THEN 'string' ELSE 'mixed' END AS type_class,
+ CASE WHEN filled = 0 THEN NULL WHEN 2 * iso >= filled THEN 'iso' WHEN 2 * numbers < filled THEN NULL WHEN low >= 1e11 THEN 'epoch_ms' WHEN low >= 1e8 THEN 'epoch_s' WHEN low >= 0 AND high < 172800 THEN 'day_seconds' END AS time_kind FROM (
+ SELECT '{c}' AS column, count(s) AS filled, count(x) AS numbers, count(*) FILTER (regexp_matches(s, '{profile.ISO}')) AS iso, min(x) AS low, max(x) AS high, {text(role)} AS role, {text(trip_role)} AS trip_role
+ FROM (SELECT s, TRY_CAST(s AS DOUBLE) AS x FROM (SELECT {c}::VARCHAR AS s FROM trips)))"""
 
 
-_PROFILE = (("vehicle_id", "vehicle", None, "number", "day_seconds"), ("starttime", None, "starttime", "number", "day_seconds"), ("start_lon", None, "start_lon", "number", "day_seconds"), ("mode", "mode", None, "string", None), ("leg_id", None, None, "empty", None))
+_PROFILE = (("vehicle_id", "vehicle", None), ("starttime", None, "starttime"), ("start_lon", None, "start_lon"), ("mode", "mode", None), ("leg_id", None, None))
 
 
 @query("profile_columns", " UNION ALL ".join(_profile_sql(*x) for x in _PROFILE), "low high")
