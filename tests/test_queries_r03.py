@@ -1,8 +1,10 @@
 """Queries at sizes and ties that the supplied tables do not show."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from waymark.plans import joins
+from waymark.operators import derive, profile
+from waymark.plans import analysis, joins
 
 
 def test_sum_of_times_beyond_a_long(spark):
@@ -11,3 +13,28 @@ def test_sum_of_times_beyond_a_long(spark):
     few = joins._points(w.where("id < 1"))
     assert tuple(few.first()) == (1, 1, 2**62) and dict(few.dtypes)["ms"] == "bigint"
     assert tuple(joins._points(w.where("false")).first()) == (0, 0, None)
+
+
+def test_profile_sql_states_the_rule_of_the_kind_of_time(spark):
+    # numbers beyond two days are no seconds of a day, at whatever size of the tables
+    for ids in ([5, 200_000], [5, 7], [200_000_000, 300_000_000], [200_000_000_000], [None]):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE trips (vehicle_id BIGINT)")
+        con.executemany("INSERT INTO trips VALUES (?)", [[i] for i in ids])
+        got = profile.profile_columns(spark.createDataFrame([(i,) for i in ids], "vehicle_id long")).drop("sample")
+        rows = con.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in got.columns)} FROM ({analysis._profile_sql('vehicle_id', 'vehicle', None)})").fetchall()
+        assert [tuple(r) for r in got.collect()] == rows
+
+
+WAYPOINTS = "vehicle_key string, trip_id long, link_id string, unix_time_ms long, seq int, lon double, lat double"
+TIED = [("v", 1, "L2", 1000, 1, 139.5, 35.5), ("v", 1, "L1", 1000, 1, 139.5, 35.5), ("v", 1, "L4", 9000, 2, 139.6, 35.5), ("v", 1, "L3", 9000, 2, 139.6, 35.5)]
+
+
+def tied(spark, rows):
+    return spark.createDataFrame(rows, WAYPOINTS).coalesce(1)
+
+
+def test_segments_of_waypoints_of_one_time(spark):
+    for rows in (TIED, TIED[::-1]):
+        got = derive.segments(tied(spark, rows)).orderBy("unix_time_ms", "link_id").select("link_id", "speed_kmh").collect()
+        assert [(r.link_id, r.speed_kmh is None) for r in got] == [("L2", True), ("L3", False), ("L4", True)]
