@@ -3,7 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from waymark.operators import derive, profile
+from waymark.functions.exact import mean_of_millionths
+from waymark.operators import derive, profile, trajectories
 from waymark.plans import analysis, joins
 
 
@@ -38,3 +39,12 @@ def test_segments_of_waypoints_of_one_time(spark):
     for rows in (TIED, TIED[::-1]):
         got = derive.segments(tied(spark, rows)).orderBy("unix_time_ms", "link_id").select("link_id", "speed_kmh").collect()
         assert [(r.link_id, r.speed_kmh is None) for r in got] == [("L2", True), ("L3", False), ("L4", True)]
+
+
+def test_mean_speed_is_exact(spark):
+    # a double sum in this order loses the 0.3
+    rows = spark.createDataFrame([(1, 1e17 / 1e6), (1, 0.3), (1, 0.000001), (2, None)], "k int, x double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(mean_of_millionths(F.col("x")).alias("m")).collect()}
+    assert got == {1: (2 * (10**17 + 300_001) + 3) // 6 / 1e6, 2: None}
+    detail = trajectories.trajectory_detail(tied(spark, TIED)).collect()
+    assert detail == trajectories.trajectory_detail(tied(spark, TIED[::-1])).collect() and detail[0].links == 3
