@@ -48,3 +48,8 @@ def test_mean_speed_is_exact(spark):
     assert got == {1: (2 * (10**17 + 300_001) + 3) // 6 / 1e6, 2: None}
     detail = trajectories.trajectory_detail(tied(spark, TIED)).collect()
     assert detail == trajectories.trajectory_detail(tied(spark, TIED[::-1])).collect() and detail[0].links == 3
+
+
+def test_top_links_of_waypoints_of_one_time(spark):
+    for rows in (TIED, TIED[::-1]):
+        assert [r.link_id for r in trajectories.top_links(tied(spark, rows)).orderBy("rank").collect()] == ["L2", "L3", "L4"]
