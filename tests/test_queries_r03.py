@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from waymark.functions.exact import mean_of_millionths
-from waymark.operators import derive, profile, trajectories
+from waymark.operators import derive, mining, profile, trajectories
 from waymark.plans import analysis, joins
 
 
@@ -53,3 +53,14 @@ def test_mean_speed_is_exact(spark):
 def test_top_links_of_waypoints_of_one_time(spark):
     for rows in (TIED, TIED[::-1]):
         assert [r.link_id for r in trajectories.top_links(tied(spark, rows)).orderBy("rank").collect()] == ["L2", "L3", "L4"]
+
+
+def test_route_clusters_of_long_chains(spark):
+    # each trip shares half of its links with the next one: one cluster, 300 steps long
+    con = duckdb.connect()
+    con.execute("CREATE TABLE waypoints AS SELECT 'v' AS vehicle_key, i AS trip_id, 'L' || (i + k) AS fine_link_id FROM range(300) a(i), range(3) b(k) UNION ALL SELECT 'v', 1000, 'M'")
+    w = spark.createDataFrame(con.execute("SELECT * FROM waypoints").fetchall(), "vehicle_key string, trip_id long, fine_link_id string")
+    rows = sorted(con.execute(f"SELECT trip_id, cluster FROM ({analysis._ROUTE_CLUSTERS})").fetchall())
+    assert rows == [*((i, 0) for i in range(300)), (1000, None)]
+    got = mining.route_similarity(w, "fine_link_id", 0.5, 2, F.col("trip_id")).select("trip_id", "cluster")
+    assert sorted(map(tuple, got.collect())) == rows

@@ -517,7 +517,14 @@ c AS (SELECT x.trip_id AS a, y.trip_id AS b, count(*) AS c FROM s x JOIN s y ON
 near AS (SELECT a, b FROM c JOIN n x ON a = x.trip_id JOIN n y ON b = y.trip_id WHERE round(1 - c / (x.n + y.n - c)::DOUBLE, 12) <= 0.5)"""
 
 
-@query("route_similarity", f"SELECT vehicle_key, trip_id, cluster FROM ({_clusters(_ROUTES, '(SELECT DISTINCT vehicle_key, trip_id FROM waypoints)', 2)})")
+#: SQL for density clusters of routes (as ``_clusters``, of trips with 2 at least): labels spread until none gets smaller, however long the chains are.
+_ROUTE_CLUSTERS = f"""WITH RECURSIVE {_ROUTES}, core AS (SELECT DISTINCT a AS node FROM near),
+label(node, label) USING KEY (node) AS (SELECT node, node FROM core UNION
+ SELECT near.a, min(label.label) FROM label JOIN near ON label.node = near.b JOIN recurring.label AS own ON own.node = near.a GROUP BY near.a, own.label HAVING min(label.label) < own.label)
+SELECT i.*, label.label AS cluster FROM (SELECT DISTINCT vehicle_key, trip_id FROM waypoints) i LEFT JOIN label ON i.trip_id = label.node"""
+
+
+@query("route_similarity", f"SELECT vehicle_key, trip_id, cluster FROM ({_ROUTE_CLUSTERS})")
 def _(v):
     return mining.route_similarity(v.waypoints, "fine_link_id", 0.5, 2, F.col("trip_id"))
 
