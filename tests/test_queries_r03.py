@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.exact import mean_of_millionths
 from waymark.operators import derive, mining, profile, trajectories
-from waymark.plans import analysis, joins
+from waymark.plans import analysis, joins, views
 
 
 def test_sum_of_times_beyond_a_long(spark):
@@ -64,3 +64,13 @@ def test_route_clusters_of_long_chains(spark):
     assert rows == [*((i, 0) for i in range(300)), (1000, None)]
     got = mining.route_similarity(w, "fine_link_id", 0.5, 2, F.col("trip_id")).select("trip_id", "cluster")
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_large_joins_are_dealt_by_rows(spark, monkeypatch):
+    small = views.Views(spark, "/root/testdata/sf0.001").waypoints
+    assert small.count() == 6000
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    rows = v.waypoints.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 12 and max(r["count"] for r in rows) < 1500
+    assert v.waypoints.exceptAll(small).count() == 0 and v.waypoints.count() == 6000
