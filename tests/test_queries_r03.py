@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.exact import mean_of_millionths
 from waymark.operators import derive, mining, profile, trajectories
-from waymark.plans import analysis, joins, views
+from waymark.plans import analysis, ingest, joins, registry, views
 
 
 def test_sum_of_times_beyond_a_long(spark):
@@ -74,3 +74,12 @@ def test_large_joins_are_dealt_by_rows(spark, monkeypatch):
     rows = v.waypoints.groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) == 12 and max(r["count"] for r in rows) < 1500
     assert v.waypoints.exceptAll(small).count() == 0 and v.waypoints.count() == 6000
+
+
+def test_agent_events_are_dealt_by_rows(spark, monkeypatch):
+    run = registry.queries()["scan_agent_events_xml"]
+    want = sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(ingest, "TASK_ROWS", 500)
+    got = run(spark, "/root/testdata/sf0.001")
+    assert ingest._parts(views.Views(spark, "/root/testdata/sf0.001"), 3) == 9 and got.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, got.collect())) == want

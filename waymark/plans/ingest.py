@@ -9,7 +9,7 @@ from waymark.functions.draw import drawn_sql
 from waymark.functions.modes import mode_code, mode_label
 from waymark.operators import derive, profile, spatial, stats
 from waymark.plans.registry import query
-from waymark.plans.views import Views
+from waymark.plans.views import TASK_ROWS, Views
 from waymark.schema import TRIPS, WAYPOINTS
 from waymark.shared import shared_path
 from waymark.sources import files, mapping, sinks
@@ -138,10 +138,18 @@ def _(v):
     return every.join(last, "source", "left")
 
 
+def _parts(v: Views, per_trip: int) -> int | None:
+    """Partitions of TASK_ROWS rows at most for so many rows a trip; none if the session's are as many."""
+    n = -(-per_trip * v.table("orders").count() // TASK_ROWS)
+    return n if n > int(v.spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def _event_files(v: Views) -> tuple[str, str]:
     """Trips as departures and arrivals on links between grid nodes, over all days; a trip within three minutes of the one before is left out."""
     start = F.col("simulation_day") * 86400 + F.col("starttime")
     t = v.trips.select("trip_id", start.alias("starttime"), "vehicle_key", F.concat(F.lit("l"), (F.col("trip_id") % 50).cast("string")).alias("l0"), F.concat(F.lit("l"), (F.col("trip_id") * 7 % 50).cast("string")).alias("l1"))
+    n = _parts(v, 1)
+    t = t if n is None else t.repartition(n, "vehicle_key")
     before = F.lag("starttime").over(Window.partitionBy("vehicle_key").orderBy("starttime", "trip_id"))
     t = t.withColumn("gap", F.col("starttime") - before).where("gap IS NULL OR gap >= 180")
     line = lambda time, kind, link: F.struct(time.cast("double").alias("_time"), F.lit(kind).alias("_type"), F.col("vehicle_key").alias("_person"), link.alias("_link"), F.lit("car").alias("_legMode"))
@@ -162,14 +170,14 @@ t AS (SELECT *, row_number() OVER (PARTITION BY vehicle_key ORDER BY s) AS n FRO
 @query("scan_agent_events_xml", f"""{_EVENT_TRIPS}
 SELECT n AS trip_id, vehicle_key AS person_id, s AS start_time_sec, 139.5e0 + (t.trip_id % 50 + 0.5e0) / 1e2 AS start_lon, 35.5e0 + (t.trip_id * 7 % 50 + 0.5e0) / 2e2 AS end_lat, 'car' AS mode FROM t""", "start_lon end_lat")
 def _(v):
-    trips, _pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000)
+    trips, _pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000, _parts(v, 3))
     return trips.select("trip_id", "person_id", "start_time_sec", "start_lon", "end_lat", "mode")
 
 
 @query("scan_agent_pings", f"""{_EVENT_TRIPS}
 SELECT vehicle_key AS person_id, n AS trip_id, (1601478000 + s + 60)::BIGINT * 1000 AS time_ms, 'l' || (t.trip_id * 7 % 50) AS link_id FROM t""")
 def _(v):
-    _trips, pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000)
+    _trips, pings = files.scan_agent_events(v.spark, *_event_files(v), DEFAULT_ANCHOR * 1000, _parts(v, 3))
     return pings.select("person_id", "trip_id", "time_ms", "link_id")
 
 

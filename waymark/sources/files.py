@@ -129,11 +129,13 @@ def scan_validation(spark: SparkSession, path: str, source_id: str) -> DataFrame
     return d.select(F.concat_ws("/", F.lit(source_id), run).alias("run_id"), F.try_to_timestamp(F.substring(run, 5, 15), F.lit("yyyyMMdd_HHmmss")).alias("run_at"), "metric", "value")
 
 
-def scan_agent_events(spark: SparkSession, events: str, network: str, epoch_ms: int) -> tuple[DataFrame, DataFrame]:
+def scan_agent_events(spark: SparkSession, events: str, network: str, epoch_ms: int, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(trips, link pings) of a simulator's event log.
 
     Departures and arrivals of a person pair up in order; a ping takes the
     number of arrivals before it plus one, and the middle of its link.
+    ``partitions`` says to how many tasks the persons are dealt, if not to the
+    session's shuffle partitions.
     """
     xml = spark.read.format("xml")
     e = xml.option("rowTag", "event").schema("_time double, _type string, _person string, _link string, _legMode string, _vehicle string").load(events)
@@ -144,7 +146,9 @@ def scan_agent_events(spark: SparkSession, events: str, network: str, epoch_ms:
     mid = links.join(a, F.col("_from") == F.col("a_id")).join(b, F.col("_to") == F.col("b_id")).select(F.col("_id").alias("link"), ((F.col("ax") + F.col("bx")) / 2).alias("lon"), ((F.col("ay") + F.col("by")) / 2).alias("lat"))
     order = F.when(F.col("type") == "arrival", 1).otherwise(0)
     w = Window.partitionBy("person").orderBy("time", order, "link")
-    e = e.where("person is not null").join(mid, "link", "left").withColumn("seq", F.coalesce(F.sum(order).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    e = e.where("person is not null").join(mid, "link", "left")
+    e = e if partitions is None else e.repartition(partitions, "person")
+    e = e.withColumn("seq", F.coalesce(F.sum(order).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     s = F.struct("time", "lon", "lat", "leg_mode")
     t = e.groupBy("person", "seq").agg(F.min(F.when(F.col("type") == "departure", s)).alias("d"), F.max(F.when(F.col("type") == "arrival", s)).alias("a")).where("d is not null and a is not null")
     trips = t.select(F.col("seq").alias("trip_id"), F.col("person").alias("person_id"), F.col("d.time").cast("int").alias("start_time_sec"), F.col("d.lon").alias("start_lon"), F.col("d.lat").alias("start_lat"), F.col("a.lon").alias("end_lon"), F.col("a.lat").alias("end_lat"), F.col("d.leg_mode").alias("mode"), haversine_m(F.col("d.lon"), F.col("d.lat"), F.col("a.lon"), F.col("a.lat")).alias("trip_length_m"))
