@@ -67,7 +67,7 @@ def cluster_od(trips: DataFrame, eps: float = 0.15, min_cluster_size: int = 20,
     """Each trip's cluster (the least ``id`` of its core points; null for noise) by its weighted, scaled features; ``id`` numbers the trips, by a hash if not given."""
     d = feature_scale(trips)
     points = saved(d.select((pair_id() if id is None else id).alias("id"), *PAIR, *FEATURES, *[(F.col(f"f{i}") * w).alias(f"f{i}") for i, w in enumerate(WEIGHTS)]))
-    return points.join(cell_dbscan(points, eps, min_cluster_size), "id").select(*PAIR, "cluster", *FEATURES)
+    return cell_dbscan(points, eps, min_cluster_size).select(*PAIR, "cluster", *FEATURES)
 
 
 def cluster_summary(clustered: DataFrame, members: int = 20) -> DataFrame:
