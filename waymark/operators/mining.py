@@ -72,6 +72,7 @@ def cluster_od(trips: DataFrame, eps: float = 0.15, min_cluster_size: int = 20,
 
 def cluster_summary(clustered: DataFrame, members: int = 20) -> DataFrame:
     """Size, centre, representative (nearest to the centre in raw features; ties by key) and first members of every cluster, and how much is noise."""
+    clustered = saved(clustered, "clustered")  # read four times
     c = clustered.where("cluster is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f"avg_{f}") for f in FEATURES])
     gap = sum(((F.col(f) - F.col(f"avg_{f}")) * (F.col(f) - F.col(f"avg_{f}")) for f in FEATURES), F.lit(0.0))
     rep = clustered.join(c, "cluster").groupBy("cluster").agg(F.min_by(F.struct(*PAIR), F.struct(F.round(gap, 9), *PAIR)).alias("rep"))
