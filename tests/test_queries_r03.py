@@ -83,3 +83,14 @@ def test_agent_events_are_dealt_by_rows(spark, monkeypatch):
     got = run(spark, "/root/testdata/sf0.001")
     assert ingest._parts(views.Views(spark, "/root/testdata/sf0.001"), 3) == 9 and got.rdd.getNumPartitions() == 9
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_sets_that_share_one_link_are_not_compared(spark, monkeypatch):
+    # any two of 7 sets of 6 links share one link: 4 would make them near
+    met, compared = [], mining._compared
+    monkeypatch.setattr(mining, "_compared", lambda d, most: (met.append(d.count()), compared(d, most))[1])
+    rows = [("v", i, f"L{min(i, j)}_{max(i, j)}") for i in range(7) for j in range(7) if i != j]
+    for links in (rows, [*rows, *(("v", 7, x) for _, i, x in rows if i == 0)]):
+        got = mining.jaccard_pairs(spark.createDataFrame(links, "vehicle_key string, trip_id long, link_id string"), 0.5, F.col("trip_id"))
+        assert [(r.a, r.b, r.shared) for r in got.collect()] == ([] if links is rows else [(0, 7, 6)])
+    assert met[0] == 0  # 6 pairs by sizes and places alone

@@ -93,17 +93,24 @@ LINK_ROWS = 4096
 
 
 def by_rarity(sets: DataFrame) -> DataFrame:
-    """id, n and links of ``sets`` (id and links, an array without repeats): the links of the fewest sets first."""
+    """id, n, links, parts and marks of ``sets`` (id and links, an array without repeats): the links, as numbers, those of the fewest sets first.
+
+    ``parts`` tells for each link in how many parts its sets are dealt; ``marks``
+    has one of 64 bits per link.
+    """
     each = sets.select("id", F.explode("links").alias("link"))
-    held = each.groupBy("link").agg(F.count(F.lit(1)).alias("sets"))
-    ranked = each.join(held, "link").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "link"))).alias("r"))
-    return ranked.select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["link"]).alias("links"))
+    held = saved(each.groupBy("link").agg(F.count(F.lit(1)).alias("sets")).withColumn("number", F.monotonically_increasing_id()), "links")
+    ranked = each.join(held, "link").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sets", "number"))).alias("r"), F.bit_or(F.expr("shiftleft(1L, CAST(pmod(xxhash64(number), 64L) AS INT))")).alias("marks"))
+    parts = F.transform("r", lambda x: F.ceil(x["sets"] / LINK_ROWS))
+    return ranked.select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["number"]).alias("links"), parts.alias("parts"), "marks")
 
 
 def _met(rows: DataFrame, key: str) -> DataFrame:
-    """Structs x and y of all ``rows`` that share a ``key``, x of the smaller id; rows of a frequent key are spread by salts."""
-    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LINK_ROWS).alias("parts"))
-    salted = rows.select(key, F.struct("*").alias("row")).join(parts, key)
+    """Structs x and y of all ``rows`` that share a ``key``, x of the smaller id; rows of a frequent key are spread by salts, over ``parts`` if they tell how many."""
+    salted = rows.select(key, "parts", F.struct(*[c for c in rows.columns if c != "parts"]).alias("row")) if "parts" in rows.columns else None
+    if salted is None:
+        parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LINK_ROWS).alias("parts"))
+        salted = rows.select(key, F.struct("*").alias("row")).join(parts, key)
     x = salted.select(key, F.col("row").alias("x"), F.pmod(F.xxhash64("row.id"), F.col("parts")).alias("salt"))
     y = salted.select(key, F.col("row").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     return x.join(y, [key, "salt"]).where("x.id < y.id")
@@ -122,19 +129,23 @@ def set_pairs(sets: DataFrame, max_distance: float) -> DataFrame:
     Two such sets share one of their rarest links: of n links, all but the last
     ceil(similarity * n) - 1 in order of how many sets have them.  Only these are
     joined, each with its place in that order.  A pair is looked at where the
-    sizes of its sets, and the links that either still has after the place, let
-    it be near enough, and is kept at the rarest link that both have; so no pair
-    comes twice, and sets are not fetched again.
+    sizes of its sets, the links that either still has after the place, and the
+    marks that only one of them has, let it be near enough, and is kept at the
+    rarest link that both have; so no pair comes twice, and sets are not fetched
+    again.
     """
     least = 1 - max_distance
     ranked = saved(by_rarity(sets), "ranked-sets")
     prefix = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
-    posted = ranked.select("id", "n", "links", F.posexplode(F.slice("links", F.lit(1), F.least(prefix, F.col("n")))).alias("place", "link"))
+    posted = ranked.select("id", "n", "links", "marks", F.posexplode(F.slice(F.arrays_zip(F.col("links").alias("link"), F.col("parts").alias("of")), F.lit(1), F.least(prefix, F.col("n")))).alias("place", "at"))
+    posted = posted.select("id", "n", "links", "marks", "place", F.col("at.link").alias("link"), F.col("at.of").alias("parts"))
     nx, ny = F.col("x.n"), F.col("y.n")
     need = F.ceil(least / (1 + least) * (nx + ny) - 1e-9)
     sizes = F.least(nx, ny) >= least * F.greatest(nx, ny) - 1e-9
     ahead = F.least(nx - F.col("x.place"), ny - F.col("y.place")) >= need  # this link and those after it
-    near = _compared(_met(posted, "link").where(sizes & ahead), max_distance)
+    alone = lambda s, t: F.bit_count(F.col(f"{s}.marks").bitwiseAND(F.bitwise_not(F.col(f"{t}.marks"))))  # noqa: E731 each such mark is of a link that the other has not
+    marked = F.least(nx - alone("x", "y"), ny - alone("y", "x")) >= need
+    near = _compared(_met(posted, "link").where(sizes & ahead & marked), max_distance)
     return near.where("first = link").select("a", "b", "na", "nb", "shared", "distance")
 
 
