@@ -148,3 +148,12 @@ def test_pipeline(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         gone = stage(spark, gone, "")
     assert gone.count() == 0
+
+
+def test_words_are_decoded_at_once():
+    from waymark.llm.token_store import words_at
+
+    text = "ab\U0001f600 \ud800céd"
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, ends = np.array([5, 0, 3, 2]), np.array([8, 2, 5, 3])
+    assert words_at(chars, starts, ends) == [text[a:b] for a, b in zip(starts, ends)]

@@ -64,6 +64,15 @@ def pre_tokens(chars: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.nd
     return np.flatnonzero(start)
 
 
+def words_at(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The stretches of ``chars`` from ``starts`` to ``ends``, decoded at once."""
+    size = ends - starts
+    upto = np.cumsum(size)
+    flat = chars[np.repeat(starts - (upto - size), size) + np.arange(size.sum())]
+    text = flat.tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[x:y] for x, y in zip((upto - size).tolist(), upto.tolist())]
+
+
 def tokenizer_path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
@@ -123,7 +132,7 @@ class Encoder:
 
     def _learn(self, key: np.ndarray, texts: list[str]) -> None:
         got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        word = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+        word = np.array(got.word_ids, np.int64)  # no special tokens are added: every id has its word
         ids = np.array(got.ids, np.int32)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -175,7 +184,7 @@ class Encoder:
                 where = np.flatnonzero(~known)[place]
             for a in range(0, len(new), KEPT // 4):
                 some = where[a : a + KEPT // 4]
-                self._learn(new[a : a + KEPT // 4], [chars[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(starts[some], ends[some])])
+                self._learn(new[a : a + KEPT // 4], words_at(chars, starts[some], ends[some]))
             slot, known = self._slots(key)
         row = self.rows[slot]
         begin = self.starts[row]
@@ -202,6 +211,7 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
     pairs: list[np.ndarray] = []
     known = np.zeros(0, np.int64)
     top, bits = base, 20
+    number_in = np.zeros(1 << bits, np.int32)
     slots = lambda x, y: ((x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32)
     while len(s) > 1:
         at = np.flatnonzero(~rare[:-1])
@@ -231,12 +241,16 @@ def repair(ids: np.ndarray, base: int, least: int = 4, most: int = 8192) -> tupl
             mark[:] = False
             mark[slots(h[:, 1], h[:, 0])] = True
             near = mark[slot]
-            at, key = at[near], key[near]
+            at, slot, key = at[near], slot[near], key[near]
         order = np.lexsort((mix(hot.view(np.uint64)), -count))  # ties by hash: a passage's pairs do not wait for each other in a row
         rank = np.empty(len(hot), np.int32)
         rank[order] = np.arange(len(hot), dtype=np.int32)
-        place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        number_in[slots(h[:, 1], h[:, 0])] = np.arange(len(hot), dtype=np.int32)
+        place = number_in[slot]
         same = hot[place] == key
+        other = np.flatnonzero(~same)  # pairs that share a slot are searched for
+        place[other] = np.minimum(np.searchsorted(hot, key[other]), len(hot) - 1)
+        same[other] = hot[place[other]] == key[other]
         at, r = at[same], rank[place[same]]
         hot = hot[order]
         taken = np.zeros(len(s) + 1, bool)
