@@ -1,5 +1,7 @@
 """Queries at sizes and ties that the supplied tables do not show."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -94,3 +96,12 @@ def test_sets_that_share_one_link_are_not_compared(spark, monkeypatch):
         got = mining.jaccard_pairs(spark.createDataFrame(links, "vehicle_key string, trip_id long, link_id string"), 0.5, F.col("trip_id"))
         assert [(r.a, r.b, r.shared) for r in got.collect()] == ([] if links is rows else [(0, 7, 6)])
     assert met[0] == 0  # 6 pairs by sizes and places alone
+
+
+def test_sums_per_link_and_vehicle_are_dealt_by_rows(spark, monkeypatch):
+    run = registry.queries()["link_density"]
+    want = sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    got = run(spark, "/root/testdata/sf0.001")
+    assert re.search(r"RepartitionByExpression \[link_id#\d+, vehicle_key#\d+\], 12", got._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == want

@@ -61,13 +61,15 @@ def footfall(trips: DataFrame, waypoints: DataFrame, resolution: float = 0.002,
     return _top(d.join(F.broadcast(best)).where("level = best").select("lon", "lat", "weight"), "weight", ["lon", "lat"], limit)
 
 
-def link_density(waypoints: DataFrame, top_n: int = 500, min_waypoints: int = 50) -> DataFrame:
+def link_density(waypoints: DataFrame, top_n: int = 500, min_waypoints: int = 50, parts: int | None = None) -> DataFrame:
     """Waypoints, vehicles and centre of the busiest links.
 
     Vehicles are counted after a distinct per (link, vehicle), so that a busy
-    link is no single task's work.
+    link is no single task's work; with ``parts`` they are dealt to as many tasks.
     """
     w = waypoints.where("link_id is not null and link_id <> ''")
+    if parts:
+        w = w.select("link_id", "vehicle_key", "lon", "lat").repartition(parts, "link_id", "vehicle_key")
     per = w.groupBy("link_id", "vehicle_key").agg(F.count("*").alias("n"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat"))
     d = per.groupBy("link_id").agg(F.sum("n").alias("waypoints"), F.count("*").alias("vehicles"), (F.sum("lon") / F.sum("n")).alias("lon"), (F.sum("lat") / F.sum("n")).alias("lat"))
     return _top(d.where(F.col("waypoints") >= min_waypoints), "waypoints", ["link_id"], top_n)

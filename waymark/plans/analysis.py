@@ -185,7 +185,7 @@ _LINKS = "SELECT link_id, count(*) AS waypoints, count(DISTINCT vehicle_key) AS
 
 @query("link_density", f"{_LINKS} 500", "lon lat")
 def _(v):
-    return spatial.link_density(v.waypoints)
+    return spatial.link_density(v.waypoints, parts=v.waypoint_parts)
 
 
 @query("link_total", "SELECT count(DISTINCT link_id) AS links FROM waypoints")
@@ -195,7 +195,7 @@ def _(v):
 
 @query("link_groups", f"SELECT link_id, mode AS value, count(*) AS waypoints FROM waypoints JOIN ({_LINKS} 20) l USING (link_id) LEFT JOIN trips USING (vehicle_key, trip_id) GROUP BY 1, 2".replace("mode AS value, count(*)", "trips.mode AS value, count(*)"))
 def _(v):
-    return spatial.link_groups(v.waypoints, v.trips, spatial.link_density(v.waypoints, 20), "mode")
+    return spatial.link_groups(v.waypoints, v.trips, spatial.link_density(v.waypoints, 20, parts=v.waypoint_parts), "mode")
 
 
 _SEGS = "SELECT vehicle_key, trip_id, link_id, unix_time_ms, seq, lon, lat, lag(lon) OVER w AS prev_lon, lag(lat) OVER w AS prev_lat FROM waypoints WINDOW w AS (PARTITION BY vehicle_key, trip_id ORDER BY unix_time_ms, seq)"
@@ -205,7 +205,7 @@ _SEGS = "SELECT vehicle_key, trip_id, link_id, unix_time_ms, seq, lon, lat, lag(
  SELECT link_id, vehicle_key, trip_id, row_number() OVER (PARTITION BY link_id ORDER BY count(*) DESC, vehicle_key, trip_id) AS rn FROM s GROUP BY 1, 2, 3)
 SELECT link_id, vehicle_key, trip_id, count(*) + 1 AS points FROM s JOIN b USING (link_id, vehicle_key, trip_id) WHERE rn = 1 GROUP BY 1, 2, 3""")
 def _(v):
-    return spatial.link_paths(v.waypoints, spatial.link_density(v.waypoints, 20)).drop("path")
+    return spatial.link_paths(v.waypoints, spatial.link_density(v.waypoints, 20, parts=v.waypoint_parts)).drop("path")
 
 
 @query("j_best_trip_per_link", f"""WITH s AS (SELECT * FROM ({_SEGS}) WHERE prev_lon IS NOT NULL), b AS (
