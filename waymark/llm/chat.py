@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.llm.spread import SALTS, small_enough
+from waymark.llm.spread import SALTS, shuffled, small_enough
 from waymark.llm.store import materialize
 
 #: Template of a message; the trained part is what follows the header of the assistant's own messages.
@@ -32,7 +32,7 @@ def _with_speakers(messages: DataFrame, who: DataFrame, small: bool) -> DataFram
         return messages.join(F.broadcast(who), same).drop("p_conv")
     salted = messages.withColumn("_salt", F.pmod(F.xxhash64("turn", "key"), F.lit(SALTS)))
     copies = who.withColumn("p_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, same & (F.col("_salt") == F.col("p_salt"))).drop("p_conv", "_salt", "p_salt")
+    return shuffled(salted, copies, same & (F.col("_salt") == F.col("p_salt"))).drop("p_conv", "_salt", "p_salt")
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
@@ -75,12 +75,12 @@ def rotate(conversations: DataFrame) -> DataFrame:
     spans = spans.withColumn("span_before", before)
     inside = F.sum("n").over(Window.partitionBy("conv_id", "speaker", "span").orderBy(F.col("turn").asc_nulls_last(), "prefix")) - F.col("n")
     same_span = F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("speaker") == F.col("s_speaker")) & F.col("span").eqNullSafe(F.col("s_span"))
-    starts = sums.withColumn("inside", inside).join(spans, same_span).select(*[F.col(c).alias(f"o_{c}") for c in place], (F.col("span_before") + F.col("inside")).alias("before"))
+    starts = shuffled(sums.withColumn("inside", inside), spans, same_span).select(*[F.col(c).alias(f"o_{c}") for c in place], (F.col("span_before") + F.col("inside")).alias("before"))
     both = _with_speakers(m, who, small).withColumns({"prefix": prefix, "segment": F.concat(head, "body", F.lit(CLOSE)), "head": F.length(head)})
     both = both.withColumn("n", F.length("segment").cast("long"))
     within = F.sum(F.col("n") * F.col("times")).over(Window.partitionBy(*place).orderBy("key", "name", "body").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") * F.col("times")
     same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in place]
-    placed = both.withColumn("within", within).join(starts, same).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    placed = shuffled(both.withColumn("within", within), starts, same).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     start = F.col("before") + F.col("within") + F.col("i") * F.col("n")
     placed = placed.select("conv_id", "speaker", "turn", "name", "segment", "head", start.alias("start"), (start + F.col("n")).alias("stop"))
     return placed.withColumn("train_from", F.when(F.col("name") == F.col("speaker"), F.col("start") + F.col("head"))).drop("head")

@@ -56,6 +56,16 @@ def running(df: DataFrame, by: list[Column], sums: dict[str, Column], label: str
     return both.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) + F.col(f"_b_{k}")).alias(k) for k in sums])
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str] | Column | list[Column], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, both shuffled and sorted however small Spark takes them to be.
+
+    Spark sizes a written table by its compressed files, and what an explode
+    adds it does not count: a table that it would broadcast may take far more
+    than its threshold in the driver's memory.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt_by: Column | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has each ``key`` once.
 
