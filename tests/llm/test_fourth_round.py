@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-from waymark.llm import chat, spread
+from waymark.llm import chat, spread, trie
 
 MODULES = ("chat", "jaccard", "mixing", "quality_rules", "spread", "substrings", "trie")
 OWN = "spark.sql.autoBroadcastJoinThreshold"
@@ -54,3 +54,11 @@ def test_chat_participants_are_not_broadcast(spark, monkeypatch, spark_adds):
     assert spark_adds(salted) == []
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
     assert sorted(map(str, salted.collect())) == sorted(map(str, chat.rotate(df).collect()))
+
+
+def test_trie_prefixes_are_not_broadcast(spark, monkeypatch, spark_adds, tmp_path):
+    talk(spark).write.parquet(f"{tmp_path}/conversations.parquet")
+    salted = trie.op12_prefix_trie(spark, str(tmp_path))
+    assert spark_adds(salted) == []
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, trie.op12_prefix_trie(spark, str(tmp_path)).collect()))

@@ -77,10 +77,10 @@ def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt
     if small_enough(small):
         return big.join(F.broadcast(small), key, how)
     if salt_by is None or how in ("left_semi", "left_anti"):
-        return big.join(small, key, how)
+        return shuffled(big, small, key, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return shuffled(salted, copies, [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.llm.spread import matched
+from waymark.llm.spread import matched, shuffled
 from waymark.llm.store import materialize
 from waymark.operators.scan import scan
 
@@ -207,9 +207,9 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     root = materialize(root, "root")
     several = several.select("top", F.col("depth").cast("long"), "parent", "n_convs", "n_children", "n_leaves", "saved_tokens").unionByName(root)
     one = root.select(F.col("top").alias("root_top"))
-    silent = conversations.join(turns.where("depth = 1").select("conv_id"), "conv_id", "left_anti")
+    silent = shuffled(conversations, turns.where("depth = 1").select("conv_id"), "conv_id", "left_anti")
     ends = seen.where("n_convs > 1 and last").select("top", F.col("depth").cast("long"), "conv_id").unionByName(silent.join(F.broadcast(one)).select(F.col("root_top").alias("top"), F.lit(0).cast("long").alias("depth"), "conv_id"))
-    several = several.join(ends_digest(materialize(ends, "ends")), ["top", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+    several = shuffled(several, ends_digest(materialize(ends, "ends")), ["top", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
     nodes = several.withColumnRenamed("top", "conv_id").unionByName(single)
     parent = F.when(F.col("depth") == 1, F.col("root_top")).otherwise(F.col("parent"))
     return nodes.join(F.broadcast(one), F.lit(True)).select("conv_id", F.col("depth").cast("long"), parent.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -242,10 +242,10 @@ def share_heads(turns: DataFrame, base: Column, heads: Column, most: int) -> tup
     convs = materialize(convs, "conversations")
     lengths = convs.select(F.col("conv_id").alias("base"), F.col("total").alias("base_total"))
     given = F.least("h", F.coalesce("base_total", F.lit(0)))
-    convs = convs.join(lengths, "base", "left").select("conv_id", "base", "h", given.alias("given"), (given + F.greatest(F.col("total") - F.col("h"), F.lit(0))).alias("length"))
+    convs = shuffled(convs, lengths, "base", "left").select("conv_id", "base", "h", given.alias("given"), (given + F.greatest(F.col("total") - F.col("h"), F.lit(0))).alias("length"))
     convs = materialize(convs, "rebuilt")
     start = turns.where(F.col("place") <= most).withColumnsRenamed({"conv_id": "base", "place": "depth"})
-    start = convs.select("conv_id", "base", "given", "length").join(start, "base").where("depth <= given")
+    start = shuffled(convs.select("conv_id", "base", "given", "length"), start, "base").where("depth <= given")
     rest = matched(turns, convs, "conv_id", salt_by=F.col("place")).where("place > h").withColumn("depth", F.col("given") + F.col("place") - F.col("h"))
     cols = ["conv_id", "depth", "a", "b", "n", (F.col("depth") == F.col("length")).alias("last")]
     return start.select(cols).unionByName(rest.select(cols)), convs.select("conv_id")
