@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-from waymark.llm import chat, spread, trie
+from waymark.llm import chat, jaccard, spread, trie
 
 MODULES = ("chat", "jaccard", "mixing", "quality_rules", "spread", "substrings", "trie")
 OWN = "spark.sql.autoBroadcastJoinThreshold"
@@ -62,3 +62,15 @@ def test_trie_prefixes_are_not_broadcast(spark, monkeypatch, spark_adds, tmp_pat
     assert spark_adds(salted) == []
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
     assert sorted(map(str, salted.collect())) == sorted(map(str, trie.op12_prefix_trie(spark, str(tmp_path)).collect()))
+
+
+def as_text(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_sets_are_not_broadcast(spark, docs, monkeypatch, spark_adds):
+    monkeypatch.setattr(jaccard, "GROUP", 4)  # the parts of large groups too
+    kept = jaccard.keep_one(docs)
+    assert spark_adds(kept) == []
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
+    assert as_text(kept) == as_text(jaccard.keep_one(docs))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.spread import components, matched
+from waymark.llm.spread import components, matched, shuffled
 from waymark.llm.store import materialize
 from waymark.llm.words import chunks, mix, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
@@ -385,7 +385,7 @@ def main_parts(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     stars = materialize(compared(rows.withColumns({"y": F.expr("0L"), "joined": F.expr("0L")})), "block-links")
     own = rows.select("lead", "x", "doc_id", "members")
     of = stars.select(F.col("lead").alias("s_lead"), F.col("a").alias("s_id"), F.col("b").alias("root"))
-    own = own.join(of, (F.col("lead") == F.col("s_lead")) & (F.col("doc_id") == F.col("s_id")), "left").select("lead", "x", "doc_id", "members", F.coalesce("root", "doc_id").alias("root"))
+    own = shuffled(own, of, (F.col("lead") == F.col("s_lead")) & (F.col("doc_id") == F.col("s_id")), "left").select("lead", "x", "doc_id", "members", F.coalesce("root", "doc_id").alias("root"))
     own = materialize(own, "block-parts")
     parts = own.groupBy("lead", "x", "root").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
     best = parts.groupBy("lead", "x").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("root"), F.max("members").alias("members"))
@@ -393,13 +393,13 @@ def main_parts(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     last = best.where(F.col("members") <= GROUP).select("lead", "root")
     links = [stars]
     if not best.where(F.col("members") > GROUP).isEmpty():
-        up = best.where(F.col("members") > GROUP).select(F.col("lead").alias("u_lead"), F.col("root").alias("u_root"))
-        chosen = rows.drop("members", "x").join(up, (F.col("lead") == F.col("u_lead")) & (F.col("doc_id") == F.col("u_root"))).drop("u_lead", "u_root").dropDuplicates(["lead", "doc_id"])
+        up = best.where(F.col("members") > GROUP).select("lead", F.col("root").alias("doc_id"))
+        chosen = matched(rows.drop("members", "x"), up, ["lead", "doc_id"]).dropDuplicates(["lead", "doc_id"])
         chosen = materialize(chosen, "block-representatives")
         more, main = main_parts(matched(chosen, materialize(_counted(chosen, "members"), "representatives"), "lead"))
         links += more
         last = last.unionByName(main.select("lead", F.col("doc_id").alias("root")))
-    return links, materialize(own.join(last, ["lead", "root"], "left_semi").select("lead", "doc_id"), "main-parts")
+    return links, materialize(shuffled(own, last, ["lead", "root"], "left_semi").select("lead", "doc_id"), "main-parts")
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -422,7 +422,7 @@ def links(rows: DataFrame) -> DataFrame:
     more, main = main_parts(hot)
     found += more
     main = main.withColumn("joined", F.expr("1L"))
-    flagged = hot.join(main, ["lead", "doc_id"], "left").withColumn("joined", F.coalesce("joined", F.expr("0L")))
+    flagged = matched(hot, main, ["lead", "doc_id"], "left").withColumn("joined", F.coalesce("joined", F.expr("0L")))
     flagged = materialize(flagged, "flagged-sets")
     others = materialize(flagged.groupBy("lead").agg(F.count_if(F.col("joined") == 0).alias("others"), F.count_if(F.col("joined") == 1).alias("mains")).where("others > 0"), "other-sets")
     if not others.isEmpty():
@@ -477,13 +477,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     posted = rows.mapInArrow(_post(classes, n_buckets), "bucket int, tokens binary, sets binary")
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "lead long, set long")
     members = materialize(met.groupBy("lead", "set").agg(F.count(F.lit(1)).alias("met")).drop("met"), "members")
-    groups = members.join(sets, "set").select("lead", F.col("rep").alias("doc_id"), "n", "bits", F.lit(None).cast("binary").alias("shingles"))
+    groups = shuffled(members, sets, "set").select("lead", F.col("rep").alias("doc_id"), "n", "bits", F.lit(None).cast("binary").alias("shingles"))
     maybe = materialize(components(links(materialize(groups, "groups"))), "possible-parts")
     live = maybe.withColumnsRenamed({"node": "doc_id", "root": "lead"})
     texts = matched(rows, live, "doc_id")
     near = materialize(texts.select("lead", "doc_id", "text").mapInArrow(_shingle, SETS), "live-sets")
     roots = components(links(near))
-    comp = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"))
+    comp = shuffled(sets, roots.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"))
     comp = materialize(comp, "set-components")
     filled = matched(per_doc.where("n_shingles > 0"), comp, "set", salt_by=F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
     empty = per_doc.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

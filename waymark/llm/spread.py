@@ -66,7 +66,7 @@ def shuffled(left: DataFrame, right: DataFrame, on: str | list[str] | Column | l
     return left.join(right.hint("merge"), on, how)
 
 
-def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt_by: Column | None = None) -> DataFrame:
+def matched(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", salt_by: Column | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has each ``key`` once.
 
     ``small`` should be a written table (its bytes are counted).  A small one is
@@ -80,7 +80,7 @@ def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salt
         return shuffled(big, small, key, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return shuffled(salted, copies, [key, "_salt"], how).drop("_salt")
+    return shuffled(salted, copies, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -100,10 +100,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         state = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = shuffled(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = shuffled(large, low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
