@@ -3,8 +3,9 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from waymark.llm import chat, jaccard, spread, trie
+from waymark.llm import chat, jaccard, spread, substrings, trie
 
 MODULES = ("chat", "jaccard", "mixing", "quality_rules", "spread", "substrings", "trie")
 OWN = "spark.sql.autoBroadcastJoinThreshold"
@@ -74,3 +75,13 @@ def test_sets_are_not_broadcast(spark, docs, monkeypatch, spark_adds):
     assert spark_adds(kept) == []
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
     assert as_text(kept) == as_text(jaccard.keep_one(docs))
+
+
+def test_first_documents_are_not_broadcast(spark, docs, monkeypatch, spark_adds):
+    salted = substrings.dedup_substrings(docs)
+    again = substrings.dedup_substrings(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))))  # ids with several texts
+    assert spark_adds(salted) == [] and spark_adds(again) == []
+    salted, again = as_text(salted), as_text(again)
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
+    assert salted == as_text(substrings.dedup_substrings(docs))
+    assert again == as_text(substrings.dedup_substrings(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.fm_index import FmIndex
-from waymark.llm.spread import matched, running
+from waymark.llm.spread import matched, running, shuffled
 from waymark.llm.store import keyed, materialize
 from waymark.llm.words import chunks, sequence_hashes, signed, spans, utf8, whole_hash, word_hashes
 
@@ -307,14 +307,14 @@ def bounded(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     large = large_groups(segments)
     if not large.count():
         return segments, []
-    windows = segments.join(large, "lead").select("lead", "doc_id", "start", "words").mapInArrow(_windows, SEGMENTS + ", window long")
+    windows = segments.join(F.broadcast(large), "lead").select("lead", "doc_id", "start", "words").mapInArrow(_windows, SEGMENTS + ", window long")
     again = materialize(windows.groupBy("window").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("window"), "repeated-windows")
     kept = matched(windows, again, "window", salt_by=F.xxhash64("doc_id", "start"))
     # twice as many groups as would fill shards on average
     parts = F.ceil(F.col("n_words") * (2 * WINDOW) / F.lit(SHARD))
     kept = kept.join(F.broadcast(large), "lead").withColumn("lead", F.xxhash64("lead", F.pmod("window", parts)))
     dealt = materialize(kept.select("lead", "doc_id", "start", "words"), "dealt-windows")
-    rest = segments.join(large.select("lead"), "lead", "left_anti")
+    rest = segments.join(F.broadcast(large.select("lead")), "lead", "left_anti")
     found = []
     while (hot := large_groups(dealt)).count():
         blocks = F.greatest(F.ceil(F.col("n") / F.lit(max(1, HOT // 4))), F.ceil(F.col("n_words") / F.lit(SHARD)))
@@ -340,7 +340,7 @@ def removed_ranges(rows: DataFrame, reps: DataFrame) -> DataFrame:
     posted = rows.mapInArrow(_post(n_buckets), "bucket int, grams binary, keys binary, places binary")
     met = posted.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, leads binary, grams binary")
     live = met.groupBy("key").agg(F.collect_list("leads").alias("leads"), F.collect_list("grams").alias("grams"))
-    live = materialize(live.join(reps.select("key", F.col("rep").alias("doc_id")), "key").drop("key"), "live-anchors")
+    live = materialize(matched(live, reps.select("key", F.col("rep").alias("doc_id")), "key").drop("key"), "live-anchors")
     texts = rows.join(live.hint("merge"), "doc_id").select("doc_id", "text", "leads", "grams")
     segments = materialize(texts.mapInArrow(_segments, SEGMENTS), "segments")
     segments, found = bounded(segments)
@@ -364,10 +364,10 @@ def by_texts(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
     """``dedup_substrings`` of rows that share a doc_id but not their words: each (doc_id, words) gets a number of its own, in this order, and is a document by it."""
     numbers = running(per_doc.select("doc_id", "key").distinct(), [F.col("doc_id"), F.col("key")], {"number": F.lit(1).cast("long")}, "doc-order")
     numbers = materialize(numbers.select("doc_id", "key", "number"), "doc-numbers")
-    known = rows.where("doc_id is not null").mapInArrow(_with_key, "doc_id long, text string, key long").join(numbers, ["doc_id", "key"])
+    known = matched(rows.where("doc_id is not null").mapInArrow(_with_key, "doc_id long, text string, key long"), numbers, ["doc_id", "key"])
     done = dedup_substrings(known.select(F.col("number").alias("doc_id"), "text").unionByName(rows.where("doc_id is null")))
     names = numbers.select(F.col("number").alias("_number"), F.col("doc_id").alias("_id"))
-    return done.join(names, F.col("doc_id") == F.col("_number"), "left").select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return shuffled(done, names, F.col("doc_id") == F.col("_number"), "left").select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
