@@ -5,7 +5,7 @@ import importlib
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, jaccard, spread, substrings, trie
+from waymark.llm import chat, jaccard, mixing, quality_rules, spread, substrings, trie
 
 MODULES = ("chat", "jaccard", "mixing", "quality_rules", "spread", "substrings", "trie")
 OWN = "spark.sql.autoBroadcastJoinThreshold"
@@ -85,3 +85,13 @@ def test_first_documents_are_not_broadcast(spark, docs, monkeypatch, spark_adds)
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
     assert salted == as_text(substrings.dedup_substrings(docs))
     assert again == as_text(substrings.dedup_substrings(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))))
+
+
+def test_hosts_and_slots_are_not_broadcast(spark, docs, monkeypatch, spark_adds):
+    stages = [lambda: quality_rules.keep_by_rules(docs), lambda: mixing.keep_mixed(docs, 7), lambda: mixing.keep_mixed(docs.unionByName(docs), 7)]
+    salted = [stage() for stage in stages]
+    for df in salted:
+        assert spark_adds(df) == []
+    salted = [as_text(df) for df in salted]
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 8 << 20)
+    assert salted == [as_text(stage()) for stage in stages]

@@ -7,7 +7,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.llm.quality_rules import words_sql
-from waymark.llm.spread import running, small_enough
+from waymark.llm.spread import running, shuffled, small_enough
 from waymark.llm.store import materialize
 
 #: Weights of the sources in code-point order, repeating.
@@ -82,13 +82,14 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     high, low = F.floor(F.col("id") / F.lit(1 << 20)), F.col("id") % F.lit(1 << 20)  # no product leaves the range of a long
     place = (high * F.lit((step << 20) % max(n, 1)) + low * F.lit(step)) % F.lit(max(n, 1))
     points = spark.range(n).select(F.col("id").alias("slot"), place.alias("place")).withColumn("cell", F.floor(F.col("place") / CELL))
-    met = points.join(F.broadcast(cells) if small_enough(cells) else cells, "cell").where("place >= lo AND place < hi")
+    met = points.join(F.broadcast(cells), "cell") if small_enough(cells) else shuffled(points, cells, "cell")
+    met = met.where("place >= lo AND place < hi")
     slots = materialize(met.select("source", "slot", F.floor(F.col("slot") / SPAN).alias("span")), "slots")
     counts = slots.groupBy("source", "span").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("source").alias("c_source"), F.col("span").alias("c_span"), before.alias("before"))
     row = F.row_number().over(Window.partitionBy("source", "span").orderBy("slot"))
-    ranked = slots.withColumn("row", row).join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("span") == F.col("c_span")))
+    ranked = shuffled(slots.withColumn("row", row), counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("span") == F.col("c_span")))
     return ranked.select("source", "slot", (F.col("before") + F.col("row") - 1).alias("rank"))
 
 
@@ -111,10 +112,10 @@ def mix_pieces(sized: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mi
     parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("before", before).drop("n")
-    parts = parts.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumnsRenamed({"source": "p_source", "part": "p_part"})
+    parts = shuffled(parts, targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumnsRenamed({"source": "p_source", "part": "p_part"})
     within = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     order = F.row_number().over(Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "text_key"))
-    placed = keyed.withColumns({"within": within, "row": order}).join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
+    placed = shuffled(keyed.withColumns({"within": within, "row": order}), parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     placed = placed.withColumns({"start": F.col("before") + F.col("within"), "place": F.concat("part", F.lit("-"), "row")})
     blocks = F.expr(
         "flatten(transform(sequence(0L, 1L), p -> if(size = 0 or p * source_size + start >= words, array(), "
@@ -123,7 +124,7 @@ def mix_pieces(sized: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mi
     )
     rows = placed.select("doc_id", "source", "size", "text_key", "source_size", "target", "place", F.explode_outer(blocks).alias("s"))
     slots = slots.withColumnsRenamed({"source": "s_source", "rank": "s_rank"})
-    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("s.j") == F.col("s_rank")), "left")
+    rows = shuffled(rows, slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("s.j") == F.col("s_rank")), "left")
     taken = F.when(F.col("slot").isNotNull(), F.col("s.x1") - F.col("s.x0")).otherwise(F.lit(0))
     return rows.select("slot", "source", "doc_id", "size", "text_key", "source_size", "target", "place", (F.col("s.x0") - F.col("s.at")).alias("from_word"), taken.alias("n_words"))
 
@@ -159,11 +160,11 @@ def keep_mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     copies = starts.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"), F.min("slot").alias("first"), F.max("slot").alias("last"))
     again = materialize(sized.groupBy(*names).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumnsRenamed({c: f"r_{c}" for c in names}), "repeated-rows")
     same = lambda x: [F.col(c).eqNullSafe(F.col(f"{x}_{c}")) for c in names]
-    copies = copies.join(F.broadcast(again) if small_enough(again) else again, same("r"), "left")
+    copies = copies.join(F.broadcast(again), same("r"), "left") if small_enough(again) else shuffled(copies, again, same("r"), "left")
     share = F.ceil(F.col("copies") / F.coalesce("rows", F.lit(1))).cast("int").alias("copies")
     copies = materialize(copies.select(*[F.col(c).alias(f"m_{c}") for c in names], share, "first", "last"), "mix-copies")
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(copies.hint("merge"), same("m"))  # never broadcast: the table grows with the documents
+    kept = shuffled(rows, copies, same("m"))
     kept = kept.select("row", "first", "last", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     slot = F.when(F.col("copy") == 1, F.col("first")).otherwise(F.col("last"))
     return kept.sortWithinPartitions(slot, "row.doc_id", "copy").select(*[F.col(f"row.`{c}`") for c in docs.columns])
